@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lotwatch.llm import exact_dedup, mixing
+from lotwatch.llm import bpe, exact_dedup, mixing
 
 QUERIES = {
     "op4_mixing": mixing.query,
+    "op5_bpe": bpe.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
