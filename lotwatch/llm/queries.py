@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lotwatch.llm import bpe, exact_dedup, mixing
+from lotwatch.llm import bpe, exact_dedup, mixing, toxicity
 
 QUERIES = {
     "op4_mixing": mixing.query,
     "op5_bpe": bpe.query,
+    "op6_toxicity": toxicity.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
