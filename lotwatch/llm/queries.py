@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from lotwatch.llm import bpe, exact_dedup, mixing, toxicity
+from lotwatch.llm import bpe, exact_dedup, mixing, token_store, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
     "op4_mixing": mixing.query,
     "op5_bpe": bpe.query,
     "op6_toxicity": toxicity.query,
+    "op7_token_store": token_store.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
 ORACLES = {
+    "op1_warc": warc.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
