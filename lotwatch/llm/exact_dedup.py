@@ -23,6 +23,12 @@ from pyspark.sql import functions as F
 from lotwatch.llm.common import ascii_lower, fresh_path, materialize, table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Changelogs in place of whole snapshots per batch, and no preallocated log files: state on disk follows its rows.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normal_text() -> Column:
@@ -36,8 +42,9 @@ def keyed_state(arrivals: DataFrame, checkpoint: str, files_per_trigger: int = 6
     checkpoint, it takes up only the new files.
     """
     spark = arrivals.sparkSession
-    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         folder = arrivals.inputFiles()
         if not folder:
@@ -48,10 +55,8 @@ def keyed_state(arrivals: DataFrame, checkpoint: str, files_per_trigger: int = 6
         run = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         run.awaitTermination()
     finally:
-        if provider is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     kept = spark.read.format("statestore").load(checkpoint)
     keep, n = (F.col("value")[f] for f in kept.schema["value"].dataType.names)
     return kept.select(F.col("key.digest").alias("digest"), keep["doc_id"].alias("keep_id"), keep["locator"].alias("locator"), n.alias("group_size"))
