@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lotwatch.llm import bpe, exact_dedup, mixing, token_store, toxicity, warc
+from lotwatch.llm import bpe, exact_dedup, mixing, token_store, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.query,
+    "op2_topk": topk.query,
     "op4_mixing": mixing.query,
     "op5_bpe": bpe.query,
     "op6_toxicity": toxicity.query,
@@ -15,5 +16,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_warc": warc.ORACLE,
+    "op2_topk": topk.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
