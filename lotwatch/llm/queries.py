@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwatch.llm import bpe, exact_dedup, mixing, token_store, topk, toxicity, warc
+from lotwatch.llm import bpe, exact_dedup, mixing, secrets, token_store, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_bpe": bpe.query,
     "op6_toxicity": toxicity.query,
     "op7_token_store": token_store.query,
+    "op8_secrets": secrets.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
