@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwatch.llm import bpe, exact_dedup, mixing, secrets, token_store, topk, toxicity, warc
+from lotwatch.llm import bpe, exact_dedup, mixing, secrets, sharding, token_store, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_toxicity": toxicity.query,
     "op7_token_store": token_store.query,
     "op8_secrets": secrets.query,
+    "op9_sharding": sharding.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
