@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop the shuffle files of plans that nothing refers to any more, as after materialize()."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder that nothing reads any more, by Hadoop's file system, wherever it lies."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lotwatch.llm import bpe, exact_dedup, mixing, secrets, sharding, token_store, topk, toxicity, warc
+from lotwatch.llm import bpe, exact_dedup, mixing, ngram_join, secrets, sharding, token_store, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op2_topk": topk.query,
+    "op3_ngram_join": ngram_join.query,
     "op4_mixing": mixing.query,
     "op5_bpe": bpe.query,
     "op6_toxicity": toxicity.query,
