@@ -1,17 +1,22 @@
-"""A corpus from raw documents: filter, deduplicate, mix, encode."""
+"""A corpus from raw documents: leave out toxic ones, exact copies and near copies, mix the sources, encode."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotwatch.llm import exact_dedup, mixing
+from lotwatch.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
 from lotwatch.llm.common import materialize, table
 
+#: Each takes the documents that the one before it left; all but the last return the columns of documents.
 STAGES = [
+    ("toxicity", toxicity.stage),
     ("exact_dedup", exact_dedup.stage),
+    ("ngram_join", ngram_join.stage),
     ("mixing", mixing.stage),
+    ("bpe", bpe.stage),
 ]
 
+#: Toxicity is a trained model: the rows can't be said in SQL, and tests hold them against plain Python.
 ORACLE_SQL = None
 
 
