@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lotwatch.plans import texts  # noqa: F401
+from lotwatch.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
