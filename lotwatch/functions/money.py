@@ -19,6 +19,11 @@ COMPLETION_PARENT = {"power-supply": "cables", "av-cable": "cables"}
 SCORE_WEIGHTS = {"collection": 25, "price": 25, "condition": 15, "completeness": 15, "seller": 10, "logistics": 10}
 
 
+def cents(x: Column, places: int = 2) -> Column:
+    """Rounded half up, also where a double falls just short of the half that its decimal has."""
+    return F.round(x + 1e-9, places)
+
+
 def lookup(table: dict, *keys: Column) -> Column:
     """A constant table's value for these keys, else null."""
     pairs = [F.lit(x) for k, v in table.items() for x in ("|".join(k) if isinstance(k, tuple) else k, v)]
@@ -52,7 +57,7 @@ def total_amount(price: Column, shipping: Column) -> Column:
 
 def with_commission(price: Column, percent: Column, packaging: Column) -> Column:
     """What a bid costs in the end; 0 without a bid."""
-    return F.when(F.coalesce(price, F.lit(0.0)) <= 0, 0.0).otherwise(F.round(price * (1 + F.coalesce(percent, F.lit(0.0)) / 100) + F.coalesce(packaging, F.lit(0.0)), 2))
+    return F.when(F.coalesce(price, F.lit(0.0)) <= 0, 0.0).otherwise(cents(price * (1 + F.coalesce(percent, F.lit(0.0)) / 100) + F.coalesce(packaging, F.lit(0.0))))
 
 
 def billable_weight(kg: Column) -> Column:
@@ -72,12 +77,12 @@ def weight_estimate(kind: Column, completeness: Column) -> Column:
 
 def cost_breakdown(price: Column, shipping: Column, kind: Column, completeness: Column, market: Column, origin: str = "usa", category: str = "general") -> Column:
     """Subtotal, weight, courier and imported total; only the import market has weight and courier."""
-    subtotal = F.round(total_amount(price, shipping), 2)
+    subtotal = cents(total_amount(price, shipping))
     weight = F.when(market == "import", weight_estimate(kind, completeness))
     fee = courier(weight, F.lit(origin), F.lit(category))
     return F.struct(
         subtotal.alias("subtotal"), weight.alias("weight_kg"), billable_weight(weight).alias("billable_kg"), fee.alias("courier"),
-        F.round(subtotal + fee, 2).alias("imported_total"), (price.isNotNull() & shipping.isNotNull()).alias("exact"),
+        cents(subtotal + fee).alias("imported_total"), (price.isNotNull() & shipping.isNotNull()).alias("exact"),
     )
 
 

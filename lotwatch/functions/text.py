@@ -32,6 +32,11 @@ COMPILATION_WORDS = {
 }
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+
 def fold(text: Column) -> Column:
     """Lower case without the accents of Western European letters."""
     return F.translate(F.lower(F.coalesce(text, F.lit(""))), _ACCENTED, _PLAIN)
@@ -83,7 +88,11 @@ def first_class(normalized: Column, classes: Mapping[str, Sequence[str]]) -> Col
 
 
 def detect_region(title: Column) -> Column:
-    return first_class(normalize(title), REGION_SIGNALS)
+    return let(normalize(title), region_of)
+
+
+def region_of(normalized: Column) -> Column:
+    return first_class(normalized, REGION_SIGNALS)
 
 
 def without_negations(normalized: Column, words: Sequence[str] = ("cib", "sealed", "boxed", "complete")) -> Column:
@@ -93,7 +102,11 @@ def without_negations(normalized: Column, words: Sequence[str] = ("cib", "sealed
 
 def detect_completeness(title: Column) -> Column:
     """sealed, cib, loose or boxed, in this order of precedence; negated ones don't count."""
-    return first_class(without_negations(normalize(title)), COMPLETENESS_SIGNALS)
+    return let(normalize(title), completeness_of)
+
+
+def completeness_of(normalized: Column) -> Column:
+    return let(without_negations(normalized), lambda t: first_class(t, COMPLETENESS_SIGNALS))
 
 
 def title_tokens(title: Column) -> Column:

@@ -2,10 +2,11 @@
 
 A table is a folder of immutable Parquet files (shards) and of versions. An arrival is appended as the small shards
 that its own tasks write, without a shuffle. Compaction puts shards into tiers by size (each tier FAN_IN times the
-one below), packs the shards of a tier, in order of size, into runs of at most the target size, and merges each run
-of at least FAN_IN shards, or that fills half a target, into one new shard. Shards of half the target size or more
-stay as they are. The plan is made on the manifest, one row per shard; only the rows of merged shards are shuffled,
-once, to one task per new shard.
+one below), packs the shards of a tier, in order of size, into runs of about the target size, and merges each run
+that fills three quarters of it, or has FAN_IN * FAN_IN shards, into one new shard. Smaller runs wait for more
+arrivals, so that a row is rewritten about once on its way to a target-sized file; the last compaction of an import
+also merges what waits, whatever its tier. Shards of half the target size or more stay as they are. The plan is made
+on the manifest, one row per shard; only the rows of merged shards are shuffled, to one task per new shard.
 
 A version is a Parquet folder with the manifest's rows; it is committed by renaming a small pointer file to its
 number, which fails if another writer had that number first. Readers see whole versions only; a lost task or job
@@ -93,20 +94,23 @@ class ShardedTable:
         self.commit(self.manifest(version - 1).unionByName(self._shards(folder, version)), version)
         return version
 
-    def plan(self) -> DataFrame:
+    def plan(self, last: bool = False) -> DataFrame:
         """The shards to merge now: path and run, the name of the new shard's group. One row per such shard."""
         small = self.manifest().filter(F.col("bytes") < self.target / 2)
+        if last:
+            small = small.withColumn("tier", F.lit(0))
         by_size = Window.partitionBy("tier").orderBy("bytes", "path")
         before = F.coalesce(F.sum("bytes").over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         packed = small.withColumn("run", F.concat_ws("-", "tier", F.floor((before + F.col("bytes") / 2) / self.target)))
         together = Window.partitionBy("run")
-        worth = (F.count(F.lit(1)).over(together) >= self.fan_in) | ((F.sum("bytes").over(together) >= self.target / 2) & (F.count(F.lit(1)).over(together) > 1))
+        shards, filled = F.count(F.lit(1)).over(together), F.sum("bytes").over(together) >= 0.75 * self.target
+        worth = (shards > 1) & (F.lit(last) | filled | (shards >= self.fan_in**2))
         return packed.withColumn("worth", worth).filter("worth").select("path", "run")
 
-    def compact(self) -> int:
-        """Merge until no tier has a run worth merging; the last version."""
+    def compact(self, last: bool = False) -> int:
+        """Merge until no run is worth merging; with `last` what waits for more arrivals too. The last version."""
         while True:
-            version, plan = self.version() + 1, self.plan()
+            version, plan = self.version() + 1, self.plan(last)
             chosen = [r["path"] for r in plan.select("path").collect()]
             if not chosen:
                 return version - 1
@@ -148,8 +152,9 @@ def arrivals(docs: DataFrame, most: int = ARRIVALS) -> list[DataFrame]:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as it is read back after all arrivals and compactions, with its shard."""
     t = ShardedTable(spark, fresh_path(spark, "sharded"))
-    for rows in arrivals(spark.read.parquet(f"{sf_dir}/documents.parquet")):
+    batches = arrivals(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    for i, rows in enumerate(batches):
         t.append(rows)
-        t.compact()
+        t.compact(last=i == len(batches) - 1)
         t.vacuum()
     return t.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.col("_shard.shard").alias("shard"), F.col("_shard.tier").alias("tier"), F.col("_shard.bytes").alias("shard_bytes"), F.col("_shard.rows").alias("shard_rows"))

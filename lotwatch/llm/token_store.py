@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lotwatch.llm.common import fresh_path, materialize, table
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
-FILE_IDS, CACHE = 4_000_000, 500_000
+FILE_IDS, CACHE = 4_000_000, 700_000
 MAGIC = b"EFT1"
 #: magic, bytes per id, range, file of the range, documents, null ids among them, least id, ids, bytes of both codes
 HEADER = struct.Struct("<4sBqqqqqqqq")
@@ -138,7 +138,11 @@ class TokenFile:
 
 
 class WordTokenizer:
-    """The tokenizer with a cache of what stands between spaces: none of its tokens holds a space or a line feed."""
+    """The tokenizer with a cache of what stands between spaces: none of its tokens holds a space or a line feed.
+
+    The cache has two generations: when the younger is full it becomes the older, from which what is met again comes
+    back, so that frequent words are never tokenized twice and memory stays bounded.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -147,18 +151,24 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian integers of `width` bytes."""
         import numpy as np
 
-        units = text.replace("\n", " ").split(" ")
-        if new := list(set(units).difference(self.known)):
-            if len(self.known) > CACHE:
-                self.known = {"": b""}
-                new = list(set(units).difference(self.known))
-            for unit, coded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.known[unit] = np.array(coded.ids, f"<u{self.width}").tobytes()
+        text = text.replace("\n", " ")
+        if text.isascii() and "<|" not in text:  # else a special token's string may be in it
+            text = text.lower()  # the tokenizer does so too
+        units = text.split(" ")
+        if len(self.known) > CACHE:
+            self.known, self.older = {"": b""}, self.known
+        if new := set(units).difference(self.known):
+            back = new.intersection(self.older)
+            self.known.update((u, self.older[u]) for u in back)
+            if new := list(new - back):
+                for unit, coded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+                    self.known[unit] = np.array(coded.ids, f"<u{self.width}").tobytes()
         return b"".join(map(self.known.__getitem__, units))
 
 

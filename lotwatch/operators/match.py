@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lotwatch.functions import keywords as K
-from lotwatch.functions.text import fold_spaces, py_normalize
+from lotwatch.functions.text import fold_spaces, let, py_normalize
 
 _EDGE = r"[\p{L}\p{N}_]"
 
@@ -69,11 +69,6 @@ RULES = (
 SEARCHED = (*K.STRONG, *K.SEARCH_ONLY, *K.GENERIC, *K.FRANCHISES)
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with the value computed once however often `use` names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def nothing() -> Column:
     return F.array().cast("array<string>")
 

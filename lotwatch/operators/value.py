@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwatch.functions.money import cents
+
 # Preference of evidence (less is better), age at which it is stale, samples that a median needs.
 SOURCE_RANK = {"ebay-sold": 0, "pricecharting": 1, "retail": 2, "manual": 3, "peer-listings": 4, "editorial": 5, "lot-ceiling": 6}
 STALE_DAYS, PEERS, LOW_SAMPLES = 180, 4, 5
@@ -16,7 +18,7 @@ REVIEW, NO_REFERENCE = "revisar", "sin-referencia"
 
 def peer_median(df: DataFrame, keys: Sequence[str], price: Column, least: int = PEERS) -> DataFrame:
     """Median of the positive prices of each group with enough of them: benchmark and samples."""
-    return df.filter(price > 0).groupBy(*keys).agg(F.round(F.median(price), 2).alias("benchmark"), F.count(price).alias("samples")).filter(F.col("samples") >= least)
+    return df.filter(price > 0).groupBy(*keys).agg(cents(F.median(price)).alias("benchmark"), F.count(price).alias("samples")).filter(F.col("samples") >= least)
 
 
 def low_quartile(df: DataFrame, keys: Sequence[str], price: Column, least: int = LOW_SAMPLES) -> DataFrame:
@@ -33,10 +35,10 @@ def lot_valuation(pieces: DataFrame, keys: Sequence[str], value: Column, factor:
     """Per lot: pieces, priced ones, their value, the useful ones' value, cost per useful piece, and discount."""
     worth = value * factor
     out = pieces.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("pieces"), F.count(value).alias("priced"), F.round(F.sum(worth), 2).alias("lot_value"), F.count_if(useful).alias("useful"),
-        F.round(F.sum(F.when(useful, worth)), 2).alias("useful_value"), F.max(cost).alias("cost"),
+        F.count(F.lit(1)).alias("pieces"), F.count(value).alias("priced"), cents(F.sum(worth)).alias("lot_value"), F.count_if(useful).alias("useful"),
+        cents(F.sum(F.when(useful, worth))).alias("useful_value"), F.max(cost).alias("cost"),
     )
-    return out.withColumn("cost_per_useful", F.round(F.try_divide("cost", "useful"), 2)).withColumn("discount", F.round(1 - F.try_divide(F.col("cost"), F.col("lot_value")), 4))
+    return out.withColumn("cost_per_useful", cents(F.try_divide("cost", "useful"))).withColumn("discount", cents(1 - F.try_divide(F.col("cost"), F.col("lot_value")), 4))
 
 
 def pick_benchmark(references: DataFrame, keys: Sequence[str], today: Column, tie: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lotwatch.functions.money import confidence
-from lotwatch.functions.text import COMPLETENESS_SIGNALS, contains_term, detect_completeness, detect_region, first_signal, normalize
+from lotwatch.functions.text import COMPLETENESS_SIGNALS, completeness_of, contains_term, first_signal, let, normalize, region_of
 
 # Words by which listings say what state they are in.
 TESTED = ("tested", "working", "fully functional", "functional", "probado", "funciona")
@@ -28,21 +28,34 @@ def evaluate(title: Column, price: Column, shipping: Column, criteria: dict[str,
     criteria may hold: include, any, exclude, prefer (arrays of terms), max_item, max_total, min_lot, lot (numbers),
     completeness, region (text), tested and allow_copies (booleans). Missing or null criteria don't judge.
     """
-    text = normalize(title)
-    get = lambda name, kind: criteria.get(name, F.lit(None).cast(kind))
-    include, any_, exclude, prefer = (F.coalesce(get(k, "array<string>"), F.array().cast("array<string>")) for k in ("include", "any", "exclude", "prefer"))
-    holds = lambda t: contains_term(text, normalize(t))
-    missing, banned = F.filter(include, lambda t: ~holds(t)), F.filter(exclude, holds)
-    some, liked = F.exists(any_, holds), F.exists(prefer, holds)
-    max_item, max_total, min_lot, lot = (get(k, "double") for k in ("max_item", "max_total", "min_lot", "lot"))
-    total, want, declared = price + F.coalesce(shipping, F.lit(0.0)), get("completeness", "string"), detect_completeness(title)
-    region, seen = get("region", "string"), detect_region(title)
-    tested, copies = F.coalesce(get("tested", "boolean"), F.lit(False)), F.coalesce(get("allow_copies", "boolean"), F.lit(False))
-    is_copy = F.lit(False)
-    plain = F.regexp_replace(text, NEGATED_COPY, " ")
-    for s in REPRODUCTION:
-        is_copy = is_copy | contains_term(plain, s)
-    untested, works = first_signal(text, UNTESTED) != "", first_signal(text, TESTED) != ""
+    get = lambda name, kind: criteria.get(name, F.lit(None).cast(kind)).alias(name)
+    terms = lambda name: F.transform(F.coalesce(get(name, "array<string>"), F.array().cast("array<string>")), lambda t: normalize(t)).alias(name)
+    base = F.struct(
+        normalize(title).alias("text"), price.alias("price"), shipping.alias("shipping"),
+        *map(terms, ("include", "any", "exclude", "prefer")), *[get(k, "double") for k in ("max_item", "max_total", "min_lot", "lot")],
+        get("completeness", "string"), get("region", "string"), get("tested", "boolean"), get("allow_copies", "boolean"),
+    )
+
+    def read(b: Column) -> Column:
+        """What several rules look at, once."""
+        text, holds = b["text"], lambda t: contains_term(b["text"], t)
+        return F.struct(
+            b.alias("b"), completeness_of(text).alias("declared"), region_of(text).alias("seen"), F.filter(b["include"], lambda t: ~holds(t)).alias("missing"), F.filter(b["exclude"], holds).alias("banned"), F.exists(b["any"], holds).alias("some"), F.exists(b["prefer"], holds).alias("liked"),
+            (let(F.regexp_replace(text, NEGATED_COPY, " "), lambda t: first_signal(t, REPRODUCTION)) != "").alias("copy"), (first_signal(text, UNTESTED) != "").alias("untested"), (first_signal(text, TESTED) != "").alias("works"), (first_signal(text, CASE_ONLY) != "").alias("case"),
+        )
+
+    return let(let(let(base, read), _findings), _summed)
+
+
+def _findings(d: Column) -> Column:
+    """What the rules find, in their order."""
+    b = d["b"]
+    include, any_, prefer, missing, banned, some, liked = b["include"], b["any"], b["prefer"], d["missing"], d["banned"], d["some"], d["liked"]
+    price, shipping, total = b["price"], b["shipping"], b["price"] + F.coalesce(b["shipping"], F.lit(0.0))
+    max_item, max_total, min_lot, lot = b["max_item"], b["max_total"], b["min_lot"], b["lot"]
+    want, declared, region, seen = b["completeness"], d["declared"], b["region"], d["seen"]
+    tested, copies = F.coalesce(b["tested"], F.lit(False)), F.coalesce(b["allow_copies"], F.lit(False))
+    is_copy, untested, works = d["copy"], d["untested"], d["works"]
     findings = F.array(
         _item("block", F.concat(F.lit("excluded: "), F.array_join(banned, ", ")), F.size(banned) > 0),
         _item("block", F.concat(F.lit("missing: "), F.array_join(missing, ", ")), F.size(missing) > 0, 1),
@@ -65,22 +78,21 @@ def evaluate(title: Column, price: Column, shipping: Column, criteria: dict[str,
         _item("block", "other completeness", want.isNotNull() & (declared != "") & (declared != want), 1),
         _item("reason", "completeness", want.isNotNull() & (declared == want), 1, F.lit(True)),
         _item("unverified", "completeness not declared", want.isNotNull() & (declared == ""), 1),
-        _item("block", "case without content", first_signal(text, CASE_ONLY) != ""),
+        _item("block", "case without content", d["case"]),
         _item("block", "declared copy", is_copy & ~copies),
         _item("block", "other region", region.isNotNull() & (seen != "") & (seen != region), 1),
         _item("reason", "region", region.isNotNull() & (seen == region), 1, F.lit(True)),
         _item("unverified", "region not declared", region.isNotNull() & (seen == ""), 1),
     )
-    kept = F.filter(findings, lambda x: x.isNotNull())
+    return F.filter(findings, lambda x: x.isNotNull())
 
-    def summed(f: Column) -> Column:
-        of = lambda kind: F.transform(F.filter(f, lambda x: x["kind"] == kind), lambda x: x["text"])
-        count = lambda field: F.aggregate(f, F.lit(0), lambda a, x: a + x[field])
-        blocked = F.size(of("block")) > 0
-        sure = confidence(count("hit"), count("signals"), F.size(of("unverified")), blocked)
-        return F.struct((~blocked).alias("matched"), sure.alias("confidence"), of("reason").alias("reasons"), of("block").alias("blockers"), of("unverified").alias("unverified"))
 
-    return F.element_at(F.transform(F.array(kept), summed), 1)
+def _summed(f: Column) -> Column:
+    of = lambda kind: F.transform(F.filter(f, lambda x: x["kind"] == kind), lambda x: x["text"])
+    count = lambda field: F.aggregate(f, F.lit(0), lambda a, x: a + x[field])
+    blocked = F.size(of("block")) > 0
+    sure = confidence(count("hit"), count("signals"), F.size(of("unverified")), blocked)
+    return F.struct((~blocked).alias("matched"), sure.alias("confidence"), of("reason").alias("reasons"), of("block").alias("blockers"), of("unverified").alias("unverified"))
 
 
 __all__ = ["COMPLETENESS_SIGNALS", "evaluate"]
