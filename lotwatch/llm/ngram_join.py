@@ -85,6 +85,7 @@ def bloom_of(keys: DataFrame) -> Bloom:
     import numpy as np
 
     name = keys.columns[0]
+    keys = materialize(keys, "filter-keys")
     n = keys.count()
     if not n:
         return Bloom(None, 0)
