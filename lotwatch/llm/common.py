@@ -59,3 +59,9 @@ def ascii_lower(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words of a text as a long; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def drop_table(df: DataFrame) -> None:
+    """Remove a materialized table that nothing reads any more."""
+    for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
+        delete_path(df.sparkSession, path)

@@ -18,8 +18,8 @@ band or two neighbours), in blocks of at most TILE rows: each class has a bitmap
 intersecting the sorted arrays. No link between different components is missed, and a group of thousands of near
 copies costs about one verification per member.
 
-Sets are kept only for classes that share a tile; they are found by a Bloom filter of their documents' ids, so texts
-aren't shuffled. Edge cases: documents without words have no shingles and are components of their own; with fewer
+Whole sets are made only for classes in pairs that their bitmaps allow; they are found by a Bloom filter of their
+documents' ids, so texts aren't shuffled. Edge cases: documents without words have no shingles and are components of their own; with fewer
 than five words the whole sequence is one shingle; null texts count as empty; null ids don't name a component unless
 there is no other id in it; repeated rows are copies; an empty table gives an empty result; extra columns are ignored.
 """
@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import delete_path, materialize, release, table
+from lotwatch.llm.common import drop_table, materialize, release, table
 
 WORDS, PERCENT = 5, 80
 HEAVY, TILE = 64, 512
@@ -125,8 +125,8 @@ def with_bytes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def prefixes(docs: DataFrame, heavy: Bloom, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, cls (hash of the set, null for the empty one) and the first shingles in the common order."""
+def prefixes(docs: DataFrame, heavy: Bloom, percent: int = PERCENT, with_bits: bool = False) -> DataFrame:
+    """doc_id, n, cls (hash of the set, null for the empty one), the first shingles in the common order, the bitmap if asked for."""
 
     def run(batches):
         import numpy as np
@@ -134,10 +134,11 @@ def prefixes(docs: DataFrame, heavy: Bloom, percent: int = PERCENT) -> DataFrame
         import xxhash
 
         for batch in batches:
-            sizes, classes, first = [], [], []
+            sizes, classes, first, bits = [], [], [], []
             for text in batch["text"]:
                 s = shingles(text.as_py())
                 sizes.append(len(s))
+                bits.append(bitmap(s) if with_bits and len(s) else None)
                 if not len(s):
                     classes.append(None), first.append(s)
                     continue
@@ -146,9 +147,10 @@ def prefixes(docs: DataFrame, heavy: Bloom, percent: int = PERCENT) -> DataFrame
                 first.append(s[:k] if not late[:k].any() else np.concatenate([s[~late], s[late]])[:k])
             ends = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
             values = np.concatenate([*first, np.empty(0, np.uint64)]).astype(np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n": pa.array(sizes, pa.int64()), "cls": pa.array(classes, pa.int64()), "first": pa.ListArray.from_arrays(pa.array(ends), pa.array(values))})
+            columns = {"doc_id": batch["doc_id"], "n": pa.array(sizes, pa.int64()), "cls": pa.array(classes, pa.int64()), "first": pa.ListArray.from_arrays(pa.array(ends), pa.array(values))}
+            yield pa.RecordBatch.from_pydict(columns | {"bits": pa.array(bits, pa.binary())} if with_bits else columns)
 
-    return with_bytes(docs).mapInArrow(run, "doc_id long, n long, cls long, first array<long>")
+    return with_bytes(docs).mapInArrow(run, "doc_id long, n long, cls long, first array<long>" + ", bits binary" * with_bits)
 
 
 def tokens_of(sketch: DataFrame, more_than: int) -> DataFrame:
@@ -176,28 +178,31 @@ def shared_entries(sketch: DataFrame, shared: Bloom) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: Bloom) -> DataFrame:
-    """cls, n, bits and the whole set of the documents whose ids the filter holds."""
+    """cls, n and the whole set of the documents whose ids the filter holds."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import xxhash
 
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["cls", "n", "shingles"])
+
         for batch in batches:
             rows = []
             size = 0
             for i in np.flatnonzero(wanted.has(id_key(batch["doc_id"].to_pylist()))):
                 s = shingles(batch["text"][int(i)].as_py())
                 if len(s):
-                    rows.append((np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64), len(s), bitmap(s), s.tobytes()))
+                    rows.append((np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64), len(s), s.tobytes()))
                     size += len(s)
                 if size > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["cls", "n", "bits", "shingles"])
+                    yield out(rows)
                     rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["cls", "n", "bits", "shingles"])
+                yield out(rows)
 
-    return with_bytes(docs).mapInArrow(run, "cls long, n long, bits binary, shingles binary")
+    return with_bytes(docs).mapInArrow(run, "cls long, n long, shingles binary")
 
 
 def linked(n: int, m: int, common: int, percent: int = PERCENT) -> bool:
@@ -212,8 +217,14 @@ def fold(bits, width: int):
     return bits
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of classes that link: first by their bitmaps, then by intersecting the sorted arrays."""
+def both_sides(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes with what `values` (cls and more) has of each, as columns named by _a and _b."""
+    side = lambda s: values.select(*[F.col(c).alias(s if c == "cls" else f"{c}_{s}") for c in values.columns])
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+
+
+def possible(pairs: DataFrame, bits: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of classes that their bitmaps allow to link; bits: (cls, n, bits)."""
 
     def run(batches):
         import numpy as np
@@ -227,15 +238,30 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                 width = 64 * min(len(x), len(y))
                 x, y = fold(x, width), fold(y, width)
                 most = min(n[i] - int(np.bitwise_count(x & ~y).sum()), m[i] - int(np.bitwise_count(y & ~x).sum()))
-                if not linked(n[i], m[i], most, percent):
-                    continue
+                if linked(n[i], m[i], most, percent):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([batch["a"].take(pa.array(keep, pa.int64())), batch["b"].take(pa.array(keep, pa.int64()))], names=["a", "b"])
+
+    return both_sides(pairs, bits).mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of classes that link, by intersecting the sorted arrays; sets: (cls, n, shingles)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            n, m = batch["n_a"].to_pylist(), batch["n_b"].to_pylist()
+            for i in range(batch.num_rows):
                 a, b = (np.frombuffer(batch[c][i].as_py(), np.uint64) for c in ("shingles_a", "shingles_b"))
                 if linked(n[i], m[i], len(np.intersect1d(a, b, assume_unique=True)), percent):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch["a"].take(pa.array(keep, pa.int64())), batch["b"].take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
-    side = lambda s: sets.select(*[F.col(c).alias(s if c == "cls" else f"{c}_{s}") for c in ("cls", "n", "bits", "shingles")])
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return both_sides(pairs, sets).mapInArrow(run, "a long, b long")
 
 
 def roots_of_forest(parents: DataFrame) -> DataFrame:
@@ -348,37 +374,44 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, heavy: int = HEAVY,
     spark = docs.sparkSession
     often = bloom_of(tokens_of(prefixes(docs, Bloom(None, 0), percent), heavy))
     release(spark)
-    sketch = materialize(prefixes(docs, often, percent), "sketch")
+    sketch = materialize(prefixes(docs, often, percent, with_bits=True), "sketch")
     shared = bloom_of(tokens_of(sketch, 1))
     release(spark)
     rows = materialize(sketch.select("doc_id", "n", "cls"), "documents")
-    entries = shared_entries(sketch, shared).distinct()
-    entries = materialize(entries, "entries")
-    for path in {p.rpartition("/")[0] for p in sketch.inputFiles()}:
-        delete_path(spark, path)
-    release(spark)
+    entries = materialize(shared_entries(sketch, shared).distinct(), "entries")
 
     pivots = entries.groupBy("token").agg(F.min("cls").alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("token", "pivot")
     pivots = materialize(pivots, "pivots")
     entries = materialize(entries.join(pivots, "token"), "entries-live")
     live = entries.select("cls").distinct()
-    classes = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    wanted = classes.join(live, "cls").select(F.coalesce("rep", F.lit(0x7FFFFFFFFFFFFFF1)).alias("rep"))
-    sets = materialize(sets_of(docs, _bloom_of_ids(wanted)), "sets")
+    bits = materialize(sketch.select("cls", "n", "bits").join(live, "cls", "left_semi").groupBy("cls", "n").agg(F.max("bits").alias("bits")), "bits")
+    drop_table(sketch)
     release(spark)
+    classes = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        """The pairs that link, from the whole sets of just the classes among them."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        reps = classes.join(wanted, "cls").select(F.coalesce("rep", F.lit(0x7FFFFFFFFFFFFFF1)).alias("rep"))
+        sets = materialize(sets_of(docs, _bloom_of_ids(reps)), "sets")
+        release(spark)
+        links = materialize(verified(pairs, sets, percent), "links")
+        drop_table(sets)
+        release(spark)
+        return links
 
     votes = entries.filter("cls <> pivot").groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("votes"))
     star = votes.groupBy("cls").agg(F.max(F.struct("votes", -F.col("pivot"))).alias("best"))
     star = star.select(F.col("cls").alias("a"), (-F.col("best")["col2"]).alias("b"))
-    forest = verified(star, sets, percent).groupBy("a").agg(F.min("b").alias("parent")).withColumnRenamed("a", "cls")
+    star = materialize(possible(star, bits, percent), "star")
+    forest = exact(star).groupBy("a").agg(F.min("b").alias("parent")).withColumnRenamed("a", "cls")
     roots = roots_of_forest(forest)
     release(spark)
 
     rooted = entries.join(roots, "cls", "left").select("token", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    bits = sets.groupBy("cls").agg(F.max("bits").alias("bits"))
-    candidates = materialize(tile_pairs(rooted, bits, percent, tile), "candidates")
+    candidates = materialize(tile_pairs(rooted, bits.select("cls", "bits"), percent, tile), "candidates")
     release(spark)
-    links = verified(candidates, sets, percent)
+    links = exact(candidates)
     a, b = roots.select(F.col("cls").alias("a"), F.col("root").alias("root_a")), roots.select(F.col("cls").alias("b"), F.col("root").alias("root_b"))
     bridges = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     merged = components(bridges).withColumnRenamed("node", "root")
