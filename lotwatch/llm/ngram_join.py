@@ -11,12 +11,13 @@ first are dropped by another such filter.
 
 Links without all pairs of a group. In every tile (a shingle's classes) the least class is the pivot. Each class is
 verified against the pivot that it shares most shingles with; the verified ones form a forest, whose roots are
-found by pointer jumping. What can still connect are classes of a tile under different roots. These are compared in
+found by pointer jumping. ROUNDS more rounds hold each class against up to PIVOTS other pivots under other roots and
+join the roots that link. What can still connect are classes of a tile under different roots. These are compared in
 size-banded tiles (token, size band; each class also visits the next band up, as sets with Jaccard >= t lie in one
 band or two neighbours), in blocks of at most TILE rows: each class has a bitmap of its hashed shingles, and
 |x| - bits of x missing in y bounds the overlap from above. Pairs that pass, under different roots, are verified by
 intersecting the sorted arrays. No link between different components is missed, and a group of thousands of near
-copies costs about one verification per member.
+copies costs a few verifications per member.
 
 Whole sets are made only for classes in pairs that their bitmaps allow; they are found by a Bloom filter of their
 documents' ids, so texts aren't shuffled. Edge cases: documents without words have no shingles and are components of their own; with fewer
@@ -26,13 +27,15 @@ there is no other id in it; repeated rows are copies; an empty table gives an em
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwatch.llm.common import drop_table, materialize, release, table
 
 WORDS, PERCENT = 5, 80
 HEAVY, TILE = 64, 512
+#: Rounds that join roots before tiles are compared in full, and pivots of a tile (and tries of a class) in each.
+ROUNDS, PIVOTS = 3, 4
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 BITMAP_LEAST, BITMAP_MOST = 64, 1 << 15
 _MULTIPLIER, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -363,6 +366,22 @@ def tile_pairs(entries: DataFrame, bits: DataFrame, percent: int = PERCENT, tile
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def pivot_pairs(entries: DataFrame, roots: DataFrame, turn: int, pivots: int = PIVOTS) -> DataFrame:
+    """Pairs (a, b) of a class and a pivot under another root, at most `pivots` a class: those it shares most tokens with.
+
+    A tile whose classes have different roots gets up to `pivots` of them as pivots, other ones in each turn.
+    """
+    rooted = entries.select("token", "cls").join(roots, "cls")
+    mixed_tiles = rooted.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token")
+    visits = materialize(rooted.join(mixed_tiles, "token"), "visits")
+    place = F.xxhash64("cls", F.lit(turn))
+    hubs = visits.groupBy("token", F.pmod(place, F.lit(pivots)).alias("slot")).agg(F.min(F.struct(place.alias("place"), "cls", "root")).alias("hub"))
+    met = visits.join(hubs.select("token", "hub"), "token").filter(F.col("root") != F.col("hub")["root"])
+    votes = met.groupBy(F.col("cls").alias("a"), F.col("hub")["cls"].alias("b")).agg(F.count(F.lit(1)).alias("votes"))
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("votes"), "b"))
+    return votes.withColumn("best", best).filter(F.col("best") <= pivots).select("a", "b")
+
+
 def _log(x: float) -> float:
     import math
 
@@ -405,19 +424,33 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, heavy: int = HEAVY,
     star = star.select(F.col("cls").alias("a"), (-F.col("best")["col2"]).alias("b"))
     star = materialize(possible(star, bits, percent), "star")
     forest = exact(star).groupBy("a").agg(F.min("b").alias("parent")).withColumnRenamed("a", "cls")
-    roots = roots_of_forest(forest)
-    release(spark)
+    roots = bits.select("cls").join(roots_of_forest(forest), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"))
+    roots = materialize(roots, "roots")
+
+    def joined(links: DataFrame, roots: DataFrame) -> DataFrame:
+        """The roots after the links (a, b) between their classes."""
+        a, b = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
+        bridges = links.join(a, "a").join(b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        moved = components(bridges).toDF("root", "component")
+        return materialize(roots.join(moved, "root", "left").select("cls", F.coalesce("component", "root").alias("root")), "roots")
+
+    for turn in range(ROUNDS):
+        tries = materialize(possible(pivot_pairs(entries, roots, turn), bits, percent), "tries")
+        if tries.isEmpty():
+            break
+        links = exact(tries)
+        if links.isEmpty():
+            break
+        roots = joined(links, roots)
+        release(spark)
 
-    rooted = entries.join(roots, "cls", "left").select("token", "cls", "n", F.coalesce("root", "cls").alias("root"))
+    rooted = entries.join(roots, "cls").select("token", "cls", "n", "root")
     candidates = materialize(tile_pairs(rooted, bits.select("cls", "bits"), percent, tile), "candidates")
     release(spark)
-    links = exact(candidates)
-    a, b = roots.select(F.col("cls").alias("a"), F.col("root").alias("root_a")), roots.select(F.col("cls").alias("b"), F.col("root").alias("root_b"))
-    bridges = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    merged = components(bridges).withColumnRenamed("node", "root")
+    if not candidates.isEmpty():
+        roots = joined(exact(candidates), roots)
 
-    placed = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(merged, "root", "left").withColumn("component", F.coalesce("component", "root"))
-    placed = materialize(placed.select("cls", "rep", "component"), "placed")
+    placed = materialize(classes.join(roots, "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("component")), "placed")
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = placed.join(least, "component").select("cls", "component_id")
     return rows.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
