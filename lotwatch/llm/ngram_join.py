@@ -37,7 +37,7 @@ HEAVY, TILE = 64, 512
 #: Rounds that join roots before tiles are compared in full, and pivots of a tile (and tries of a class) in each.
 ROUNDS, PIVOTS = 3, 4
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
-BITMAP_LEAST, BITMAP_MOST = 64, 1 << 15
+BITMAP_LEAST, BITMAP_MOST = 64, 1 << 17
 _MULTIPLIER, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
@@ -115,10 +115,10 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
 
 
 def bitmap(s) -> bytes:
-    """One bit per shingle, hashed into the next power of two from 2 |s| on."""
+    """One bit per shingle, hashed into the next power of two from 8 |s| on."""
     import numpy as np
 
-    width = min(max(BITMAP_LEAST, 1 << (2 * len(s) - 1).bit_length()), BITMAP_MOST)
+    width = min(max(BITMAP_LEAST, 1 << (8 * len(s) - 1).bit_length()), BITMAP_MOST)
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
