@@ -38,6 +38,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows, written as a table so that numbers stay, with a number of their own each; and that column's name."""
+    row = "_row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver drop the shuffle files of plans that nothing refers to any more, as after materialize()."""
     gc.collect()

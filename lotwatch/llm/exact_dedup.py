@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import ascii_lower, fresh_path, materialize, table
+from lotwatch.llm.common import ascii_lower, fresh_path, materialize, table, with_row
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Changelogs in place of whole snapshots per batch, and no preallocated log files: state on disk follows its rows.
@@ -62,15 +62,17 @@ def keyed_state(arrivals: DataFrame, checkpoint: str, files_per_trigger: int = 6
     return kept.select(F.col("key.digest").alias("digest"), keep["doc_id"].alias("keep_id"), keep["locator"].alias("locator"), n.alias("group_size"))
 
 
-def dedup(docs: DataFrame, digest=lambda text: F.sha2(text, 256)) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 and the kept row's locator, for every row of docs.
+def dedup(docs: DataFrame, digest=lambda text: F.sha2(text, 256), row: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, the row's locator and the kept row's, for every row of docs.
 
-    `digest` is a parameter so that tests can provoke collisions.
+    `digest` is a parameter so that tests can provoke collisions. Locators are column `row`, where it is given; else
+    they name no row beyond this call, and rows of collisions have none.
     """
     spark = docs.sparkSession
     text = normal_text()
     # monotonically_increasing_id is (partition, row): where in the input the content lies.
-    located = docs.select("doc_id", digest(text).alias("digest"), F.sha2(text, 256).alias("text_sha256"), F.monotonically_increasing_id().alias("locator"))
+    locator = (F.col(row) if row else F.monotonically_increasing_id()).alias("locator")
+    located = docs.select("doc_id", digest(text).alias("digest"), F.sha2(text, 256).alias("text_sha256"), locator)
     arrivals = materialize(located, "arrivals")
     state = keyed_state(arrivals.select("digest", "doc_id", "locator"), fresh_path(spark, "dedup-state"))
     state = materialize(state, "dedup-keys")
@@ -79,23 +81,24 @@ def dedup(docs: DataFrame, digest=lambda text: F.sha2(text, 256)) -> DataFrame:
     suspects = docs.select("doc_id", digest(text).alias("digest"), text.alias("content")).join(hits, "digest", "left_semi")
     contents = materialize(suspects.groupBy("digest", "content").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "collisions")
     sure = arrivals.join(contents, "digest", "left_anti").join(state, "digest")
-    out = sure.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", state["locator"].alias("keep_locator"))
+    out = sure.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", arrivals["locator"], state["locator"].alias("keep_locator"))
     if contents.isEmpty():
         return out
-    split = docs.select("doc_id", digest(text).alias("digest"), text.alias("content")).join(contents, "digest", "left_semi")
-    groups = split.groupBy("content").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    rest = split.join(groups, "content").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.sha2("content", 256).alias("text_sha256"), F.lit(None).cast("long").alias("keep_locator"))
+    split = docs.select("doc_id", digest(text).alias("digest"), text.alias("content"), (F.col(row) if row else F.lit(None).cast("long")).alias("locator")).join(contents, "digest", "left_semi")
+    groups = split.groupBy("content").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    rest = split.join(groups, "content").select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("keep.doc_id")).alias("kept"), F.sha2("content", 256).alias("text_sha256"), "locator", F.col("keep.locator").alias("keep_locator"))
     return out.unionByName(rest)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).drop("keep_locator")
+    return dedup(table(spark, sf_dir, "documents")).drop("locator", "keep_locator")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that stay, one of each group of equal texts, in the columns of documents."""
-    kept = dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """The documents that stay, one row of each group of equal texts, in the columns of documents."""
+    rows, row = with_row(docs, "dedup-rows")
+    kept = dedup(rows, row=row).filter("locator = keep_locator").select(F.col("locator").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 ORACLE = r"""

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import materialize, table, word_count
+from lotwatch.llm.common import materialize, table, with_row, word_count
 
 #: Weights of the sources in code point order, repeating.
 CYCLE = (3.0, 1.0, 2.0)
@@ -57,15 +57,18 @@ def targets(sources: DataFrame, share: float, most: float, cycle: tuple[float, .
     return x.select("no_source", "name", "source_size", F.least(F.col("cap"), F.coalesce(F.col("w") * F.col("final"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple[float, ...] = CYCLE, seed: int = 7, buckets: int = 1024) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple[float, ...] = CYCLE, seed: int = 7, buckets: int = 1024, row: str | None = None) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, taken (words), copies (whole documents).
 
+    With `row`, a column that numbers the rows, the number too; it orders repeated rows.
+
     The document at the end of a budget is taken in part, so a source's words are its target but for less than one
     word; `copies` counts that document as a whole one if at least half of it was taken.
     """
     size = word_count(F.col("text"))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") + 0.5) / F.lit(float(2**53))
-    rows = docs.select("doc_id", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("name"), size.alias("size"), quality_weight(F.col("text"), size).alias("weight"))
+    number = [F.col(row).alias("row")] if row else []
+    rows = docs.select("doc_id", *number, F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("name"), size.alias("size"), quality_weight(F.col("text"), size).alias("weight"))
     rows = rows.withColumn("key", -F.log(u) / F.col("weight"))
     # exp(-key) runs over (0, 1): a fixed monotone map of keys to ranges.
     rows = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int"))
@@ -76,13 +79,13 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple[flo
     ranges = ranges.withColumn("range_before", F.coalesce(F.sum("range_size").over(before), F.lit(0))).join(per_source, ["no_source", "name"])
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     ranges = ranges.withColumn("epochs", whole).withColumn("budget", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    inside = Window.partitionBy("no_source", "name", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("no_source", "name", "bucket").orderBy("key", "doc_id", "size", *["row"] * len(number)).rowsBetween(Window.unboundedPreceding, -1)
     out = rows.join(ranges, ["no_source", "name", "bucket"]).withColumn("sum_before", F.col("range_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("sum_before")))
     drawn = F.when(F.col("size") > 0, (2 * part >= F.col("size"))).otherwise(F.col("sum_before") < F.col("budget"))
     return out.select(
         "doc_id", "size", F.when(~F.col("no_source"), F.col("name")).alias("source"), "source_size", F.col("target").cast("double").alias("target"),
-        (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), (F.col("epochs") + drawn.cast("long")).cast("int").alias("copies"),
+        (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), (F.col("epochs") + drawn.cast("long")).cast("int").alias("copies"), *["row"] * len(number),
     )
 
 
@@ -92,6 +95,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, whole, in the columns of documents."""
-    copies = mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
+    rows, row = with_row(docs, "mix-rows")
+    copies = mix(rows, row=row).filter("copies > 0").select(F.col("row").alias(row), F.col("copies").alias("_copies"))
+    joined = rows.join(copies, row)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

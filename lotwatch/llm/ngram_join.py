@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import drop_table, materialize, release, table
+from lotwatch.llm.common import drop_table, materialize, release, table, with_row
 
 WORDS, PERCENT = 5, 80
 HEAVY, TILE = 64, 512
@@ -474,6 +474,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the least id, in the columns of documents."""
-    kept = near_duplicates(docs).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One row of each group of near duplicates, with the least id in it, in the columns of documents.
+
+    The join runs on row numbers in place of ids, which may be null or repeated.
+    """
+    rows, row = with_row(docs, "near-rows")
+    near = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    ids = rows.select(row, F.col("doc_id").alias("_id")).join(near, row)
+    kept = ids.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", row)).alias("keep")).select(F.col("keep")[row].alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

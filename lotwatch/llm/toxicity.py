@@ -88,8 +88,10 @@ def fit(toxic, features, steps: int = 600, ridge: float = 5e-5) -> Model:
     n1, n0 = int(y.sum()), int((~y).sum())
     if not n1 or not n0:
         return Model({}, [30.0, 31.0, 32.0])
-    rows = [np.unique(np.frombuffer(f, np.int32), return_counts=True) for f in features]
-    df = [np.bincount(np.concatenate([np.empty(0, np.int64), *(r[0] for r, t in zip(rows, y) if t == k)]).astype(np.int64), minlength=DIMS) for k in (False, True)]
+    # Each row's counts are made twice and never held for all rows: the driver has a bound on its memory.
+    df = np.zeros((2, DIMS), np.int64)
+    for f, t in zip(features, y):
+        df[int(t), np.unique(np.frombuffer(f, np.int32))] += 1
     odds = np.log((df[1] + 0.1) / (n1 + 0.2 - df[1] + 0.1)) - np.log((df[0] + 0.1) / (n0 + 0.2 - df[0] + 0.1))
     z = odds / np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5))
     z[(df[1] < 3) | (odds < 1.5)] = 0
@@ -100,7 +102,8 @@ def fit(toxic, features, steps: int = 600, ridge: float = 5e-5) -> Model:
     place = np.full(DIMS, -1)
     place[chosen] = np.arange(len(chosen))
     x = np.zeros((len(y), len(chosen)), np.float32)
-    for i, (ids, counts) in enumerate(rows):
+    for i, f in enumerate(features):
+        ids, counts = np.unique(np.frombuffer(f, np.int32), return_counts=True)
         at = place[ids]
         x[i, at[at >= 0]] = np.log1p(counts[at >= 0])
     marks = x.sum(1)
@@ -132,31 +135,38 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return fit(sample["toxic"].to_numpy(), list(sample["features"]))
 
 
+def scored(batches, model: Model):
+    """Each batch with its rows' P(grade > k)."""
+    import numpy as np
+
+    weights = model.weights
+    names: dict[str, str] = {}
+    marks: dict[str, tuple[int, ...]] = {}
+    for batch in batches:
+        total = np.zeros(batch.num_rows)
+        for i, text in enumerate(batch["text"].to_pylist()):
+            counts: dict[int, int] = {}
+            for word in distinct_words(text, names):
+                own = marks.get(word)
+                if own is None:
+                    own = marks[word] = tuple(x for x in word_features(word) if x in weights)
+                for x in own:
+                    counts[x] = counts.get(x, 0) + 1
+            total[i] = sum(weights[x] * np.log1p(n) for x, n in sorted(counts.items()))
+            if len(names) > CACHE:
+                names.clear(), marks.clear()
+        yield batch, model.above(total)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, p_toxic, expected_severity, severity (the likeliest grade) and toxic, for every row."""
-    weights = model.weights
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        names: dict[str, str] = {}
-        marks: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
-            total = np.zeros(batch.num_rows)
-            for i, text in enumerate(batch["text"].to_pylist()):
-                counts: dict[int, int] = {}
-                for word in distinct_words(text, names):
-                    own = marks.get(word)
-                    if own is None:
-                        own = marks[word] = tuple(x for x in word_features(word) if x in weights)
-                    for x in own:
-                        counts[x] = counts.get(x, 0) + 1
-                total[i] = sum(weights[x] * np.log1p(n) for x, n in sorted(counts.items()))
-                if len(names) > CACHE:
-                    names.clear(), marks.clear()
-            above = model.above(total)
-            each = -np.diff(np.column_stack([np.ones(len(total)), above, np.zeros(len(total))]), axis=1)
+        for batch, above in scored(batches, model):
+            each = -np.diff(np.column_stack([np.ones(len(above)), above, np.zeros(len(above))]), axis=1)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch["doc_id"], "p_toxic": above[:, 0], "expected_severity": above.sum(1),
                 "severity": each.argmax(1).astype(np.int32), "toxic": above[:, 0] >= 0.5,
@@ -172,6 +182,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that aren't toxic."""
-    bad = score(docs, train(docs, table(spark, sf_dir, "labels"))).filter("toxic").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The documents that aren't toxic, each judged by its own text, whatever other rows share its id."""
+    model = train(docs, table(spark, sf_dir, "labels"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch, above in scored(batches, model):
+            yield batch.filter(pa.array(above[:, 0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
