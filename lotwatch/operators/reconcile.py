@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -104,14 +104,17 @@ def newest_kept(df: DataFrame, n: int, newest: Column, key: str, protected: Data
 def watch_hits(watched: DataFrame, rows: DataFrame, watch_key: str, source: str, lot: str, url: str, phrase: str, description: str, position: str) -> DataFrame:
     """The first row of the same source that each watched item matches: by lot, by url, or by its phrase in the text.
 
-    Three joins that find equal keys or, for phrases, words of the text; no row meets every item. The phrase of an
-    item must be one word of letters and digits here; its row has that word.
+    Rows are first reduced to the least position of each key (lot, url, word of the text) of a source, so an item meets
+    one row per key, however many rows and items a source has. The phrase of an item must be one word of letters and
+    digits here; its row has that word.
     """
-    by_lot = watched.join(rows, (watched[source] == rows[source]) & (watched[lot] == rows[lot]))
-    by_url = watched.join(rows, (watched[source] == rows[source]) & (watched[url] == rows[url]))
-    words = rows.withColumn("_word", F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(description), F.lit(""))), "[^a-z0-9]+"))))
-    by_word = watched.join(words, (watched[source] == words[source]) & (F.lower(watched[phrase]) == words["_word"]))
-    found = [x.select(watched[watch_key], rows_[position].alias(position), F.lit(how).alias("how"), F.lit(k).alias("_how")) for k, (x, rows_, how) in enumerate([(by_lot, rows, "lot"), (by_url, rows, "url"), (by_word, words, "phrase")])]
-    all_ = found[0].unionByName(found[1]).unionByName(found[2])
-    w = Window.partitionBy(watch_key).orderBy(position, "_how")
-    return all_.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_how")
+    item = watched.select(*[F.col(c).alias(n) for c, n in ((watch_key, "_item"), (source, "_source"), (lot, "_lot"), (url, "_url"))], F.lower(phrase).alias("_word"))
+    row = rows.select(*[F.col(c).alias(n) for c, n in ((source, "_source"), (lot, "_lot"), (url, "_url"), (description, "_text"), (position, "_at"))])
+    words = row.withColumn("_word", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("_text", F.lit(""))), "[^a-z0-9]+"))))
+    hits = None
+    for k, (seen, key, how) in enumerate([(row, "_lot", "lot"), (row, "_url", "url"), (words, "_word", "phrase")]):
+        first = seen.groupBy("_source", key).agg(F.min("_at").alias("_at"))
+        x = item.select("_item", "_source", key).join(first, ["_source", key]).select("_item", "_at", F.lit(k).alias("_k"), F.lit(how).alias("how"))
+        hits = x if hits is None else hits.unionByName(x)
+    best = hits.groupBy("_item").agg(F.min(F.struct("_at", "_k", "how")).alias("_hit"))
+    return best.select(F.col("_item").alias(watch_key), F.col("_hit._at").alias(position), F.col("_hit.how").alias("how"))
