@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def reconcile(previous: DataFrame, current: DataFrame, receipts: DataFrame, keys: Sequence[str], group: str) -> DataFrame:
@@ -101,19 +104,55 @@ def newest_kept(df: DataFrame, n: int, newest: Column, key: str, protected: Data
     return df.join(keep, key, "left_semi")
 
 
+@F.pandas_udf(StringType())
+def folded(texts: pd.Series) -> pd.Series:
+    """Lower case without any combining marks (NFKD), white space collapsed, null as the empty text."""
+
+    def one(text: str | None) -> str:
+        plain = unicodedata.normalize("NFKD", text or "")
+        return " ".join("".join(c for c in plain if not unicodedata.combining(c)).lower().split())
+
+    return texts.map(one)
+
+
+def grams(text: Column, n: int) -> Column:
+    """The substrings of n characters; a shorter text itself."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
+
+
+def phrase_hits(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(_source, _want, _at): the least position of a text of the source that contains the phrase, both folded.
+
+    A text that contains a phrase has each three letters in a row of it (or the whole of a shorter phrase): candidates
+    are the texts that have those of the phrase that fewest texts of the source have.
+    """
+    sizes = F.array(F.lit(""))
+    for n in (1, 2, 3):
+        sizes = F.concat(sizes, grams(F.col("_text"), n))
+    dealt = texts.withColumn("_gram", F.explode(F.array_distinct(sizes)))
+    counts = dealt.groupBy("_source", "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    own = wanted.withColumn("_gram", F.explode(F.array_distinct(grams(F.col("_want"), 3)))).join(counts, ["_source", "_gram"], "left")
+    rarest = own.groupBy("_source", "_want").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_gram")).alias("_least"))
+    keyed = rarest.select("_source", "_want", F.col("_least._gram").alias("_gram"))
+    return keyed.join(dealt, ["_source", "_gram"]).filter(F.contains("_text", "_want")).groupBy("_source", "_want").agg(F.min("_at").alias("_at"))
+
+
 def watch_hits(watched: DataFrame, rows: DataFrame, watch_key: str, source: str, lot: str, url: str, phrase: str, description: str, position: str) -> DataFrame:
     """The first row of the same source that each watched item matches: by lot, by url, or by its phrase in the text.
 
-    Rows are first reduced to the least position of each key (lot, url, word of the text) of a source, so an item meets
-    one row per key, however many rows and items a source has. The phrase of an item must be one word of letters and
-    digits here; its row has that word.
+    Rows are first reduced to the least position of each key (lot, url, folded text) of a source, and phrases to the
+    distinct ones, so an item meets one row per key, however many rows and items a source has. A phrase matches
+    wherever the folded text contains it, within words too; a blank one matches nothing.
     """
-    item = watched.select(*[F.col(c).alias(n) for c, n in ((watch_key, "_item"), (source, "_source"), (lot, "_lot"), (url, "_url"))], F.lower(phrase).alias("_word"))
+    item = watched.select(*[F.col(c).alias(n) for c, n in ((watch_key, "_item"), (source, "_source"), (lot, "_lot"), (url, "_url"), (phrase, "_phrase"))])
     row = rows.select(*[F.col(c).alias(n) for c, n in ((source, "_source"), (lot, "_lot"), (url, "_url"), (description, "_text"), (position, "_at"))])
-    words = row.withColumn("_word", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("_text", F.lit(""))), "[^a-z0-9]+"))))
+    texts = row.groupBy("_source", "_text").agg(F.min("_at").alias("_at"))
+    texts = texts.select("_source", folded("_text").alias("_text"), "_at").groupBy("_source", "_text").agg(F.min("_at").alias("_at"))
+    phrases = item.filter(F.col("_phrase").rlike(r"(?U)[^\s\x1c-\x1f]")).select("_source", "_phrase").distinct().withColumn("_want", folded("_phrase"))
+    by_phrase = phrases.join(phrase_hits(phrases.select("_source", "_want").distinct(), texts), ["_source", "_want"])
     hits = None
-    for k, (seen, key, how) in enumerate([(row, "_lot", "lot"), (row, "_url", "url"), (words, "_word", "phrase")]):
-        first = seen.groupBy("_source", key).agg(F.min("_at").alias("_at"))
+    for k, (key, how) in enumerate([("_lot", "lot"), ("_url", "url"), ("_phrase", "phrase")]):
+        first = by_phrase.select("_source", "_phrase", "_at") if key == "_phrase" else row.groupBy("_source", key).agg(F.min("_at").alias("_at"))
         x = item.select("_item", "_source", key).join(first, ["_source", key]).select("_item", "_at", F.lit(k).alias("_k"), F.lit(how).alias("how"))
         hits = x if hits is None else hits.unionByName(x)
     best = hits.groupBy("_item").agg(F.min(F.struct("_at", "_k", "how")).alias("_hit"))

@@ -1,5 +1,7 @@
 """Reconciliation on rows that are few but hard."""
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from lotwatch import registry
@@ -33,3 +35,23 @@ def test_watch_hits_first_row_and_way(spark):
     rows = [("a", "1", "u", "Silver coin", 9), ("a", "2", "v", "coin", 3), ("b", "1", "u", "coin", 1)]
     items = [(1, "a", "1", None, None), (2, "a", "1", "v", None), (3, "a", None, None, "COIN"), (4, "b", "2", None, "coin"), (5, "a", "7", "x", "gold"), (6, "a", "2", "v", "coin")]
     assert hits(spark, items, rows) == {1: (9, "lot"), 2: (3, "url"), 3: (3, "phrase"), 4: (1, "phrase"), 6: (3, "lot")}
+
+
+def plain(text):
+    """normalize_text of the reference."""
+    out = "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c))
+    return " ".join(out.lower().split())
+
+
+def test_watch_hits_by_phrases_like_the_reference(spark):
+    """Several words, accents, parts of words, short and blank phrases, punctuation; every phrase against every text."""
+    texts = ["Old silver  COIN of 1890", "quicksilver coins", "Dvořák, complete works", "CAFÉ de la Paix", "café set", "", None, "a", "½ crown (ﬁne)", "50% off_lot", "日本 コイン", "ab", "x-ray tube", "İstanbul"]
+    rows = [(s, None, None, t, i) for s, ts in (("a", texts), ("b", texts[::-1])) for i, t in enumerate(ts)]
+    phrases = ["silver coin", "SILVER", "ver coin", "er  co", "dvorak", "Dvořák, Comp", "Cafe", "café set", "a", "b", "ab", "", " ", "\u3000", None, "1⁄2", "fine", "%", "_lot", ".*", "本", "x-ray", "missing words here", "istanbul", "́", "silver\tcoin\n"]
+    items = [(2 * i + k, s, None, None, p) for i, p in enumerate(phrases) for k, s in enumerate("ab")]
+    want = {}
+    for item, source, _, _, phrase in items:
+        at = [pos for s, _, _, t, pos in rows if s == source and (phrase or "").strip() and plain(phrase) in plain(t)]
+        if at:
+            want[item] = (min(at), "phrase")
+    assert hits(spark, items, rows) == want and len(want) > 30
