@@ -32,18 +32,24 @@ def coverage(wanted: DataFrame, searched: DataFrame, keys: Sequence[str], by: Se
     return x.groupBy(*by).agg(F.count(F.lit(1)).alias("wanted"), F.count("_hit").alias("covered")).withColumn("uncovered", F.col("wanted") - F.col("covered"))
 
 
-def greedy_plan(candidates: DataFrame, group: Sequence[str], rank: str, cost: str, key: str, budget: int, most: int = 1000) -> DataFrame:
+def greedy_plan(candidates: DataFrame, group: Sequence[str], rank: str, cost: str, key: str, budget: int) -> DataFrame:
     """Walk each group's candidates in rank order and take each that still fits; one that doesn't is skipped.
 
-    That isn't a running sum, so the walk is a fold over the group's `most` best candidates: a plan of a run has
-    a budget and never looks further.
+    That isn't a running sum, so the walk is a fold, over the rows that it can take at all: once a row of a cost doesn't
+    fit, no later one of that cost does, so of a cost c only the first budget div c rows count. Rows without cost always
+    fit and stay out of the fold. Costs are whole units; a negative one fails, and one that is null is skipped.
     """
-    w = Window.partitionBy(*group).orderBy(rank, key)
-    few = candidates.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= most)
-    listed = few.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_rn", F.col(cost).cast("long").alias("cost"), F.col(key).alias("key")))).alias("xs"))
+    least = F.col(cost).cast("long")
+    rows = candidates.withColumn("_cost", F.when(least < 0, F.raise_error(F.lit("greedy_plan: a cost is negative"))).otherwise(least))
+    free = rows.filter((F.col("_cost") == 0) & F.lit(budget >= 0)).select(*group, key)
+    alike = Window.partitionBy(*group, "_cost").orderBy(rank, key)
+    # The first condition follows from the second; a constant lets Spark prune before it shuffles.
+    few = rows.filter("_cost > 0").withColumn("_rn", F.row_number().over(alike)).filter((F.col("_rn") <= budget) & (F.col("_rn") <= F.expr(f"{budget}L div _cost")))
+    few = few.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(rank, key)))
+    listed = few.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_rn", F.col("_cost").alias("cost"), F.col(key).alias("key")))).alias("xs"))
     empty = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast(f"array<{dict(candidates.dtypes)[key]}>").alias("taken"))
     step = lambda a, x: F.when(x["cost"] <= a["left"], F.struct((a["left"] - x["cost"]).alias("left"), F.array_append(a["taken"], x["key"]).alias("taken"))).otherwise(a)
-    return listed.withColumn("plan", F.aggregate("xs", empty, step)).select(*group, F.explode("plan.taken").alias(key))
+    return listed.withColumn("plan", F.aggregate("xs", empty, step)).select(*group, F.explode("plan.taken").alias(key)).unionByName(free)
 
 
 def quotas(ranked: DataFrame, kind: str, limits: dict[str, int], *order: Column | str) -> DataFrame:
