@@ -73,3 +73,17 @@ def drop_table(df: DataFrame) -> None:
     """Remove a materialized table that nothing reads any more."""
     for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
         delete_path(df.sparkSession, path)
+
+
+def slices(batch, column: str, most: int):
+    """An Arrow batch in parts of consecutive rows with at most so many bytes in a text column, or one row each."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(upto):
+        before = int(upto[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, before + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end

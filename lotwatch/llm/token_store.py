@@ -14,16 +14,17 @@ order of their texts; an empty table gives no files and an empty result; extra c
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import fresh_path, materialize, table
+from lotwatch.llm.common import fresh_path, materialize, slices, table
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
-FILE_IDS, CACHE = 4_000_000, 700_000
+FILE_IDS, CACHE, TEXT_BYTES = 4_000_000, 350_000, 1_000_000
 MAGIC = b"EFT1"
 #: magic, bytes per id, range, file of the range, documents, null ids among them, least id, ids, bytes of both codes
 HEADER = struct.Struct("<4sBqqqqqqqq")
@@ -137,11 +138,19 @@ class TokenFile:
         return [None] * self.nulls + (self.docs.select(np.arange(self.docs.n)) + self.least).tolist()
 
 
+#: Letters and signs of which lower-casing, composition and the tokenizer's pattern are known letter by letter.
+LETTERS, SIGNS = "a-zß-öø-ÿ", "¡¿–—‘’“”…"
+_beyond = re.compile(f"[^\t-\r -~À-ÖØ-öø-ÿ{SIGNS}]|<\\|")
+_pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\s{LETTERS}0-9]+")
+
+
 class WordTokenizer:
-    """The tokenizer with a cache of what stands between spaces: none of its tokens holds a space or a line feed.
+    """The tokenizer with a cache of pieces of texts, over which its ids simply follow each other.
 
-    The cache has two generations: when the younger is full it becomes the older, from which what is met again comes
-    back, so that frequent words are never tokenized twice and memory stays bounded.
+    Texts of plain Latin letters fall into the matches of the tokenizer's own pattern. Any other text (or one that may
+    hold a special token's string) falls into what stands between spaces: no token holds a space or a line feed.
+    Pieces that aren't known go to the library together. The cache has two generations: when the younger is full it
+    becomes the older, from which what is met again comes back, so that memory stays bounded.
     """
 
     def __init__(self, path: str) -> None:
@@ -153,23 +162,24 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian integers of `width` bytes."""
-        import numpy as np
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian integers of `width` bytes."""
+        from array import array
 
-        text = text.replace("\n", " ")
-        if text.isascii() and "<|" not in text:  # else a special token's string may be in it
-            text = text.lower()  # the tokenizer does so too
-        units = text.split(" ")
+        cut = [x.replace("\n", " ").split(" ") if _beyond.search(x) else _pieces.findall(x.lower()) for x in texts]
         if len(self.known) > CACHE:
             self.known, self.older = {"": b""}, self.known
-        if new := set(units).difference(self.known):
-            back = new.intersection(self.older)
-            self.known.update((u, self.older[u]) for u in back)
-            if new := list(new - back):
-                for unit, coded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                    self.known[unit] = np.array(coded.ids, f"<u{self.width}").tobytes()
-        return b"".join(map(self.known.__getitem__, units))
+        known, older = self.known, self.older
+        new = []
+        for unit in set().union(*cut):
+            if unit not in known:
+                if unit in older:
+                    known[unit] = older[unit]
+                else:
+                    new.append(unit)
+        for unit, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            known[unit] = array("H" if self.width == 2 else "I", coded.ids).tobytes()
+        return [b"".join(map(known.__getitem__, x)) for x in cut]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -192,13 +202,13 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_I
         end = end_id.to_bytes(t.width, "little")
         range_no, file_no, doc_ids, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                coded = t.encode(text.as_py() or "") + end
-                doc_ids.append(doc_id), ids.append(coded)
-                size += len(coded) // t.width
-                if size >= file_ids:
-                    yield pa.RecordBatch.from_pydict({"file": pa.array([pack_file(range_no, file_no, doc_ids, ids, t.width)], pa.binary())})
-                    file_no, doc_ids, ids, size = file_no + 1, [], [], 0
+            for part in slices(batch, "text", TEXT_BYTES):
+                for doc_id, coded in zip(part["doc_id"].to_pylist(), t.encode([x or "" for x in part["text"].to_pylist()])):
+                    doc_ids.append(doc_id), ids.append(coded + end)
+                    size += len(ids[-1]) // t.width
+                    if size >= file_ids:
+                        yield pa.RecordBatch.from_pydict({"file": pa.array([pack_file(range_no, file_no, doc_ids, ids, t.width)], pa.binary())})
+                        file_no, doc_ids, ids, size = file_no + 1, [], [], 0
         if ids:
             yield pa.RecordBatch.from_pydict({"file": pa.array([pack_file(range_no, file_no, doc_ids, ids, t.width)], pa.binary())})
 
