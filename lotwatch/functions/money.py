@@ -104,7 +104,7 @@ def decision_band(ratio: Column) -> Column:
 
 def price_points(ratio: Column, most: float = 25.0) -> Column:
     """All points at 0.75 of the benchmark or below, none from 1.30 on."""
-    return F.round(most * F.least(F.greatest((1.30 - ratio) / 0.55, F.lit(0.0)), F.lit(1.0)), 2)
+    return cents(most * F.least(F.greatest((1.30 - ratio) / 0.55, F.lit(0.0)), F.lit(1.0)))
 
 
 def confidence(hit: Column, total: Column, unverified: Column, blocked: Column) -> Column:

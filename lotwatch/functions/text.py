@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lotwatch.functions import keywords as K
+
 _ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
 _PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
 
@@ -123,21 +125,34 @@ def compilation_words(tokens: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(tokens, lambda t: F.element_at(names, t)), lambda t: t.isNotNull()))
 
 
-def lot_size(title: Column, patterns: Sequence[str] = (r"\blot of (\d{1,3})\b", r"\blote de (\d{1,3})\b", r"\b(\d{1,3}) (?:games|juegos|pieces|pcs)\b")) -> Column:
-    """The one number of pieces, 1 to 500, that a title declares; null for none or for several different ones."""
-    text = normalize(title)
-    found = F.array_distinct(F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(p), 1), lambda x: x.cast("int")) for p in patterns])))
-    found = F.filter(found, lambda n: (n >= 1) & (n <= 500))
+def without_platforms(lowered: Column) -> Column:
+    for p in K.PLATFORM_PATTERNS:
+        lowered = F.regexp_replace(lowered, p, " ")
+    return lowered
+
+
+def lot_size(title: Column, patterns: Sequence[str] = K.LOT_PATTERNS, most: int = K.MOST_PIECES) -> Column:
+    """The one number of pieces that a title declares, in digits or words; null for none or for several different ones."""
+    text = without_platforms(F.concat(F.lit(" "), F.lower(F.coalesce(title, F.lit(""))), F.lit(" ")))
+    words = F.create_map(*[x for i, w in enumerate(K.NUMBER_WORDS) for x in (F.lit(w), F.lit(i + 1))])
+    found = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), 1) for p in patterns])))
+    found = F.array_distinct(F.transform(found, lambda x: F.coalesce(x.try_cast("int"), F.element_at(words, x))))
+    found = F.filter(found, lambda n: (n >= 1) & (n <= most))
     return F.when(F.size(found) == 1, F.try_element_at(found, F.lit(1)))
 
 
-def strip_html(html: Column, most: int = 6000) -> Column:
-    """Text of a page: no scripts, styles or tags, the common entities read, white space collapsed, cut at `most`."""
+#: Fixed value: what a preview of a page shows.
+PREVIEW = 6000
+
+
+def strip_html(html: Column, most: int | None = None) -> Column:
+    """Text of a page: no scripts, styles or tags, the common entities read, white space collapsed; cut at `most` if given."""
     out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     out = F.regexp_replace(out, r"(?s)<[^>]+>", " ")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.substring(F.trim(F.regexp_replace(out, r"[ \t\n\r\f]+", " ")), 1, most)
+    out = F.trim(F.regexp_replace(out, r"[ \t\n\r\f]+", " "))
+    return out if most is None else F.substring(out, 1, most)
 
 
 def tag_attribute(html: Column, tag: str, name: str) -> Column:

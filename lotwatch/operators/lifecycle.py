@@ -66,4 +66,4 @@ def backoff_seconds(attempts: Column, steps: Sequence[int] = (60, 300, 900, 3600
 
 def outbox_id(kind: Column, run: Column, ids: Column) -> Column:
     """One id for a kind, a run and a set of items, in whatever order they come."""
-    return F.sha1(F.concat_ws("\x00", kind, run, F.array_join(F.array_sort(ids), ",")))
+    return F.sha1(F.concat_ws("\x00", F.concat(F.array(kind, run), F.array_sort(ids))).cast("binary"))

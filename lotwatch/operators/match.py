@@ -66,7 +66,7 @@ RULES = (
     Rule(("pong",), _gaming_but("pong"), pattern=K.PING_PONG, alone=True),
     Rule(("cartucho", "cartuchos"), K.GAMING),
 )
-SEARCHED = (*K.STRONG, *K.SEARCH_ONLY, *K.GENERIC, *K.FRANCHISES)
+SEARCHED = K.searched()
 
 
 def nothing() -> Column:

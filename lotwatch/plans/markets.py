@@ -68,7 +68,7 @@ _RATIO = "price / (20 * size + 1000)"
 _BAND = "CASE WHEN {0} IS NULL THEN NULL WHEN {0} <= 0.75 THEN 'ganga' WHEN {0} <= 0.9 THEN 'buena' WHEN {0} <= 1.1 THEN 'razonable' WHEN {0} <= 1.3 THEN 'premium' ELSE 'caro' END"
 
 
-@query("math12_decision_band", f"WITH {LISTING} SELECT listing_id, {_BAND.format(f'({_RATIO})')} AS band, round(25 * least(greatest((1.30 - {_RATIO}) / 0.55, 0), 1), 2) AS points FROM l")
+@query("math12_decision_band", f"WITH {LISTING} SELECT listing_id, {_BAND.format(f'({_RATIO})')} AS band, round(25 * least(greatest((1.30 - {_RATIO}) / 0.55, 0), 1) + 1e-9, 2) AS points FROM l")
 def math12(t: Tables) -> DataFrame:
     ratio = F.col("price") / (20 * F.col("size") + 1000)
     return listings(t).select("listing_id", V.decision_band(ratio).alias("band"), V.price_points(ratio).alias("points"))
@@ -425,7 +425,7 @@ def src15(t: Tables) -> DataFrame:
     return rows.first_wins(listings(t), ["source_id", "l_partkey"], "search", "listing_id").select("source_id", "l_partkey", "listing_id")
 
 
-@query("prj17_listing_id", "SELECT l_orderkey, l_linenumber, l_suppkey || '-' || sha1(l_suppkey || chr(1) || l_orderkey)[1:20] AS id FROM lineitem")
+@query("prj17_listing_id", "SELECT l_orderkey, l_linenumber, l_suppkey || '-' || sha1(l_suppkey || chr(0) || l_orderkey)[1:20] AS id FROM lineitem")
 def prj17(t: Tables) -> DataFrame:
-    key = F.sha1(F.concat_ws("\x01", F.col("l_suppkey").cast("string"), F.col("l_orderkey").cast("string")).cast("binary"))
+    key = F.sha1(F.concat_ws("\x00", F.col("l_suppkey").cast("string"), F.col("l_orderkey").cast("string")).cast("binary"))
     return t.lineitem.select("l_orderkey", "l_linenumber", F.concat_ws("-", F.col("l_suppkey").cast("string"), F.substring(key, 1, 20)).alias("id"))

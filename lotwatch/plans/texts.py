@@ -178,9 +178,9 @@ def strf30(t: Tables) -> DataFrame:
 _STRIP = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g'))".replace('\\"', '"')
 
 
-@query("strf31_strip_html", f"SELECT page_id, {_STRIP}[1:6000] AS body FROM pages")
+@query("strf31_strip_html", f"SELECT page_id, {_STRIP} AS body, {_STRIP}[1:6000] AS preview FROM pages")
 def strf31(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", X.strip_html(F.col("html")).alias("body"))
+    return t.pages.select("page_id", X.strip_html(F.col("html")).alias("body"), X.strip_html(F.col("html"), X.PREVIEW).alias("preview"))
 
 
 @query("strf32_html_fields", r"""SELECT page_id, regexp_extract(html, '<html\b[^>]*\slang="([^"]*)"', 1) AS lang, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS title FROM pages""")
