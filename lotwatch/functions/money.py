@@ -129,3 +129,15 @@ def money_en(x: Column) -> Column:
 
 def money_es(x: Column) -> Column:
     return F.translate(F.format_number(x, 2), ",.", ".,")
+
+
+def auction_charges(price: Column, premium_percent: Column, tax_percent: Column, others: Column) -> Column:
+    """Premium on a hammer price, tax on the premium, and the total with other charges."""
+    premium = cents(price * (premium_percent / 100))
+    tax = cents(premium * (tax_percent / 100))
+    return F.struct(premium.alias("premium"), tax.alias("tax"), cents(price + premium + tax + F.coalesce(others, F.lit(0.0))).alias("total"))
+
+
+def lot_ceiling(pieces: Column, ceiling: Column, filler: Column) -> Column:
+    """The pieces' ceilings together, half of it for a lot of filler."""
+    return cents(pieces * ceiling * F.when(filler, 0.5).otherwise(1.0))
