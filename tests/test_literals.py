@@ -51,3 +51,19 @@ def test_outbox_id(spark):
 def test_page_texts_are_whole(spark):
     body = spark.range(1).select(X.strip_html(F.concat(F.lit("<p>"), F.repeat(F.lit("a b "), 3000)))).first()[0]
     assert len(body) == 11_999
+
+
+@pytest.mark.parametrize(
+    ("title", "core", "subtitle", "sequel"),
+    [
+        ("dark souls 2", "dark souls", "", True), ("dark souls", "dark souls", "", False), ("dark souls dark souls 2", "dark souls", "", False), ("red dead redemption 2 discs", "red dead redemption", "", False),
+        ("dark souls 2 disc only", "dark souls", "", True), ("god war collection 2 in 1", "god war collection", "", False), ("halo 2", "halo", "combat evolved", True), ("spyro 3 year dragon", "spyro", "year dragon", False),
+        ("final fantasy 7 7", "final fantasy 7", "", False), ("mario kart 64 2 player", "mario kart", "", False), ("other thing", "halo", "", False),
+    ],
+)
+def test_names_a_sequel(spark, title, core, subtitle, sequel):
+    from lotwatch.operators import rules
+
+    words = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
+    row = spark.createDataFrame([(title, core, subtitle)], "t string, c string, s string")
+    assert row.select(rules.names_a_sequel(words(F.col("t")), words(F.col("c")), words(F.col("s")))).first()[0] is sequel
