@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lotwatch.functions.money import confidence
 from lotwatch.functions.text import COMPLETENESS_SIGNALS, completeness_of, contains_term, first_signal, let, normalize, region_of
 
-# Words by which listings say what state they are in.
+# Words by which listings say what state they are in, and how they deny being a copy.
 TESTED = ("tested", "working", "fully functional", "functional", "probado", "funciona")
 UNTESTED = ("untested", "not tested", "as-is", "as is", "for parts", "parts only", "sin probar")
 REPRODUCTION = ("reproduction", "repro", "bootleg", "counterfeit", "fake", "pirata")
@@ -22,35 +22,43 @@ def _item(kind: str, text: Column | str, when: Column, signals: int = 0, hit: Co
     return F.when(when, F.struct(F.lit(kind).alias("kind"), text.alias("text"), F.lit(signals).alias("signals"), (F.lit(0) if hit is None else hit.cast("int")).alias("hit")))
 
 
-def evaluate(title: Column, price: Column, shipping: Column, criteria: dict[str, Column]) -> Column:
-    """Struct of matched, confidence, reasons, blockers and unverified for a listing and a search's criteria.
-
-    criteria may hold: include, any, exclude, prefer (arrays of terms), max_item, max_total, min_lot, lot (numbers),
-    completeness, region (text), tested and allow_copies (booleans). Missing or null criteria don't judge.
-    """
-    get = lambda name, kind: criteria.get(name, F.lit(None).cast(kind)).alias(name)
-    terms = lambda name: F.transform(F.coalesce(get(name, "array<string>"), F.array().cast("array<string>")), lambda t: normalize(t)).alias(name)
-    base = F.struct(
-        normalize(title).alias("text"), price.alias("price"), shipping.alias("shipping"),
-        *map(terms, ("include", "any", "exclude", "prefer")), *[get(k, "double") for k in ("max_item", "max_total", "min_lot", "lot")],
-        get("completeness", "string"), get("region", "string"), get("tested", "boolean"), get("allow_copies", "boolean"),
-    )
+def text_signals(title: Column, criteria: dict[str, Column]) -> Column:
+    """What the rules look at in a title, given the criteria's terms (include, any, exclude, prefer): the same for equal ones."""
+    terms = lambda name: F.transform(F.coalesce(criteria.get(name, F.lit(None)).cast("array<string>"), F.array().cast("array<string>")), lambda t: normalize(t)).alias(name)
+    base = F.struct(normalize(title).alias("text"), *map(terms, ("include", "any", "exclude", "prefer")))
 
     def read(b: Column) -> Column:
-        """What several rules look at, once."""
         text, holds = b["text"], lambda t: contains_term(b["text"], t)
         return F.struct(
-            b.alias("b"), completeness_of(text).alias("declared"), region_of(text).alias("seen"), F.filter(b["include"], lambda t: ~holds(t)).alias("missing"), F.filter(b["exclude"], holds).alias("banned"), F.exists(b["any"], holds).alias("some"), F.exists(b["prefer"], holds).alias("liked"),
+            *[b[c].alias(c) for c in ("include", "any", "prefer")],
+            completeness_of(text).alias("declared"), region_of(text).alias("seen"), F.filter(b["include"], lambda t: ~holds(t)).alias("missing"), F.filter(b["exclude"], holds).alias("banned"), F.exists(b["any"], holds).alias("some"), F.exists(b["prefer"], holds).alias("liked"),
             (let(F.regexp_replace(text, NEGATED_COPY, " "), lambda t: first_signal(t, REPRODUCTION)) != "").alias("copy"), (first_signal(text, UNTESTED) != "").alias("untested"), (first_signal(text, TESTED) != "").alias("works"), (first_signal(text, CASE_ONLY) != "").alias("case"),
         )
 
-    return let(let(let(base, read), _findings), _summed)
+    return let(base, read)
+
+
+def judge(signals: Column, price: Column, shipping: Column, criteria: dict[str, Column]) -> Column:
+    """Struct of matched, confidence, reasons, blockers and unverified, from text_signals() and the numbers.
+
+    criteria may further hold: max_item, max_total, min_lot, lot (numbers), completeness, region (text), tested and
+    allow_copies (booleans). Missing or null criteria don't judge.
+    """
+    get = lambda name, kind: criteria.get(name, F.lit(None)).cast(kind).alias(name)
+    numbers = [get(k, "double") for k in ("max_item", "max_total", "min_lot", "lot")]
+    base = F.struct(signals.alias("d"), price.alias("price"), shipping.alias("shipping"), *numbers, get("completeness", "string"), get("region", "string"), get("tested", "boolean"), get("allow_copies", "boolean"))
+    return let(let(base, _findings), _summed)
+
+
+def evaluate(title: Column, price: Column, shipping: Column, criteria: dict[str, Column]) -> Column:
+    """judge() on a title's own text_signals(); for many listings of few titles read those once a title and join them."""
+    return judge(text_signals(title, criteria), price, shipping, criteria)
 
 
-def _findings(d: Column) -> Column:
+def _findings(b: Column) -> Column:
     """What the rules find, in their order."""
-    b = d["b"]
-    include, any_, prefer, missing, banned, some, liked = b["include"], b["any"], b["prefer"], d["missing"], d["banned"], d["some"], d["liked"]
+    d = b["d"]
+    include, any_, prefer, missing, banned, some, liked = d["include"], d["any"], d["prefer"], d["missing"], d["banned"], d["some"], d["liked"]
     price, shipping, total = b["price"], b["shipping"], b["price"] + F.coalesce(b["shipping"], F.lit(0.0))
     max_item, max_total, min_lot, lot = b["max_item"], b["max_total"], b["min_lot"], b["lot"]
     want, declared, region, seen = b["completeness"], d["declared"], b["region"], d["seen"]
@@ -95,4 +103,4 @@ def _summed(f: Column) -> Column:
     return F.struct((~blocked).alias("matched"), sure.alias("confidence"), of("reason").alias("reasons"), of("block").alias("blockers"), of("unverified").alias("unverified"))
 
 
-__all__ = ["COMPLETENESS_SIGNALS", "evaluate"]
+__all__ = ["COMPLETENESS_SIGNALS", "evaluate", "judge", "text_signals"]

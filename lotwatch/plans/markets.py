@@ -410,12 +410,24 @@ def val06(t: Tables) -> DataFrame:
     return x.select("listing_id", value.effective_band(band, blockers, F.col("status") == "F", F.col("size") % 2 != 0).alias("band"))
 
 
-@query("join13_verdicts")
+_VERDICT = f"""WITH {LISTING}, x AS (SELECT *, flag = 'R' AS asis, size % 2 = 0 AS boxed FROM l), y AS (SELECT *, list_filter([
+    CASE WHEN asis THEN 'block:excluded: as is' END, CASE WHEN len(list_filter(string_split(lower(kind), ' '), lambda w: contains(' ' || lower(title) || ' ', ' ' || w || ' '))) > 0 THEN 'reason:one of the terms' ELSE 'block:none of the terms' END,
+    CASE WHEN price > 60000 THEN 'block:price above the limit' ELSE 'reason:price within the limit' END, CASE WHEN price + shipping > 62000 THEN 'block:total above the limit' ELSE 'reason:total within the limit' END,
+    CASE WHEN asis THEN 'block:not tested' WHEN flag = 'N' THEN 'reason:tested' ELSE 'unverified:working order not declared' END, CASE WHEN boxed THEN 'reason:completeness' ELSE 'block:other completeness' END], lambda f: f IS NOT NULL) AS f FROM x),
+  z AS (SELECT *, list_filter(f, lambda i: starts_with(i, 'reason:')) AS r, list_filter(f, lambda i: starts_with(i, 'block:')) AS b, list_filter(f, lambda i: starts_with(i, 'unverified:')) AS u FROM y)
+SELECT listing_id, len(b) = 0 AS matched, CASE WHEN len(b) > 0 THEN 0.0 ELSE round(least(greatest(0.4 + 0.6 * len(r) / 5 - 0.08 * len(u), 0.05), 1.0), 2) END AS confidence,
+  array_to_string(list_transform(r, lambda i: i[8:]), '; ') AS reasons, array_to_string(list_transform(b, lambda i: i[7:]), '; ') AS blockers, array_to_string(list_transform(u, lambda i: i[12:]), '; ') AS unverified FROM z"""
+
+
+@query("join13_verdicts", _VERDICT)
 def join13(t: Tables) -> DataFrame:
     """Listings judged by a search that each brand stands for."""
     title = F.concat_ws(" ", "title", F.when(F.col("flag") == "N", "tested").when(F.col("flag") == "R", "as is").otherwise(""), F.when(F.col("size") % 2 == 0, "boxed").otherwise("loose"))
     criteria = {"any": F.split("kind", " "), "exclude": F.array(F.lit("as is")), "max_item": F.lit(60000.0), "max_total": F.lit(62000.0), "completeness": F.lit("boxed"), "tested": F.lit(True)}
-    x = listings(t).select("listing_id", verdict.evaluate(title, F.col("price"), F.col("shipping"), criteria).alias("v"))
+    x = listings(t).select("listing_id", title.alias("full_title"), "kind", "price", "shipping")
+    # Texts are read once for each title and kind of its search, of which there are far fewer than listings.
+    read = x.select("full_title", "kind").distinct().withColumn("signals", verdict.text_signals(F.col("full_title"), criteria))
+    x = x.join(read, ["full_title", "kind"]).select("listing_id", verdict.judge(F.col("signals"), F.col("price"), F.col("shipping"), criteria).alias("v"))
     return x.select("listing_id", "v.matched", "v.confidence", *[F.array_join(f"v.{c}", "; ").alias(c) for c in ("reasons", "blockers", "unverified")])
 
 
