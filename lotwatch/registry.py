@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwatch.plans import markets, rules, runs, sources, texts  # noqa: F401
+from lotwatch.plans import markets, rules, runs, sources, texts, views  # noqa: F401
 from lotwatch.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
