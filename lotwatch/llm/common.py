@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import tempfile
 import uuid
@@ -26,8 +27,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders made within a stage of the pipeline, until the next stage takes them away; whether one is being planned.
+_stage_paths: list[str] = []
+_in_stage = False
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _in_stage:
+        _stage_paths.append(path)
+    return path
+
+
+def pipeline_stage(f):
+    """A stage (spark, docs, sf_dir) whose predecessor's tables go first: its rows are written by now, as the pipeline has it.
+
+    Tables that `docs` still reads stay.
+    """
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _in_stage
+        read = docs.inputFiles() if _stage_paths else []
+        for path in [p for p in _stage_paths if not any(f"{p.rpartition('/')[2]}/" in x for x in read)]:
+            delete_path(spark, path)
+            _stage_paths.remove(path)
+        _in_stage = True
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _in_stage = False
+
+    return run
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -87,3 +118,22 @@ def slices(batch, column: str, most: int):
         end = max(start + 1, int(np.searchsorted(upto, before + most, side="right")))
         yield batch.slice(start, end - start)
         start = end
+
+
+def tidied(run):
+    """A function of Arrow batches for mapInArrow that gives its memory back when a task ends: workers live on and idle."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole

@@ -20,14 +20,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import ascii_lower, fresh_path, materialize, table, with_row
+from lotwatch.llm.common import ascii_lower, fresh_path, materialize, pipeline_stage, table, with_row
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Changelogs in place of whole snapshots per batch, and no preallocated log files: state on disk follows its rows.
+#: All of an executor's stores share one bound on their memory.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
 
 
@@ -94,6 +97,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).drop("locator", "keep_locator")
 
 
+@pipeline_stage
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that stay, one row of each group of equal texts, in the columns of documents."""
     rows, row = with_row(docs, "dedup-rows")

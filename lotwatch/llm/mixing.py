@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import materialize, table, with_row, word_count
+from lotwatch.llm.common import materialize, pipeline_stage, table, with_row, word_count
 
 #: Weights of the sources in code point order, repeating.
 CYCLE = (3.0, 1.0, 2.0)
@@ -93,6 +93,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+@pipeline_stage
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, whole, in the columns of documents."""
     rows, row = with_row(docs, "mix-rows")
