@@ -7,13 +7,15 @@ feature's value is log(1 + number of distinct words that carry it). A bounded sa
     P(grade > k) = 1 / (1 + exp(theta_k - w.x)),  theta_0 < theta_1 < theta_2,
 
 with one weight vector w for all thresholds. Labels are binary, so the grades of toxic examples are the thirds of
-their marked words: 0 clean, 1 mild, 2 strong, 3 severe. Every document is scored: expected severity is the sum of
-P(grade > k), and a document is toxic if P(grade > 0) is at least one half.
-
-Only the sample's hashed features go to the driver (at most TRAIN_ROWS rows), and the model of at most FEATURES
-weights goes out to the tasks. Edge cases: null and empty texts have no features and get the base rate; null labels
-and labels without a document are left out; of several labels of one document the largest counts; without toxic or
-without clean examples nothing is toxic; repeated rows are scored each; extra columns are ignored.
+their marked words: 0 clean, 1 mild, 2 strong, 3 severe. (The thresholds between these are thus learnt from the same
+marks that the score adds up; what the labels themselves decide is the first.) Every document is scored: expected
+severity is the sum of P(grade > k), and a document is toxic if P(grade > 0) is at least one half.
+
+Features are counted and chosen by Spark; of the sample's rows only the chosen features go to the driver, and the
+model of at most FEATURES weights goes out to the tasks. Edge cases: null and empty texts have no features and get the
+base rate; null labels and labels without a document are left out; of several labels of one document the largest
+counts, of several rows of one labelled id the least text; without toxic or without clean examples nothing is toxic;
+repeated rows are scored each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import table
+from lotwatch.llm.common import drop_table, materialize, pipeline_stage, table, tidied
 
-TRAIN_ROWS, FEATURES, DIMS, CACHE = 12_000, 600, 1 << 20, 500_000
+TRAIN_ROWS, FEATURES, DIMS, CACHE = 12_000, 600, 1 << 20, 200_000
+STEPS, RIDGE = 600, 5e-5
 _not_letters = re.compile(r"[\W\d_]+")
 
 
@@ -49,22 +52,58 @@ def distinct_words(text: str | None, known: dict[str, str]) -> set[str]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(toxic, features) of at most `rows` labelled documents; features: int32 hashes, as often as words carry them."""
+    """(toxic, ids, counts) of at most `rows` labelled documents: hashed features and how many words carry each.
+
+    Where rows share a labelled id, the least text stands for them.
+    """
     labelled = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
+    @tidied
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            found = []
-            for text in batch["text"].to_pylist():
-                found.append(np.array([x for w in sorted(distinct_words(text, {})) for x in word_features(w)], dtype=np.int32).tobytes())
-            yield pa.RecordBatch.from_pydict({"toxic": batch["toxic"].cast("int32"), "features": pa.array(found, pa.binary())})
+            toxic, ids, counts = [], [], []
+            for label, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist()):
+                own = np.unique(np.array([x for w in distinct_words(text, {}) for x in word_features(w)], dtype=np.int32), return_counts=True)
+                toxic.append(int(label > 0)), ids.append(own[0]), counts.append(own[1])
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*x, np.empty(0, np.int32)]).astype(np.int32))) for x in (ids, counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), *lists], names=["toxic", "ids", "counts"])
 
     # The sample is at most `rows` pairs of numbers.
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").mapInArrow(run, "toxic int, features binary")
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    return found.select("text", F.col("toxic").cast("double").alias("toxic")).mapInArrow(run, "toxic int, ids array<int>, counts array<int>")
+
+
+def chosen_features(sample: DataFrame, n1: int, n0: int) -> list[int]:
+    """The at most FEATURES features that mark toxic examples best, by the z value of their log odds; most telling first."""
+    df1, df0 = F.col("df1"), F.col("df0")
+    counts = sample.select("toxic", F.explode("ids").alias("id")).groupBy("id").agg(F.sum("toxic").alias("df1"), F.sum(1 - F.col("toxic")).alias("df0"))
+    odds = F.log((df1 + 0.1) / (n1 + 0.3 - df1)) - F.log((df0 + 0.1) / (n0 + 0.3 - df0))
+    z = F.col("odds") / F.sqrt(1 / (df1 + 0.5) + 1 / (df0 + 0.5))
+    marked = counts.withColumn("odds", odds).filter((df1 >= 3) & (F.col("odds") >= 1.5)).withColumn("z", z).filter("z > 3")
+    return [r["id"] for r in marked.orderBy(F.desc("z"), "id").limit(FEATURES).collect()]
+
+
+def chosen_rows(sample: DataFrame, chosen: list[int]) -> DataFrame:
+    """(toxic, at, counts): of each row only the chosen features, by their place in `chosen`."""
+    place = {x: i for i, x in enumerate(chosen)}
+
+    @tidied
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at, counts = [], []
+            for ids, own in zip(batch["ids"].to_pylist(), batch["counts"].to_pylist()):
+                kept = sorted((place[i], n) for i, n in zip(ids, own) if i in place)
+                at.append([k for k, _ in kept]), counts.append([n for _, n in kept])
+            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["toxic", "at", "counts"])
+
+    return sample.mapInArrow(run, "toxic int, at array<int>, counts array<int>")
 
 
 class Model:
@@ -80,49 +119,41 @@ class Model:
         return 1 / (1 + np.exp(np.clip(np.asarray(self.thresholds)[None, :] - np.asarray(x)[:, None], -60, 60)))
 
 
-def fit(toxic, features, steps: int = 600, ridge: float = 5e-5) -> Model:
-    """Select features, grade the toxic examples by thirds of their marked words, and fit w and theta by Adam."""
+def loss_and_slope(t, w, s, grade):
+    """-log P(grade), mean over rows of scores s = w.x, and its slopes in each row's score and in t.
+
+    theta = (t0, t0 + e^t1, t0 + e^t1 + e^t2) stays in order.
+    """
     import numpy as np
 
-    y = np.asarray(toxic) > 0
-    n1, n0 = int(y.sum()), int((~y).sum())
-    if not n1 or not n0:
-        return Model({}, [30.0, 31.0, 32.0])
-    # Each row's counts are made twice and never held for all rows: the driver has a bound on its memory.
-    df = np.zeros((2, DIMS), np.int64)
-    for f, t in zip(features, y):
-        df[int(t), np.unique(np.frombuffer(f, np.int32))] += 1
-    odds = np.log((df[1] + 0.1) / (n1 + 0.2 - df[1] + 0.1)) - np.log((df[0] + 0.1) / (n0 + 0.2 - df[0] + 0.1))
-    z = odds / np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5))
-    z[(df[1] < 3) | (odds < 1.5)] = 0
-    chosen = np.argsort(-z, kind="stable")[:FEATURES]
-    chosen = chosen[z[chosen] > 3]
-    if not len(chosen):
-        return Model({}, [30.0, 31.0, 32.0])
-    place = np.full(DIMS, -1)
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(y), len(chosen)), np.float32)
-    for i, f in enumerate(features):
-        ids, counts = np.unique(np.frombuffer(f, np.int32), return_counts=True)
-        at = place[ids]
-        x[i, at[at >= 0]] = np.log1p(counts[at >= 0])
-    marks = x.sum(1)
+    theta = np.array([t[0], t[0] + np.exp(t[1]), t[0] + np.exp(t[1]) + np.exp(t[2])])
+    edge = np.concatenate([[-60.0], theta, [60.0]])
+    lo, hi = edge[grade] - s, edge[grade + 1] - s
+    c_lo, c_hi = 1 / (1 + np.exp(-np.clip(lo, -60, 60))), 1 / (1 + np.exp(-np.clip(hi, -60, 60)))
+    p = np.maximum(c_hi - c_lo, 1e-12)
+    d_lo, d_hi = c_lo * (1 - c_lo) / p, c_hi * (1 - c_hi) / p
+    g = np.array([d_lo[grade == k + 1].sum() - d_hi[grade == k].sum() for k in range(3)]) / len(s)
+    return -np.log(p).mean(), (d_hi - d_lo) / len(s), np.array([g.sum(), g[1:].sum() * np.exp(t[1]), g[2] * np.exp(t[2])])
+
+
+def fit(toxic, starts, at, values, chosen: list[int], steps: int = STEPS, ridge: float = RIDGE) -> Model:
+    """Grade the toxic examples by thirds of their marks, and fit w and theta by Adam over sparse rows.
+
+    Row i has the chosen features at[starts[i] : starts[i + 1]] with these values.
+    """
+    import numpy as np
+
+    y, n = np.asarray(toxic) > 0, len(toxic)
+    row = np.repeat(np.arange(n), np.diff(starts))
+    marks = np.bincount(row, values, n)
     cuts = np.quantile(marks[y], [1 / 3, 2 / 3])
     grade = np.where(y, 1 + (marks > cuts[0]) + (marks > cuts[1]), 0)
-    # theta = (t0, t0 + e^d1, t0 + e^d1 + e^d2) stays in order; the loss is -log P(grade), mean over rows.
-    w, t = np.full(len(chosen), 0.05), np.array([2.0, 0.0, 0.0])
-    m, v = np.zeros(len(w) + 3), np.zeros(len(w) + 3)
-    edge = lambda th: np.concatenate([[-60.0], th, [60.0]])
+    size = len(chosen)
+    w, t = np.full(size, 0.05), np.array([2.0, 0.0, 0.0])
+    m, v = np.zeros(size + 3), np.zeros(size + 3)
     for step in range(1, steps + 1):
-        theta = np.array([t[0], t[0] + np.exp(t[1]), t[0] + np.exp(t[1]) + np.exp(t[2])])
-        s = x @ w
-        lo, hi = edge(theta)[grade] - s, edge(theta)[grade + 1] - s
-        c_lo, c_hi = 1 / (1 + np.exp(-np.clip(lo, -60, 60))), 1 / (1 + np.exp(-np.clip(hi, -60, 60)))
-        p = np.maximum(c_hi - c_lo, 1e-12)
-        d_lo, d_hi = c_lo * (1 - c_lo) / p, c_hi * (1 - c_hi) / p
-        g_w = x.T @ (d_hi - d_lo) / len(y) + ridge * w
-        g_theta = np.array([d_lo[grade == k + 1].sum() - d_hi[grade == k].sum() for k in range(3)]) / len(y)
-        g = np.concatenate([g_w, [g_theta.sum(), g_theta[1:].sum() * np.exp(t[1]), g_theta[2] * np.exp(t[2])]])
+        _, g_s, g_t = loss_and_slope(t, w, np.bincount(row, values * w[at], n), grade)
+        g = np.concatenate([np.bincount(at, values * g_s[row], size) + ridge * w, g_t])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, t = w - move[:-3], t - move[-3:]
@@ -131,8 +162,20 @@ def fit(toxic, features, steps: int = 600, ridge: float = 5e-5) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    sample = training_rows(docs, labels, rows).toPandas().sort_values(["toxic", "features"])
-    return fit(sample["toxic"].to_numpy(), list(sample["features"]))
+    import numpy as np
+
+    sample = materialize(training_rows(docs, labels, rows), "toxicity-sample")
+    n1, n0 = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count_if(F.col("toxic") == 0)).first()
+    chosen = chosen_features(sample, n1, n0) if n1 and n0 else []
+    if not chosen:
+        drop_table(sample)
+        return Model({}, [30.0, 31.0, 32.0])
+    found = sorted((r["toxic"], r["at"], r["counts"]) for r in chosen_rows(sample, chosen).toLocalIterator())
+    drop_table(sample)
+    starts = np.concatenate([[0], np.cumsum([len(x) for _, x, _ in found])])
+    at = np.array([i for _, x, _ in found for i in x], np.int64)
+    values = np.log1p(np.array([n for _, _, x in found for n in x], float))
+    return fit([x for x, _, _ in found], starts, at, values, chosen)
 
 
 def scored(batches, model: Model):
@@ -161,6 +204,7 @@ def scored(batches, model: Model):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, p_toxic, expected_severity, severity (the likeliest grade) and toxic, for every row."""
 
+    @tidied
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -181,10 +225,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+@pipeline_stage
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that aren't toxic, each judged by its own text, whatever other rows share its id."""
     model = train(docs, table(spark, sf_dir, "labels"))
 
+    @tidied
     def run(batches):
         import pyarrow as pa
 
