@@ -1,7 +1,8 @@
 """Near duplicates by a Jaccard join on distinct 5-word shingles, exact at a threshold of 80 %.
 
-Shingles are 64-bit hashes of five consecutive lower-cased words; a document's set is a sorted array of them, and
-documents with the same set are one class, whatever the number of copies. All later work is on classes.
+Shingles are 64-bit hashes of five consecutive lower-cased words (their number is off by as much as hashes collide); a
+document's set is a sorted array of them, and documents with the same set are one class, whatever the number of copies.
+All later work is on classes.
 
 Candidates. Two sets with Jaccard >= t share a shingle among the first |x| - ceil(t |x|) + 1 of each, in any order
 common to all sets. The order used is frequent shingles last (a Bloom filter of fixed size of those with more than
@@ -9,11 +10,15 @@ HEAVY documents; a false positive only moves a shingle, for all sets alike), the
 documents share make no tiles, but for documents that consist of them. Shingles that only one document has among its
 first are dropped by another such filter.
 
-Links without all pairs of a group. In every tile (a shingle's classes) the least class is the pivot. Each class is
-verified against the pivot that it shares most shingles with; the verified ones form a forest, whose roots are
-found by pointer jumping. ROUNDS more rounds hold each class against up to PIVOTS other pivots under other roots and
-join the roots that link. What can still connect are classes of a tile under different roots. These are compared in
-size-banded tiles (token, size band; each class also visits the next band up, as sets with Jaccard >= t lie in one
+Tiles. Shingles with the same classes are one tile, whose weight is their number: a passage of fifty words or a group
+of copies is then a few tiles and not hundreds. (A collision of the sums that stand for the lists of classes joins two
+tiles, which only adds candidates.)
+
+Links without all pairs of a group. A class's degree is the number of meetings that it has over all its shingles; the
+middle of a group of near copies, from which all others come, has the highest. ROUNDS rounds hold each class against
+up to HUBS of the classes of highest degree under other roots in its tiles, those that it shares most shingles with,
+and join the roots that link. What can still connect are classes of a tile under different roots. These are compared in
+size-banded tiles (tile, size band; each class also visits the next band up, as sets with Jaccard >= t lie in one
 band or two neighbours), in blocks of at most TILE rows: each class has a bitmap of its hashed shingles, and
 |x| - bits of x missing in y bounds the overlap from above. Pairs that pass, under different roots, are verified by
 intersecting the sorted arrays. No link between different components is missed, and a group of thousands of near
@@ -27,18 +32,23 @@ there is no other id in it; repeated rows are copies; an empty table gives an em
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import drop_table, materialize, release, table, with_row
+from lotwatch.llm.common import drop_table, materialize, pipeline_stage, release, slices, table, tidied, with_row
 
 WORDS, PERCENT = 5, 80
 HEAVY, TILE = 64, 512
-#: Rounds that join roots before tiles are compared in full, and pivots of a tile (and tries of a class) in each.
-ROUNDS, PIVOTS = 3, 4
+#: Rounds that join roots before tiles are compared in full, and hubs of a tile (and tries of a class) in each.
+ROUNDS, HUBS = 2, 2
+#: Bytes of text that are hashed at a time.
+TEXT_BYTES = 1_000_000
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 BITMAP_LEAST, BITMAP_MOST = 64, 1 << 17
 _MULTIPLIER, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+#: The base of the words' polynomial hash modulo 2**64, and its inverse.
+_BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def mixed(h):
@@ -50,20 +60,78 @@ def mixed(h):
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: bytes | None, words: int = WORDS):
-    """The set of a text as a sorted array of uint64."""
+_powers: list = []
+
+
+def powers(n: int):
+    """The base's first n powers, and its inverse's, modulo 2**64."""
+    import numpy as np
+
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, TEXT_BYTES + 1)
+        factors = np.repeat(np.array([[_BASE], [_INVERSE]], np.uint64), size, axis=1)
+        factors[:, 0] = 1
+        _powers[:] = np.cumprod(factors, axis=1, dtype=np.uint64)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def byte_values():
+    """A number for each byte, the same for A and a; and which bytes are white space."""
     import numpy as np
-    import xxhash
 
-    tokens = (text or b"").lower().split()  # of bytes: A-Z only, and the six ASCII white space bytes
-    if not tokens:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
-    size = min(words, len(w))
-    h = np.full(len(w) - size + 1, size, np.uint64)
-    for i in range(size):
-        h = h * np.uint64(_MULTIPLIER) + w[i : len(w) - size + 1 + i]
-    return np.unique(mixed(h))
+    value = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER))
+    value[65:91] = value[97:123]
+    space = np.zeros(256, bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    return value, space
+
+
+def shingle_sets(texts, words: int = WORDS):
+    """The sets of the texts of an Arrow array of binaries, each as a sorted array of uint64."""
+    import numpy as np
+    import pyarrow as pa
+
+    wide = pa.types.is_large_binary(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    if not len(texts) or offsets[-1] == offsets[0]:
+        return [np.empty(0, np.uint64)] * len(texts)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    value, is_space = byte_values()
+    power, inverse = powers(len(data))
+    space = np.concatenate([[True], is_space[data], [True]])
+    full = ~space[1:-1]
+    first, last = full & space[:-2], full & space[2:]
+    bounds = offsets[(offsets > 0) & (offsets < len(data))]  # words don't go over them
+    first[bounds] |= full[bounds]
+    last[bounds - 1] |= full[bounds - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[data] * power, dtype=np.uint64)])
+    w = mixed((upto[ends] - upto[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(_MIX2))
+    cut = np.searchsorted(starts, offsets)
+    out = []
+    whole = np.full(max(0, len(w) - words + 1), words, np.uint64)
+    for i in range(words):
+        whole = whole * np.uint64(_MULTIPLIER) + w[i : i + len(whole)]
+    whole = mixed(whole)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        if b - a >= words:
+            out.append(np.unique(whole[a : b - words + 1]))
+        elif b > a:
+            h = np.full(1, b - a, np.uint64)
+            for x in w[a:b]:
+                h = h * np.uint64(_MULTIPLIER) + x
+            out.append(mixed(h))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
+
+
+def rows_with_sets(batches):
+    """Slices of the batches and their texts' sets."""
+    for batch in batches:
+        for part in slices(batch, "text", TEXT_BYTES):
+            yield part, shingle_sets(part["text"])
 
 
 class Bloom:
@@ -96,9 +164,10 @@ def bloom_of(keys: DataFrame) -> Bloom:
     k = F.col(name)
     places = F.explode(F.array(k.bitwiseAND(F.lit((1 << log2) - 1)), F.shiftrightunsigned(k, 64 - log2)))
     words = keys.select(places.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-    found = words.toPandas()
+    found = words.toArrow()
+    drop_table(keys)
     bits = np.zeros((1 << log2) // 64, np.uint64)
-    bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return Bloom(bits, log2)
 
 
@@ -131,15 +200,15 @@ def with_bytes(docs: DataFrame) -> DataFrame:
 def prefixes(docs: DataFrame, heavy: Bloom, percent: int = PERCENT, with_bits: bool = False) -> DataFrame:
     """doc_id, n, cls (hash of the set, null for the empty one), the first shingles in the common order, the bitmap if asked for."""
 
+    @tidied
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import xxhash
 
-        for batch in batches:
+        for batch, sets in rows_with_sets(batches):
             sizes, classes, first, bits = [], [], [], []
-            for text in batch["text"]:
-                s = shingles(text.as_py())
+            for s in sets:
                 sizes.append(len(s))
                 bits.append(bitmap(s) if with_bits and len(s) else None)
                 if not len(s):
@@ -165,6 +234,7 @@ def tokens_of(sketch: DataFrame, more_than: int) -> DataFrame:
 def shared_entries(sketch: DataFrame, shared: Bloom) -> DataFrame:
     """(token, cls, n) for the first shingles that the filter holds."""
 
+    @tidied
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -183,6 +253,7 @@ def shared_entries(sketch: DataFrame, shared: Bloom) -> DataFrame:
 def sets_of(docs: DataFrame, wanted: Bloom) -> DataFrame:
     """cls, n and the whole set of the documents whose ids the filter holds."""
 
+    @tidied
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -192,18 +263,11 @@ def sets_of(docs: DataFrame, wanted: Bloom) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["cls", "n", "shingles"])
 
         for batch in batches:
-            rows = []
-            size = 0
-            for i in np.flatnonzero(wanted.has(id_key(batch["doc_id"].to_pylist()))):
-                s = shingles(batch["text"][int(i)].as_py())
-                if len(s):
-                    rows.append((np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64), len(s), s.tobytes()))
-                    size += len(s)
-                if size > 500_000:
+            found = wanted.has(id_key(batch["doc_id"].to_pylist()))
+            for _, sets in rows_with_sets([batch.filter(pa.array(found))]):
+                rows = [(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64), len(s), s.tobytes()) for s in sets if len(s)]
+                if rows:
                     yield out(rows)
-                    rows, size = [], 0
-            if rows:
-                yield out(rows)
 
     return with_bytes(docs).mapInArrow(run, "cls long, n long, shingles binary")
 
@@ -229,6 +293,7 @@ def both_sides(pairs: DataFrame, values: DataFrame) -> DataFrame:
 def possible(pairs: DataFrame, bits: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of classes that their bitmaps allow to link; bits: (cls, n, bits)."""
 
+    @tidied
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -251,6 +316,7 @@ def possible(pairs: DataFrame, bits: DataFrame, percent: int = PERCENT) -> DataF
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of classes that link, by intersecting the sorted arrays; sets: (cls, n, shingles)."""
 
+    @tidied
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -267,23 +333,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both_sides(pairs, sets).mapInArrow(run, "a long, b long")
 
 
-def roots_of_forest(parents: DataFrame) -> DataFrame:
-    """(cls, root) from (cls, parent) with parent < cls, by pointer jumping; classes without a parent aren't listed."""
-    now = materialize(parents.select("cls", F.col("parent").alias("root")), "forest")
-    while True:
-        up = now.select(F.col("cls").alias("root"), F.col("root").alias("above"))
-        jumped = materialize(now.join(up, "root", "left").select("cls", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "forest")
-        now = jumped.select("cls", "root")
-        if jumped.filter("moved").isEmpty():
-            return now
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of undirected edges (a, b): the least node that each can reach.
 
     Alternates: all neighbours of a node move to the least of them, until the edges are stars around the least nodes.
     """
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    seal = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first()  # noqa: E731  equal for the same edges
+    before = seal(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -291,28 +348,56 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
-        after = materialize(small, "edges")
-        same = after.count() == now.count() and after.join(now, ["u", "v"], "left_anti").isEmpty()
-        now = after
-        if same:
+        now = materialize(small, "edges")
+        before, last = seal(now), before
+        if before == last:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def nearer(edges: DataFrame) -> DataFrame:
+    """(node, label) for the nodes of undirected edges (a, b): one that it can reach, the same for a star's nodes.
+
+    Two steps up to the neighbour with most edges; nodes of one label are connected, though not all that are have one.
+    """
+    both = edges.filter("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).distinct()
+    many = both.groupBy("u").agg(F.count(F.lit(1)).alias("k"))
+    rank = lambda node: F.struct("k", (-F.col(node)).alias("last"))
+    above = both.join(many.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.max(rank("v")).alias("above"))
+    up = above.join(many, "u").select(F.col("u").alias("node"), (-F.greatest("above", rank("u"))["last"]).alias("label"))
+    up = materialize(up, "labels")
+    return up.join(up.toDF("label", "top"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+
+
+def tiles_of(entries: DataFrame) -> DataFrame:
+    """(tile, cls, n, weight, degree): the shingles with the same classes as one tile, named by one of them.
+
+    entries: distinct (token, cls, n). Shingles of one class make no tile.
+    """
+    place = F.xxhash64("cls")
+    tokens = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum(place.bitwiseAND(F.lit((1 << 40) - 1))).alias("seal"), F.bit_xor(place).alias("seal2")).filter("m > 1")
+    tiles = materialize(tokens.groupBy("m", "seal", "seal2").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("weight")).select("token", "weight", "m"), "tiles")
+    rows = materialize(entries.join(tiles, "token").select(F.col("token").alias("tile"), "cls", "n", "weight", "m"), "tile-rows")
+    degrees = rows.groupBy("cls").agg(F.sum(F.col("weight") * F.col("m")).alias("degree"))
+    return materialize(rows.join(degrees, "cls").select("tile", "cls", "n", "weight", "degree"), "entries")
+
+
 def tile_pairs(entries: DataFrame, bits: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
     """Pairs (a, b) of classes under different roots whose bitmaps allow a link, from size-banded tiles.
 
-    entries: (token, cls, n, root); bits: (cls, bits).
+    entries: (tile, cls, n, root); bits: (cls, bits). Tiles of the same classes in a band are compared once.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-_log(percent / 100)) + F.lit(1e-9)).cast("int")
     rows = entries.withColumn("band", band).withColumn("place", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("place"))
-    tiles = rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("m"), F.min("place").alias("home"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    tiles = materialize(tiles.filter("home = 0 AND m > 1 AND r0 <> r1").select("token", "band", F.ceil(F.col("m") / tile).cast("int").alias("blocks")), "tiles")
-    rows = rows.join(tiles, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    seal = F.xxhash64("cls")
+    tiles = rows.groupBy("tile", "band").agg(F.count(F.lit(1)).alias("m"), F.min("place").alias("home"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum(seal.bitwiseAND(F.lit((1 << 40) - 1))).alias("seal"), F.bit_xor(seal).alias("seal2"))
+    tiles = tiles.filter("home = 0 AND m > 1 AND r0 <> r1").groupBy("band", "m", "seal", "seal2").agg(F.min("tile").alias("tile"))
+    tiles = materialize(tiles.select("tile", "band", F.ceil(F.col("m") / tile).cast("int").alias("blocks")), "tiles")
+    rows = rows.join(tiles, ["tile", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     # Block i meets each block j; the pair (i, j) is one group, named by the smaller and the larger.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rows = rows.join(bits, "cls").select("token", "band", "i", "j", "place", "block", "cls", "n", "root", "bits")
-    dealt = rows.repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j", "place", "n", "cls")
+    rows = rows.join(bits, "cls").select("tile", "band", "i", "j", "place", "block", "cls", "n", "root", "bits")
+    dealt = rows.repartition("tile", "band", "i", "j").sortWithinPartitions("tile", "band", "i", "j", "place", "n", "cls")
 
     def compare(group):
         import numpy as np
@@ -327,7 +412,7 @@ def tile_pairs(entries: DataFrame, bits: DataFrame, percent: int = PERCENT, tile
         out = []
         for x in range(int((place == 0).sum())):
             y = np.arange(x + 1, len(cls))
-            y = y[root[y] != root[x]]
+            y = y[(root[y] != root[x]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))]
             if across:
                 y = y[block[y] != block[x]]
             if not len(y):
@@ -337,6 +422,7 @@ def tile_pairs(entries: DataFrame, bits: DataFrame, percent: int = PERCENT, tile
             out += [(min(cls[x], c), max(cls[x], c)) for c in cls[y]]
         return out
 
+    @tidied
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -350,7 +436,7 @@ def tile_pairs(entries: DataFrame, bits: DataFrame, percent: int = PERCENT, tile
 
         for batch in batches:
             columns = {c: batch[c].to_pylist() for c in names}
-            keys = np.column_stack([batch[c].to_numpy() for c in ("token", "band", "i", "j")])
+            keys = np.column_stack([batch[c].to_numpy() for c in ("tile", "band", "i", "j")])
             starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]]) if len(keys) else [0]
             for s, e in zip(starts[:-1], starts[1:]):
                 if key is not None and tuple(keys[s]) != key:
@@ -366,20 +452,27 @@ def tile_pairs(entries: DataFrame, bits: DataFrame, percent: int = PERCENT, tile
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def pivot_pairs(entries: DataFrame, roots: DataFrame, turn: int, pivots: int = PIVOTS) -> DataFrame:
-    """Pairs (a, b) of a class and a pivot under another root, at most `pivots` a class: those it shares most tokens with.
+def size_allows(n: Column, m: Column, percent: int = PERCENT) -> Column:
+    """Whether sets of these sizes can link at all."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
 
-    A tile whose classes have different roots gets up to `pivots` of them as pivots, other ones in each turn.
+def hub_pairs(entries: DataFrame, roots: DataFrame, percent: int = PERCENT, hubs: int = HUBS) -> DataFrame:
+    """Pairs (a, b) of a class and a hub under another root, at most `hubs` a class: those it shares most shingles with.
+
+    A tile whose classes have different roots has up to `hubs` of them as hubs: those of highest degree, one a root.
     """
-    rooted = entries.select("token", "cls").join(roots, "cls")
-    mixed_tiles = rooted.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token")
-    visits = materialize(rooted.join(mixed_tiles, "token"), "visits")
-    place = F.xxhash64("cls", F.lit(turn))
-    hubs = visits.groupBy("token", F.pmod(place, F.lit(pivots)).alias("slot")).agg(F.min(F.struct(place.alias("place"), "cls", "root")).alias("hub"))
-    met = visits.join(hubs.select("token", "hub"), "token").filter(F.col("root") != F.col("hub")["root"])
-    votes = met.groupBy(F.col("cls").alias("a"), F.col("hub")["cls"].alias("b")).agg(F.count(F.lit(1)).alias("votes"))
+    visits = entries.join(roots, "cls")
+    mixed_tiles = visits.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("tile")
+    visits = materialize(visits.join(mixed_tiles, "tile"), "visits")
+    heads = visits.groupBy("tile", "root").agg(F.max(F.struct("degree", "cls", "n")).alias("hub"))
+    nth = F.row_number().over(Window.partitionBy("tile").orderBy(F.desc("hub")))
+    heads = heads.withColumn("nth", nth).filter(F.col("nth") <= hubs).select("tile", F.col("root").alias("hub_root"), F.col("hub.cls").alias("b"), F.col("hub.n").alias("m"))
+    met = visits.join(heads, "tile").filter((F.col("root") != F.col("hub_root")) & size_allows(F.col("n"), F.col("m"), percent))
+    votes = met.groupBy(F.col("cls").alias("a"), "b").agg(F.sum("weight").alias("votes"))
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("votes"), "b"))
-    return votes.withColumn("best", best).filter(F.col("best") <= pivots).select("a", "b")
+    pairs = votes.withColumn("best", best).filter(F.col("best") <= hubs)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _log(x: float) -> float:
@@ -388,7 +481,7 @@ def _log(x: float) -> float:
     return math.log(x)
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, heavy: int = HEAVY, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, heavy: int = HEAVY, tile: int = TILE, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
     often = bloom_of(tokens_of(prefixes(docs, Bloom(None, 0), percent), heavy))
@@ -397,15 +490,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, heavy: int = HEAVY,
     shared = bloom_of(tokens_of(sketch, 1))
     release(spark)
     rows = materialize(sketch.select("doc_id", "n", "cls"), "documents")
-    entries = materialize(shared_entries(sketch, shared).distinct(), "entries")
-
-    pivots = entries.groupBy("token").agg(F.min("cls").alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("token", "pivot")
-    pivots = materialize(pivots, "pivots")
-    entries = materialize(entries.join(pivots, "token"), "entries-live")
-    live = entries.select("cls").distinct()
-    bits = materialize(sketch.select("cls", "n", "bits").join(live, "cls", "left_semi").groupBy("cls", "n").agg(F.max("bits").alias("bits")), "bits")
+    entries = materialize(shared_entries(sketch, shared).distinct(), "token-entries")
+    bits = materialize(sketch.select("cls", "n", "bits").join(entries.select("cls").distinct(), "cls", "left_semi").groupBy("cls", "n").agg(F.max("bits").alias("bits")), "bits")
     drop_table(sketch)
     release(spark)
+    entries = tiles_of(entries)
     classes = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
 
     def exact(pairs: DataFrame) -> DataFrame:
@@ -419,36 +508,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, heavy: int = HEAVY,
         release(spark)
         return links
 
-    votes = entries.filter("cls <> pivot").groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("votes"))
-    star = votes.groupBy("cls").agg(F.max(F.struct("votes", -F.col("pivot"))).alias("best"))
-    star = star.select(F.col("cls").alias("a"), (-F.col("best")["col2"]).alias("b"))
-    star = materialize(possible(star, bits, percent), "star")
-    forest = exact(star).groupBy("a").agg(F.min("b").alias("parent")).withColumnRenamed("a", "cls")
-    roots = bits.select("cls").join(roots_of_forest(forest), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"))
-    roots = materialize(roots, "roots")
-
-    def joined(links: DataFrame, roots: DataFrame) -> DataFrame:
-        """The roots after the links (a, b) between their classes."""
-        a, b = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
-        bridges = links.join(a, "a").join(b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        moved = components(bridges).toDF("root", "component")
-        return materialize(roots.join(moved, "root", "left").select("cls", F.coalesce("component", "root").alias("root")), "roots")
-
-    for turn in range(ROUNDS):
-        tries = materialize(possible(pivot_pairs(entries, roots, turn), bits, percent), "tries")
-        if tries.isEmpty():
-            break
+    roots = materialize(entries.select("cls", F.col("cls").alias("root")).distinct(), "roots")
+
+    def bridges(links: DataFrame, roots: DataFrame) -> DataFrame:
+        """The links (a, b) between classes as edges between their roots."""
+        return links.join(roots.toDF("a", "root_a"), "a").join(roots.toDF("b", "root_b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+
+    def moved(roots: DataFrame, to: DataFrame) -> DataFrame:
+        return materialize(roots.join(to.toDF("root", "to"), "root", "left").select("cls", F.coalesce("to", "root").alias("root")), "roots")
+
+    # What is known to link is kept, so that rough labels do until the end.
+    edges = None
+    for _ in range(rounds):
+        tries = materialize(possible(hub_pairs(entries, roots, percent), bits, percent), "tries")
         links = exact(tries)
-        if links.isEmpty():
-            break
-        roots = joined(links, roots)
+        crossing = materialize(bridges(links, roots).distinct(), "bridges")
+        edges = crossing if edges is None else edges.unionByName(crossing)
+        roots = moved(roots, nearer(crossing))
         release(spark)
 
-    rooted = entries.join(roots, "cls").select("token", "cls", "n", "root")
+    rooted = entries.join(roots, "cls").select("tile", "cls", "n", "root")
     candidates = materialize(tile_pairs(rooted, bits.select("cls", "bits"), percent, tile), "candidates")
     release(spark)
-    if not candidates.isEmpty():
-        roots = joined(exact(candidates), roots)
+    crossing = bridges(exact(candidates), roots)
+    edges = crossing if edges is None else edges.unionByName(crossing)
+    # A root that moved may be named in edges by its former name, to which its own edges lead.
+    roots = moved(roots, components(edges))
 
     placed = materialize(classes.join(roots, "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("component")), "placed")
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -459,6 +544,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, heavy: int = HEAVY,
 def _bloom_of_ids(ids: DataFrame) -> Bloom:
     """The filter of document ids, by the hash that id_key() gives."""
 
+    @tidied
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -473,6 +559,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@pipeline_stage
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates, with the least id in it, in the columns of documents.
 
