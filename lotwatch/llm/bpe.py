@@ -6,11 +6,16 @@ merge table and contracts its leftmost pair of minimum rank, until no pair of it
 token itself is that token. Decoding joins a batch's ids to the vocabulary and concatenates the bytes by an ordered
 aggregation per document.
 
-Pieces of over LONG bytes (a run of one character, a line without spaces) would take a round per merge. Where no
-lower-ranked token can arise next to the contracted one, all disjoint occurrences of the minimum pair go in one
-round, leftmost first; the result is the same. Memory: a batch of at most BATCH_CHARS characters (or one text), and
-a cache of at most CACHE pieces per worker, emptied when full. Tasks write nothing, so a lost executor costs only
-its tasks' time.
+Pieces of over LONG bytes (a run of one character, a line without spaces) would take a round per merge and keep every
+round's rows. They are contracted in blocks of LONG bytes, all blocks at once. Where two blocks meet, the tokens around
+the seam are joined and contracted again, twice as many each time, until what comes out begins and ends with the tokens
+that stood there. A row of tokens is the encoding of its bytes if each two neighbours are the encoding of theirs, and
+so the result is that of the whole piece.
+
+Memory: a batch of at most BATCH_CHARS characters (or one text), queries over about QUERY_BYTES bytes of pieces, and two
+generations of cached pieces per worker: when the younger has more than CACHE, it becomes the older, from which what is
+met again comes back. DuckDB is in memory and may not use a folder. Tasks write
+nothing, so a lost executor costs only its tasks' time.
 
 Edge cases: null and empty texts have 0 tokens, whose ids digest is that of the empty string; special-token strings
 are ordinary text; lone surrogates can't occur in Spark strings; repeated rows, null ids and extra columns pass
@@ -26,13 +31,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import table
+from lotwatch.llm.common import pipeline_stage, table, tidied
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-BATCH_CHARS, CACHE, LONG = 3_000_000, 600_000, 48
+BATCH_CHARS, CACHE, LONG, QUERY_BYTES = 3_000_000, 150_000, 64, 500_000
 
 #: Positions stay below 2^31, ranks below 2^31: one long orders pairs by rank, then from the left.
-SHORT_SQL = """
+CONTRACT_SQL = """
 WITH RECURSIVE steps(w, pos, tok, live) AS (
     SELECT w, pos, tok, true FROM start
     UNION ALL
@@ -48,32 +53,9 @@ WITH RECURSIVE steps(w, pos, tok, live) AS (
 SELECT w, string_agg(tok, ' ' ORDER BY pos) AS ids FROM steps WHERE NOT live GROUP BY w
 """
 
-LONG_SQL = """
-WITH RECURSIVE steps(w, pos, tok, live) AS (
-    SELECT w, pos, tok, true FROM start
-    UNION ALL
-    SELECT w, pos, CASE WHEN taken THEN best ELSE tok END, best IS NOT NULL
-    FROM (
-        SELECT *, lag(taken, 1, false) OVER (PARTITION BY w ORDER BY n) AS eaten
-        FROM (
-            SELECT *, rank IS NOT DISTINCT FROM best AND best IS NOT NULL AND CASE WHEN alone THEN n = first ELSE (n - min(n) OVER (PARTITION BY w, rank IS NOT DISTINCT FROM best, island)) % 2 = 0 END AS taken
-            FROM (
-                SELECT *, n - row_number() OVER (PARTITION BY w, rank IS NOT DISTINCT FROM best ORDER BY n) AS island, min(n) FILTER (rank = best) OVER (PARTITION BY w) AS first
-                FROM (
-                    SELECT w, pos, tok, n, rank, alone, min(rank) OVER (PARTITION BY w) AS best
-                    FROM (SELECT w, pos, tok, lead(tok) OVER o AS right_tok, row_number() OVER o AS n FROM steps WHERE live WINDOW o AS (PARTITION BY w ORDER BY pos)) p
-                    LEFT JOIN merges m ON p.tok = m.left_tok AND p.right_tok = m.right_tok
-                )
-            )
-        )
-    )
-    WHERE NOT eaten
-)
-SELECT w, string_agg(tok, ' ' ORDER BY pos) AS ids FROM steps WHERE NOT live GROUP BY w
-"""
-
+#: The aggregation takes its rows in the order of the query below it.
 DECODE_SQL = """
-SELECT doc, sha256(unhex(string_agg(hex, '' ORDER BY pos))) AS digest FROM ids JOIN vocabulary USING (id) GROUP BY doc
+SELECT doc, sha256(unhex(string_agg(hex, ''))) AS digest FROM (SELECT doc, pos, hex FROM ids JOIN vocabulary USING (id) ORDER BY doc, pos) GROUP BY doc
 """
 
 
@@ -93,26 +75,25 @@ class Codec:
 
         self.pieces = regex.compile(pattern).findall
         self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.ranks = ranks = read_ranks(path)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         left, right, rank = [], [], []
-        together = dict.fromkeys(ranks.values(), True)  # may all occurrences be contracted at once?
         for token, r in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), rank.append(r)
-                    for x in (a, b):
-                        if x > r:
-                            together[x] = False
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "preserve_insertion_order": "false"})
-        merges = pa.table({"left_tok": pa.array(left, pa.int32()), "right_tok": pa.array(right, pa.int32()), "rank": pa.array(rank, pa.int32()), "alone": [not together[r] for r in rank]})
+        self.bytes_of = {str(r): token for token, r in ranks.items()}
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "preserve_insertion_order": "false", "temp_directory": ""})
+        merges = pa.table({"left_tok": pa.array(left, pa.int32()), "right_tok": pa.array(right, pa.int32()), "rank": pa.array(rank, pa.int32())})
         vocabulary = pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [x.hex() for x in ranks]})
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
         del merges, vocabulary
 
-    def _contract(self, words: list[bytes], sql: str) -> list[str]:
+    def _contract(self, words: list[bytes]) -> list[str]:
+        """The ids of each word, in decimal, by the recursive query."""
         import numpy as np
         import pyarrow as pa
 
@@ -124,34 +105,74 @@ class Codec:
             "tok": self.byte_ids[np.frombuffer(b"".join(words), np.uint8)],
         })
         self.db.register("start", start)
-        found = self.db.sql(sql).to_arrow_table()
+        found = self.db.sql(CONTRACT_SQL).to_arrow_table()
         self.db.unregister("start")
         out = [""] * len(words)
         for w, ids in zip(found["w"].to_pylist(), found["ids"].to_pylist()):
             out[w] = ids
         return out
 
+    def contracted(self, words: list[bytes]) -> list[str]:
+        """The same for any number of words, in queries of bounded size; long words in blocks."""
+        out, part, size = [""] * len(words), [], 0
+        for i, w in enumerate(words):
+            if len(w) <= LONG:
+                part.append(i)
+                size += len(w)
+            if part and (size > QUERY_BYTES or i == len(words) - 1):
+                for k, ids in zip(part, self._contract([words[k] for k in part])):
+                    out[k] = ids
+                part, size = [], 0
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        for i, ids in zip(long, self._by_blocks([words[i] for i in long])):
+            out[i] = " ".join(ids)
+        return out
+
+    def _by_blocks(self, words: list[bytes]) -> list[list[str]]:
+        """Long words' ids: those of their blocks, with the seams contracted again; pairs of neighbours join by turns."""
+        cut = [[w[i : i + LONG] for i in range(0, len(w), LONG)] for w in words]
+        coded = iter(self.contracted([x for blocks in cut for x in blocks]) if words else [])
+        rows = [[next(coded).split(" ") for _ in blocks] for blocks in cut]
+        while any(len(row) > 1 for row in rows):
+            seams = [(k, i) for k, row in enumerate(rows) for i in range(0, len(row) - 1, 2)]
+            joined: dict[tuple[int, int], list[str]] = {}
+            around = 2
+            while len(joined) < len(seams):
+                left = [s for s in seams if s not in joined]
+                windows = [(rows[k][i][-around:], rows[k][i + 1][:around]) for k, i in left]
+                found = self._contract([b"".join(self.bytes_of[t] for t in (*a, *b)) for a, b in windows])
+                for (k, i), (a, b), ids in zip(left, windows, (x.split(" ") for x in found)):
+                    x, y = rows[k][i], rows[k][i + 1]
+                    if (len(a) == len(x) or ids[0] == a[0]) and (len(b) == len(y) or ids[-1] == b[-1]):
+                        joined[k, i] = x[: len(x) - len(a)] + ids + y[len(b) :]
+                around *= 2
+            rows = [[joined.get((k, i), row[i]) for i in range(0, len(row), 2)] for k, row in enumerate(rows)]
+        return [row[0] for row in rows]
+
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of these pieces, as decimal text, into the cache."""
-        by_sql: dict[str, list[tuple[str, bytes]]] = {SHORT_SQL: [], LONG_SQL: []}
+        words = []
         for p in pieces:
             raw = p.encode()
             if (r := self.ranks.get(raw)) is not None:
                 self.known[p] = str(r)
             else:
-                by_sql[LONG_SQL if len(raw) > LONG else SHORT_SQL].append((p, raw))
-        for sql, words in by_sql.items():
-            if words:
-                self.known.update(zip([p for p, _ in words], self._contract([raw for _, raw in words], sql)))
+                words.append((p, raw))
+        if words:
+            self.known.update(zip([p for p, _ in words], self.contracted([raw for _, raw in words])))
 
     def encode(self, texts: list[str]) -> list[str]:
         """For each text its ids in decimal, joined by a space."""
         split = [self.pieces(t) for t in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
-        if unknown := set().union(*split).difference(self.known):
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        unknown = set().union(*split).difference(known)
+        for p in [p for p in unknown if p in older]:
+            known[p] = older[p]
+            unknown.remove(p)
+        if unknown:
             self.learn(unknown)
-        known = self.known
         return [" ".join([known[p] for p in pieces]) for pieces in split]
 
     def decoded_digests(self, ids: list) -> list[str]:
@@ -195,6 +216,7 @@ def by_size(texts: list[str], most: int) -> Iterator[slice]:
 def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int)."""
 
+    @tidied
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -226,6 +248,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+@pipeline_stage
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The corpus as token ids: doc_id, n_tokens, the digests and ids."""
     import public_tokenizers
