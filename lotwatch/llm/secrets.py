@@ -10,7 +10,8 @@ characters' places in that alphabet, and three tests of uniform randomness with
 
 The token's p is three times the least (at most 1). Tokens are discarded as ordinary by Benjamini and Hochberg's
 procedure at level FDR, within length bands, since power grows with length: of what is thrown out, an expected share
-of at most FDR is truly random. What isn't thrown out is reported. Ranks come from a histogram of -ln p of all tokens
+of at most FDR is truly random. What isn't thrown out is reported. (So the bound is on secrets that are missed, as a share
+of what is discarded, and not on false reports, whose share moves with the mix of the corpus.) Ranks come from a histogram of -ln p of all tokens
 (at most BINS * bands rows), so that no sort of the corpus is needed; a bin counts by its upper edge.
 
 Texts are read once; what goes on is spans and p-values. Edge cases: null text is the empty text (no spans, digest of
@@ -37,16 +38,52 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
+SPANS = "array<struct<start:int,kind:int,end:int,match:string>>"
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def found(text: Column, pattern: str, kind: int) -> Column:
-    """The matches of a pattern, leftmost and not overlapping, as structs of start, kind, end and the match."""
-    hits, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    total = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.char_length(x))
+    """The matches of a pattern, leftmost and not overlapping, as structs of start, kind, end and the match.
+
+    One walk over the matches and what stands before each adds up the positions.
+    """
+    none = F.array().cast(SPANS)
+
+    def walk(hits: Column) -> Column:
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda gap, x: F.struct(F.char_length(gap).alias("gap"), x.alias("match")))
+
+        def step(a: Column, x: Column) -> Column:
+            start = a["at"] + x["gap"]
+            end = start + F.char_length(x["match"])
+            span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("match"))
+            return F.struct(end.alias("at"), F.array_append(a["spans"], span).alias("spans"))
 
-    def span(x: Column, i: Column) -> Column:
-        start = total(F.slice(between, F.lit(1), i + 1)) + total(F.slice(hits, F.lit(1), i))
-        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.char_length(x)).alias("end"), x.alias("match"))
+        return F.when(F.size(hits) > 0, F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda a: a["spans"])).otherwise(none)
 
-    return F.when(F.size(hits) > 0, F.transform(hits, span)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>"))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), walk)
+
+
+def free(keys: Column, base: Column) -> Column:
+    """The keys that overlap no base span, by one walk over both in order of their starts."""
+    none = F.array().cast(SPANS)
+    nobody = F.element_at(F.array(F.lit(None).cast("struct<start:int,kind:int,end:int,match:string>")), 1)
+    kept = lambda a: F.when(a["waits"].isNull(), a["out"]).otherwise(F.array_append(a["out"], a["waits"]))
+
+    def step(a: Column, x: Column) -> Column:
+        is_key = x["kind"] == KINDS.index("random")
+        hit = a["waits"].isNotNull() & (x["start"] < a["waits"]["end"])
+        return F.struct(
+            F.when(is_key, a["upto"]).otherwise(F.greatest(a["upto"], x["end"])).alias("upto"),
+            F.when(is_key, F.when(x["start"] >= a["upto"], x)).when(~hit, a["waits"]).alias("waits"),
+            F.when(is_key, kept(a)).otherwise(a["out"]).alias("out"),
+        )
+
+    zero = F.struct(F.lit(0).alias("upto"), nobody.alias("waits"), none.alias("out"))
+    return F.when(F.size(base) == 0, keys).otherwise(F.aggregate(F.array_sort(F.concat(base, keys)), zero, step, kept))
 
 
 def normal_tail(z: Column) -> Column:
@@ -62,7 +99,11 @@ def two_sided(z: Column) -> Column:
 
 def randomness(token: Column) -> Column:
     """The p-value of a token's being uniformly random over its encoding's alphabet."""
-    bare = F.regexp_replace(token, "=+$", "")
+    return let(F.regexp_replace(token, "=+$", ""), randomness_of)
+
+
+def randomness_of(bare: Column) -> Column:
+    """That p-value of a token without its padding."""
     folded = F.when(bare.rlike("^[0-9a-f]+$") | bare.rlike("^[0-9A-F]+$"), F.lower(bare)).otherwise(F.translate(bare, "-_=", "+//"))
     is_hex = bare.rlike("^[0-9a-f]+$") | bare.rlike("^[0-9A-F]+$")
     is_32 = bare.rlike("^[A-Z2-7]+$")
@@ -85,21 +126,19 @@ def randomness(token: Column) -> Column:
         high = F.transform(v, lambda x: (x >= k / 2).cast("double"))
         n1 = total(high)
         n0 = n - n1
-        next_high = F.slice(high, F.lit(2), F.greatest(F.size(high) - 1, F.lit(0)))
-        runs = 1 + total(F.zip_with(next_high, F.slice(high, F.lit(1), F.size(next_high)), lambda a, b: F.abs(a - b)))
+        next_high = F.slice(high, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0)))
+        runs = 1 + total(F.zip_with(next_high, F.slice(high, F.lit(1), F.size(v) - 1), lambda a, b: F.abs(a - b)))
         mean = 2 * n1 * n0 / n + 1
         spread = (mean - 1) * (mean - 2) / (n - 1)
         p_runs = F.when((n1 == 0) | (n0 == 0) | (spread <= 0), two_sided(F.sqrt(n))).otherwise(two_sided((runs - mean) / F.sqrt(F.greatest(spread, F.lit(1e-9)))))
-        m = total(v) / n
-        off = F.transform(v, lambda x: x - m)
-        next_off = F.slice(off, F.lit(2), F.greatest(F.size(off) - 1, F.lit(0)))
-        lag = total(F.zip_with(next_off, F.slice(off, F.lit(1), F.size(next_off)), lambda a, b: a * b))
+        off = let(total(v) / n, lambda m: F.transform(v, lambda x: x - m))
+        next_off = F.slice(off, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0)))
+        lag = total(F.zip_with(next_off, F.slice(off, F.lit(1), F.size(v) - 1), lambda a, b: a * b))
         square = total(off, lambda x: x * x)
         p_serial = F.when(square <= 0, 1e-40).otherwise(two_sided((lag / F.greatest(square, F.lit(1e-9)) + 1 / n) * F.sqrt(n)))
         return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
 
-    # One element arrays bind the places once, so that they aren't computed for each use.
-    return F.when(n < 16, 1e-40).otherwise(F.element_at(F.transform(F.array(base), tests), 1))
+    return F.when(n < 16, 1e-40).otherwise(let(base, tests))
 
 
 def band(length: Column) -> Column:
@@ -113,11 +152,11 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, n_random, spans."""
     text = F.coalesce("text", F.lit(""))
     assigned = F.filter(found(text, ASSIGN, 0), lambda s: F.char_length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 6)
-    rows = docs.select("doc_id", F.concat(assigned, found(text, ACCESS, 1), found(text, HEX, 2)).alias("base"), found(text, KEY, 3).alias("keys"))
-    free = F.filter("keys", lambda k: ~F.exists("base", lambda b: (b["start"] < k["end"]) & (k["start"] < b["end"])))
-    rows = rows.select("doc_id", F.transform("base", lambda s: s.dropFields("match")).alias("base"), free.alias("keys"))
+    both = F.struct(F.concat(assigned, found(text, ACCESS, 1), found(text, HEX, 2)).alias("base"), found(text, KEY, 3).alias("keys"))
+    # Bound once: spans named inside a function of spans would be searched for anew at each of them.
+    apart = let(both, lambda b: F.struct(F.transform(b["base"], lambda s: s.dropFields("match")).alias("base"), free(b["keys"], b["base"]).alias("keys")))
     judged = lambda k: F.struct(k["start"].alias("start"), k["kind"].alias("kind"), k["end"].alias("end"), band(k["end"] - k["start"]).alias("band"), F.least(F.floor(-F.log(randomness(k["match"])) * STEPS), F.lit(BINS)).cast("int").alias("bin"))
-    rows = materialize(rows.select("doc_id", "base", F.transform("keys", judged).alias("keys")), "secrets")
+    rows = materialize(docs.select("doc_id", let(apart, lambda x: F.struct(x["base"].alias("base"), F.transform(x["keys"], judged).alias("keys"))).alias("x")).select("doc_id", "x.base", "x.keys"), "secrets")
 
     bins = rows.select(F.explode("keys").alias("k")).groupBy("k.band", "k.bin").agg(F.count(F.lit(1)).alias("n"))
     most = Window.partitionBy("band").orderBy(F.desc("bin"))
