@@ -5,23 +5,28 @@ that its own tasks write, without a shuffle. Compaction puts shards into tiers b
 one below), packs the shards of a tier, in order of size, into runs of about the target size, and merges each run
 that fills three quarters of it, or has FAN_IN * FAN_IN shards, into one new shard. Smaller runs wait for more
 arrivals, so that a row is rewritten about once on its way to a target-sized file; the last compaction of an import
-also merges what waits, whatever its tier. Shards of half the target size or more stay as they are. The plan is made
+also merges what waits, tier by tier and at the end across tiers. Shards of half the target size or more stay as they are. The plan is made
 on the manifest, one row per shard; only the rows of merged shards are shuffled, to one task per new shard.
 
 A version is a Parquet folder with the manifest's rows; it is committed by renaming a small pointer file to its
 number, which fails if another writer had that number first. Readers see whole versions only; a lost task or job
-leaves files that no version names. vacuum() deletes the shards that the kept versions don't name.
+leaves files that no version names. vacuum() deletes the shards that the last version doesn't name; it is for when no other
+writer is at work, whose files no version names yet.
 
 Edge cases: all columns travel unread, so nulls, empty and long texts, repeated rows and extra columns come back as
-they were, every row once; a row larger than the target is a shard of its own size; an empty arrival adds no shards.
+they were, every row once; a row larger than the target is a shard of its own size; an empty arrival adds no shards, and
+a table without any reads as an empty one with the arrival's columns; columns that only some arrivals have are null in
+the others; the operator's own column names give way to the table's by underscores.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lotwatch.llm.common import delete_path, fresh_path
 
@@ -91,13 +96,14 @@ class ShardedTable:
         version = self.version() + 1
         folder = f"{self.path}/data/append-{version:012d}-{uuid.uuid4().hex}"
         rows.write.option("compression", "zstd").parquet(folder)
+        self.spark.createDataFrame([(f"{version:012d} {rows.schema.json()}",)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/schema")
         self.commit(self.manifest(version - 1).unionByName(self._shards(folder, version)), version)
         return version
 
-    def plan(self, last: bool = False) -> DataFrame:
-        """The shards to merge now: path and run, the name of the new shard's group. One row per such shard."""
+    def plan(self, last: bool = False, apart: bool = True) -> DataFrame:
+        """The shards to merge now: path and run, a number from 0 for each new shard. Without `apart` tiers are one."""
         small = self.manifest().filter(F.col("bytes") < self.target / 2)
-        if last:
+        if not apart:
             small = small.withColumn("tier", F.lit(0))
         by_size = Window.partitionBy("tier").orderBy("bytes", "path")
         before = F.coalesce(F.sum("bytes").over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -105,20 +111,28 @@ class ShardedTable:
         together = Window.partitionBy("run")
         shards, filled = F.count(F.lit(1)).over(together), F.sum("bytes").over(together) >= 0.75 * self.target
         worth = (shards > 1) & (F.lit(last) | filled | (shards >= self.fan_in**2))
-        return packed.withColumn("worth", worth).filter("worth").select("path", "run")
+        # One window over the manifest's rows, of which there is one a shard.
+        return packed.withColumn("worth", worth).filter("worth").select("path", (F.dense_rank().over(Window.orderBy("run")) - 1).alias("run"))
 
     def compact(self, last: bool = False) -> int:
-        """Merge until no run is worth merging; with `last` what waits for more arrivals too. The last version."""
+        """Merge until no run is worth merging. The last compaction of an import then merges what is left of a tier,
+        however little, and at the end the shards that are alone in theirs. The number of the last version."""
         while True:
-            version, plan = self.version() + 1, self.plan(last)
-            chosen = [r["path"] for r in plan.select("path").collect()]
-            if not chosen:
+            version = self.version() + 1
+            for apart in (True, False) if last else (True,):
+                plan = self.plan(last, apart)
+                chosen = plan.collect()  # a path and a number for each shard to merge, as Spark's file index has anyway
+                if chosen:
+                    break
+            else:
                 return version - 1
             folder = f"{self.path}/data/merge-{version:012d}-{uuid.uuid4().hex}"
-            rows = self.spark.read.parquet(*chosen).withColumn("_path", F.col("_metadata.file_path"))
-            runs = plan.select("run").distinct().count()
-            merged = rows.join(plan.withColumnRenamed("path", "_path"), "_path").drop("_path").repartition(runs, "run")
-            merged.write.option("compression", "zstd").partitionBy("run").parquet(folder)
+            rows = self.spark.read.option("mergeSchema", "true").parquet(*[r["path"] for r in chosen])
+            at, run = free_name("_path", rows.columns), free_name("_run", rows.columns)
+            runs = 1 + max(r["run"] for r in chosen)
+            merged = rows.withColumn(at, F.col("_metadata.file_path")).join(plan.toDF(at, run), at).drop(at)
+            # Each run has a partition, and so a file, of its own.
+            merged.repartitionById(runs, F.col(run).cast("int")).drop(run).write.option("compression", "zstd").parquet(folder)
             kept = self.manifest(version - 1).join(plan, "path", "left_anti")
             self.commit(kept.unionByName(self._shards(folder, version)), version)
 
@@ -132,20 +146,37 @@ class ShardedTable:
                 delete_path(self.spark, p.toString())
 
     def read(self, version: int | None = None) -> DataFrame:
-        """A version's rows, with the shard that each lies in as column `_shard`."""
+        """A version's rows, with the shard that each lies in as column `_shard` (with more underscores if there is one)."""
         manifest = self.manifest(version)
         paths = [r["path"] for r in manifest.select("path").collect()]
-        if not paths:
-            raise ValueError(f"{self.path} has no shards")
-        rows = self.spark.read.parquet(*paths).withColumn("_path", F.col("_metadata.file_path"))
-        about = manifest.select(F.col("path").alias("_path"), F.struct("shard", "tier", "bytes", "rows").alias("_shard"))
-        return rows.join(about, "_path").drop("_path")
+        if paths:
+            rows = self.spark.read.option("mergeSchema", "true").parquet(*paths)
+            path = F.col("_metadata.file_path")
+        else:
+            rows, path = self.spark.createDataFrame([], self.schema()), F.lit("")
+        at, shard = free_name("_path", rows.columns), free_name("_shard", rows.columns)
+        about = manifest.select(F.col("path").alias(at), F.struct("shard", "tier", "bytes", "rows").alias(shard))
+        return rows.withColumn(at, path).join(about, at).drop(at)
+
+    def schema(self) -> StructType:
+        """The columns of the last arrival."""
+        found = self.spark.read.text(f"{self.path}/schema").orderBy(F.desc("value")).first()
+        return StructType.fromJson(json.loads(found[0].partition(" ")[2]))
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def arrivals(docs: DataFrame, most: int = ARRIVALS) -> list[DataFrame]:
-    """The input's files as at most so many arrivals, in order of their names."""
+    """The input as so many arrivals: its files in order of their names, or where they are fewer, its rows dealt out."""
     files = sorted(docs.inputFiles())
-    step = max(1, -(-len(files) // most))
+    if len(files) < most:
+        turn = F.pmod(F.xxhash64(*docs.columns), F.lit(most))
+        return [docs.filter(turn == i) for i in range(most)]
+    step = -(-len(files) // most)
     return [docs.sparkSession.read.schema(docs.schema).parquet(*files[i : i + step]) for i in range(0, len(files), step)]
 
 
