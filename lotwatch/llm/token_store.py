@@ -21,7 +21,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import fresh_path, materialize, slices, table
+from lotwatch.llm.common import fresh_path, materialize, slices, table, tidied
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 FILE_IDS, CACHE, TEXT_BYTES = 4_000_000, 350_000, 1_000_000
@@ -194,6 +194,7 @@ def word_tokenizer(path: str) -> WordTokenizer:
 def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> None:
     """Write the ids of all texts, in ascending order of doc_id, as files below `path`."""
 
+    @tidied
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
@@ -220,6 +221,7 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_I
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start, n_tokens, ids_crc32 (of the ids as 32-bit integers), all as longs."""
 
+    @tidied
     def run(batches):
         import numpy as np
         import pyarrow as pa

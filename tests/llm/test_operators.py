@@ -100,17 +100,90 @@ def test_bpe_is_tiktoken(spark, sf_dir):
     assert bpe.encode_documents(empty_documents(spark), path, public_tokenizers.PATTERN).collect() == []
 
 
+@pytest.mark.parametrize("block", [8, 64])
+def test_bpe_of_long_pieces_is_tiktoken(monkeypatch, block):
+    """Blocks and seams give the ids of the whole piece; 100,000 letters without a space take seconds."""
+    import random
+
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "LONG", block)
+    c = bpe.Codec(public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    dice = random.Random(block)
+    long_tokens = [t for t in c.ranks if len(t) > 4]
+    words = ["".join(dice.choices(letters, k=dice.randrange(1, 300))) for letters in ("ab", "aeint ", "abcdefghijklmnopqrstuvwxyz") for _ in range(80)]
+    words += [b"".join(dice.choices(long_tokens, k=dice.randrange(1, 30))).decode("utf8", "ignore") or "a" for _ in range(100)]
+    words += [x * dice.randrange(1, 500) for x in ("a", "-", "é", "日本", "=*") for _ in range(6)]
+    words += ["".join(dice.choices("abcdefghijklmnopqrstuvwxyz", k=100_000 if block == 64 else 2_000))]
+    got = c.contracted([w.encode() for w in words])
+    assert got == [" ".join(map(str, whole._core_bpe.encode_single_piece(w.encode()))) for w in words]
+
+
+def test_bpe_cache_of_two_generations(monkeypatch):
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "CACHE", 10)
+    c = bpe.Codec(public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    for k in range(12):
+        texts = [f"zyqword{k} zyqword{k - 1} again, often", ""]
+        assert c.encode(texts) == [" ".join(map(str, whole.encode_ordinary(x))) for x in texts]
+        assert len(c.known) < 30 and len(c.older) < 30
+
+
 def test_toxicity_on_held_out_labels(spark):
     """Trained on labels of even ids, judged on the others."""
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     held = {r["doc_id"]: r["toxic"] for r in labels.filter("doc_id % 2 = 1").collect()}
     got = by_id(toxicity.score(docs, toxicity.train(docs, labels.filter("doc_id % 2 = 0"))))
-    right = [bool(t) == got[d]["toxic"] for d, t in held.items() if d in got]
-    assert sum(right) / len(right) > 0.9
+    for label, least in ((1, 0.88), (0, 0.98)):  # 0.92 and 0.99 measured
+        right = [bool(t) == got[d]["toxic"] for d, t in held.items() if d in got and bool(t) == bool(label)]
+        assert len(right) > 20 and sum(right) / len(right) >= least
     assert all(0 <= r["expected_severity"] <= 3 for r in got.values())
 
 
+def test_toxicity_fit_finds_the_best_weights():
+    """The loss at the fitted weights is the least that a plain search finds, and its slopes are those of differences."""
+    import numpy as np
+
+    dice = np.random.default_rng(3)
+    n, size = 300, 6
+    x = dice.poisson(0.7, (n, size)) * (dice.random((n, size)) < 0.5)
+    y = (x @ np.linspace(0, 2, size) + dice.normal(size=n) > 2.5).astype(int)
+    row, at = np.nonzero(x)
+    starts = np.searchsorted(row, np.arange(n + 1))
+    model = toxicity.fit(y, starts, at, x[row, at].astype(float), list(range(10, 10 + size)))
+    w, theta = np.array([model.weights[10 + i] for i in range(size)]), np.array(model.thresholds)
+    marks = x.sum(1)
+    cuts = np.quantile(marks[y > 0], [1 / 3, 2 / 3])
+    grade = np.where(y, 1 + (marks > cuts[0]) + (marks > cuts[1]), 0)
+
+    def loss(w, theta):
+        edge = np.concatenate([[-60], theta, [60]])
+        s = x @ w
+        p = 1 / (1 + np.exp(s - edge[grade + 1])) - 1 / (1 + np.exp(s - edge[grade]))
+        return -np.log(np.maximum(p, 1e-12)).mean() + toxicity.RIDGE / 2 * (w**2).sum()
+
+    best = loss(w, theta)
+    for _ in range(300):
+        step = dice.normal(size=size + 3) * 10.0 ** dice.integers(-3, 0)
+        if (np.diff(theta + step[size:]) > 0).all():
+            assert loss(w + step[:size], theta + step[size:]) > best - 1e-4
+    assert (np.diff(theta) > 0).all() and model.above([0.0]).shape == (1, 3)
+
+
+def test_toxicity_repeated_and_clashing(spark):
+    """Rows that share a labelled id are one example; a row of its own for each in the scores."""
+    docs = hard_documents(spark).withColumn("toxic", F.lit("x")).withColumn("p_toxic", F.lit(1))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (3, 0), (8, 0)], "doc_id long, toxic int")
+    twice = docs.unionByName(docs.withColumn("doc_id", F.lit(1)))
+    rows = toxicity.training_rows(twice, labels, 10).collect()
+    assert sorted(r["toxic"] for r in rows) == [0, 0, 1]
+    assert toxicity.score(twice, toxicity.train(twice, labels)).count() == twice.count()
+
+
 def test_toxicity_hard_rows(spark):
     labels = spark.createDataFrame([(1, None), (None, 1), (99, 1)], "doc_id long, toxic int")
     docs = hard_documents(spark)
@@ -173,3 +246,35 @@ def test_exact_dedup_hard_rows_and_collisions(spark):
     collide = lambda text: F.substring(F.sha2(text, 256), 1, 1)
     assert {k: tuple(r)[1:5] for k, r in by_id(exact_dedup.dedup(docs, collide)).items()} == want
     assert exact_dedup.dedup(empty_documents(spark)).collect() == []
+
+
+def test_sharding_tiers_and_columns(spark):
+    """Similar sizes merge first; a run has a file of its own; names that clash and columns of some arrivals survive."""
+    t = sharding.ShardedTable(spark, fresh_path(spark, "sharded"), target_bytes=200_000, fan_in=2)
+    docs = hard_documents(spark).withColumn("_path", F.lit("p")).withColumn("run", F.lit(7)).withColumn("_shard", F.lit("mine"))
+    for _ in range(4):
+        t.append(docs.coalesce(2))
+        t.compact()
+    t.append(docs.withColumn("late", F.lit(1)))
+    waiting = t.manifest().count()
+    t.compact(last=True)
+    shards = t.manifest().collect()
+    assert len(shards) < waiting and sum(s["rows"] for s in shards) == 5 * docs.count()
+    got = t.read()
+    assert got.filter("late = 1").count() == docs.count() and got.filter("run = 7 AND _path = 'p' AND _shard = 'mine'").count() == 5 * docs.count()
+    assert {r[0] for r in got.select("_shard_.shard").distinct().collect()} == {s["shard"] for s in shards}
+    t.vacuum()
+    assert t.read().count() == 5 * docs.count()
+
+
+def test_sharding_of_nothing(spark):
+    t = sharding.ShardedTable(spark, fresh_path(spark, "sharded"))
+    t.append(empty_documents(spark))
+    assert t.compact(last=True) == t.version() and t.read().collect() == [] and t.read().columns[:5] == empty_documents(spark).columns
+
+
+def test_sharding_query_has_every_row(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    got = queries.QUERIES["op9_sharding"](spark, sf_dir).collect()
+    want = {r["doc_id"]: hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in docs.collect()}
+    assert len(got) == len(want) and {r["doc_id"]: r["text_sha256"] for r in got} == want

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from lotwatch.llm import exact_dedup, mixing, ngram_join, toxicity
-from lotwatch.llm.common import table
+from lotwatch.llm.common import materialize, table
 from tests.llm.fixtures import DOCS, UPPER, WORD, hard_documents, shingle_set
 
 
@@ -48,7 +48,7 @@ def test_exact_dedup_stage(spark, sf_dir):
 
 
 def test_exact_dedup_keeps_one_row_of_colliding_digests(spark):
-    docs = shared_ids(spark).withColumn("n", F.monotonically_increasing_id()).localCheckpoint()
+    docs = materialize(shared_ids(spark).withColumn("n", F.monotonically_increasing_id()), "numbered")
     rows = exact_dedup.dedup(docs, lambda text: F.substring(F.sha2(text, 256), 1, 1), row="n").filter("locator = keep_locator").collect()
     assert len(rows) == len({r["text_sha256"] for r in rows}) == len({(r["text"] or "").translate(UPPER) for r in docs.collect()})
 
