@@ -44,14 +44,13 @@ def test_chain_of_near_copies(spark):
     """Neighbours link, ends don't; one component all the same."""
     rows = [(i, " ".join(f"w{j}" for j in range(3 * i, 3 * i + 100)), "en", "s", 0) for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    assert found(ngram_join.near_duplicates(docs)) == brute([{"doc_id": r[0], "text": r[1]} for r in rows])
-    assert {c for _, c in found(ngram_join.near_duplicates(docs)).values()} == {0}
+    got = found(ngram_join.near_duplicates(docs))
+    assert got == brute([{"doc_id": r[0], "text": r[1]} for r in rows]) and {c for _, c in got.values()} == {0}
 
 
 def test_hard_rows(spark):
-    docs = hard_documents(spark, with_null_id=False)
-    assert found(ngram_join.near_duplicates(docs)) == brute(docs.collect())
-    assert found(ngram_join.near_duplicates(hard_documents(spark)))[None] == (3, None)
+    got = found(ngram_join.near_duplicates(hard_documents(spark)))
+    assert got.pop(None) == (3, None) and got == brute(hard_documents(spark, with_null_id=False).collect())
 
 
 def test_repeated_rows_and_clashing_columns(spark):
@@ -59,7 +58,7 @@ def test_repeated_rows_and_clashing_columns(spark):
     twice = docs.unionByName(docs)
     got = ngram_join.near_duplicates(twice).collect()
     assert len(got) == 2 * docs.count()
-    assert found(ngram_join.near_duplicates(twice)) == brute(docs.collect())
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(docs.collect())
 
 
 def test_empty_table(spark):
