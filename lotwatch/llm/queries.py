@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwatch.llm import bpe, exact_dedup, mixing, ngram_join, secrets, sharding, token_store, topk, toxicity, warc
+from lotwatch.llm import bpe, exact_dedup, mixing, ngram_join, periodic_runs, secrets, sharding, token_store, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secrets": secrets.query,
     "op9_sharding": sharding.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_periodic_runs": periodic_runs.query,
 }
 
 ORACLES = {
