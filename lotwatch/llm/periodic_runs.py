@@ -208,8 +208,9 @@ def planted_text(doc_id: Column, text: Column) -> Column:
         p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
         return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
 
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    return F.when((h % 10 == 0) & F.coalesce(text.rlike(WORD), F.lit(False)), planted(words)).otherwise(text)
+    # The words are bound to a lambda's variable, or they would be extracted again for each word.
+    words = F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    return F.when((h % 10 == 0) & F.coalesce(text.rlike(WORD), F.lit(False)), F.get(F.transform(words, planted), 0)).otherwise(text)
 
 
 def digests(found: DataFrame) -> DataFrame:
