@@ -242,9 +242,9 @@ windows AS (SELECT *, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM words W
 twice AS (SELECT r, i, w, w2 IS NOT NULL AND count(*) OVER (PARTITION BY r, w, w1, w2) > 1 AS again FROM windows),
 covered AS (SELECT r, w, again OR coalesce(lag(again) OVER o, false) OR coalesce(lag(again, 2) OVER o, false) AS again FROM twice WINDOW o AS (PARTITION BY r ORDER BY i)),
 per_words AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (again) AS n_repeat_words FROM covered GROUP BY r),
-lines AS (SELECT r, list_filter(string_split(x, chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS l, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+lines AS (SELECT r, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
 tokens AS MATERIALIZED (SELECT r, unnest(t) AS t, unnest(range(len(t))) AS i FROM (SELECT r, regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[!-/:-@\[-`{{-~]+|[^\x20\x09-\x0D!-/:-@\[-`{{-~]+') AS t FROM d)),
-hashes AS (SELECT t, list_reduce(list_prepend(0::BIGINT, list_transform(range(octet_length(encode(t))), k -> ('0x' || substr(hex(encode(t)), 2 * k::INT + 1, 2))::BIGINT + 1)), (a, b) -> (a * {BASE} + b) % {PRIME}) AS h FROM (SELECT DISTINCT t FROM tokens)),
+hashes AS (SELECT t, list_reduce(list_prepend(0::BIGINT, list_transform(range(octet_length(encode(t))), lambda k: ('0x' || substr(hex(encode(t)), 2 * k::INT + 1, 2))::BIGINT + 1)), lambda a, b: (a * {BASE} + b) % {PRIME}) AS h FROM (SELECT DISTINCT t FROM tokens)),
 hashed AS (SELECT r, h, lead(h) OVER (PARTITION BY r ORDER BY i) AS h1 FROM tokens JOIN hashes USING (t)),
 grams AS MATERIALIZED (SELECT r, h % {BUCKETS} AS b FROM hashed UNION ALL SELECT r, (h * {PAIR} + h1) % {PRIME} % {BUCKETS} FROM hashed WHERE h1 IS NOT NULL),
 lab AS (SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),

@@ -84,19 +84,20 @@ def test_rules_and_ngrams_of_odd_texts():
 
 
 def junk(k):
-    return " | ".join(f"buy{(i * k) % 13} *** now!!" for i in range(40))
+    return " ".join(f"buy{i * k % 41}!! ***now{i * k % 41} $$$pay{i}" for i in range(40))
 
 
 @pytest.mark.parametrize("few", [2_000_000, 1])
 def test_hard_rows(spark, monkeypatch, few):
     monkeypatch.setattr(quality_rules, "FEW_LABELS", few)
     docs = hard_documents(spark).filter("doc_id IS NULL OR doc_id <> 14")
-    more = [(100 + k, " ".join(f"{w}{(k * i) % 29}" for i in range(60) for w in ("some", "plain", "words"))) for k in range(12)] + [(200 + k, junk(k + 1)) for k in range(8)]
+    more = [(100 + k, " ".join(f"{w}{((k + 1) * i) % 61}" for i in range(60) for w in ("some", "plain", "words"))) for k in range(12)] + [(200 + k, junk(k + 1)) for k in range(8)]
     docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
     docs = docs.union(docs.filter("doc_id IN (3, 101, 203) OR doc_id IS NULL")).selectExpr("*", "7 AS quality", "1 AS n_words", "true AS kept", "0 AS good", "2 AS labelled")
     labels = [(100 + k, 1, 0) for k in range(8)] + [(200 + k, 0, 0) for k in range(5)] + [(200, 0, 0), (101, 0, 1), (1, 1, 0), (None, 1, 0), (3, None, 0), (9999, 1, 0)]
     got = answers(spark, docs, labels)
     assert got == sorted(plain(rows_of(docs), [x[:2] for x in labels]), key=str)
+    assert not any(r[6] for r in got if r[0] and 100 <= r[0] < 300)
     verdict = {r[0]: r[-1] for r in got}
     assert all(verdict[100 + k] for k in range(12)) and not any(verdict[200 + k] for k in range(8))
 
