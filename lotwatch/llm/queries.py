@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwatch.llm import bpe, exact_dedup, mixing, ngram_join, periodic_runs, secrets, sharding, token_store, topk, toxicity, warc
+from lotwatch.llm import bpe, exact_dedup, mixing, ngram_join, periodic_runs, quality_rules, secrets, sharding, token_store, topk, toxicity, vector_codes, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -16,10 +16,14 @@ QUERIES = {
     "op9_sharding": sharding.query,
     "op10_exact_dedup": exact_dedup.query,
     "op11_periodic_runs": periodic_runs.query,
+    "op12_quality_rules": quality_rules.query,
+    "op13_vector_codes": vector_codes.query,
 }
 
 ORACLES = {
     "op1_warc": warc.ORACLE,
     "op2_topk": topk.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op12_quality_rules": quality_rules.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }

@@ -203,7 +203,7 @@ def _oracle() -> str:
     steps = []
     for k in range(ROUNDS + 1):
         steps.append(f"""a{k} AS MATERIALIZED (
-  SELECT r, p, min(list_sum(list_transform(list_zip(w, c), z -> (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT * {ENTRIES} + e) AS m
+  SELECT r, p, min(list_sum(list_transform(list_zip(w, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT * {ENTRIES} + e) AS m
   FROM parts JOIN c{k} USING (p) GROUP BY r, p)""")
         if k < ROUNDS:
             steps.append(f"""s{k} AS (
@@ -213,8 +213,8 @@ m{k} AS (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS
 c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, o.c) AS c FROM c{k} o LEFT JOIN m{k} m USING (p, e))""")
     return f"""
 WITH base AS MATERIALIZED (
-  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, x -> floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 parts AS MATERIALIZED (SELECT r, p, v[p * len(v) // {PARTS} + 1 : (p + 1) * len(v) // {PARTS}] AS w FROM base, range({PARTS}) t(p)),
 c0 AS MATERIALIZED (SELECT p, e, w AS c FROM parts JOIN (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM base) USING (r) WHERE e < {ENTRIES}),
 {", ".join(steps)},
