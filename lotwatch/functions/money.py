@@ -43,11 +43,25 @@ def locale_amount(text: Column) -> Column:
 
 
 def either_amount(text: Column) -> Column:
-    """A number whose decimal sign is its last separator, if one or two digits follow it."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^0-9.,-]", "")
-    cents = F.regexp_extract(bare, r"[.,](\d{1,2})$", 1)
-    whole = F.regexp_replace(F.regexp_replace(bare, r"[.,]\d{1,2}$", ""), "[.,]", "")
-    return F.when(cents != "", F.concat(whole, F.lit("."), cents)).otherwise(whole).try_cast("double")
+    """A number in English or Spanish writing: of two kinds of separators the last one is decimal.
+
+    A single separator before three digits parts thousands, before any other number of digits it is decimal; of several
+    of one kind all part thousands if three digits follow each, else the last is decimal.
+    """
+
+    def read(raw: Column) -> Column:
+        last = F.regexp_extract(raw, "([.,])[^.,]*$", 1)
+        other = F.when(last == ",", ".").otherwise(",")
+        pieces = F.split(raw, "[.,]")
+        n, tail = F.size(pieces), F.element_at(pieces, -1)
+        joined = F.array_join(pieces, "")
+        pointed = F.concat(F.array_join(F.slice(pieces, 1, F.greatest(n - 1, F.lit(0))), ""), F.lit("."), tail)
+        threes = F.forall(F.slice(pieces, 2, F.greatest(n - 1, F.lit(0))), lambda p: F.char_length(p) == 3)
+        alike = F.when(n == 2, F.when((F.char_length(tail) == 3) & (F.regexp_replace(pieces[0], "^[+-]+", "") != ""), joined).otherwise(pointed)).when(threes, joined).otherwise(pointed)
+        mixed = F.replace(F.replace(raw, other, F.lit("")), last, F.lit("."))
+        return F.when(last == "", raw).when(F.contains(raw, other), mixed).otherwise(alike).try_cast("double")
+
+    return F.element_at(F.transform(F.array(F.regexp_replace(F.coalesce(text, F.lit("")), "[^0-9,.+-]", "")), read), 1)
 
 
 def total_amount(price: Column, shipping: Column) -> Column:

@@ -9,9 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lotwatch.functions import keywords as K
-
-_ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+from lotwatch.functions.folding import fold, fold_compatible, let, normalize, py_normalize
+from lotwatch.functions.platforms import fuse_platform_numbers
 
 # Words by which listings declare what they are.
 REGION_SIGNALS = {
@@ -32,38 +31,18 @@ COMPILATION_WORDS = {
     "saga": "saga", "anthology": "anthology", "anthologies": "anthology", "compilation": "compilation", "compilations": "compilation",
     "volume": "volume", "volumes": "volume", "vol": "volume",
 }
-
-
-def let(value: Column, use) -> Column:
-    """use(value), with the value computed once however often `use` names it."""
-    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
-
-
-def fold(text: Column) -> Column:
-    """Lower case without the accents of Western European letters."""
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), _ACCENTED, _PLAIN)
-
-
-def normalize(text: Column) -> Column:
-    """Folded words of a-z and 0-9, with single spaces between them."""
-    return F.trim(F.regexp_replace(fold(text), "[^a-z0-9]+", " "))
+SELLERS = ("my", "personal", "private")
 
 
 def fold_spaces(text: Column) -> Column:
-    """Folded text with its punctuation, white space collapsed."""
-    return F.trim(F.regexp_replace(fold(text), r"[ \t\n\r\f]+", " "))
+    """Folded text with its punctuation, white space collapsed; letters that only look different are alike."""
+    return F.trim(F.regexp_replace(fold_compatible(text), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold(text), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
-def py_normalize(term: str) -> str:
-    """normalize() of a constant, on the driver."""
-    plain = term.lower().translate(str.maketrans(_ACCENTED, _PLAIN))
-    return re.sub("[^a-z0-9]+", " ", plain).strip()
-
-
 def contains_term(normalized: Column, term: str | Column) -> Column:
     """Is the term in a normalized text as whole words? An empty term never is."""
     needle = F.lit(py_normalize(term)) if isinstance(term, str) else term
@@ -114,15 +93,20 @@ def completeness_of(normalized: Column) -> Column:
 def title_tokens(title: Column) -> Column:
     """Identifying words: no apostrophes, Roman numerals as digits, no stop words, platform numbers fused to their names."""
     bare = normalize(F.regexp_replace(F.coalesce(title, F.lit("")), "['’`´]", ""))
-    fused = F.regexp_replace(bare, r"\b(playstation|xbox|nintendo|ps) (\d+)\b", "$1$2")
     romans = F.create_map(*[F.lit(x) for kv in ROMAN_NUMERALS.items() for x in kv])
-    kept = F.filter(F.split(fused, " "), lambda t: (t != "") & ~t.isin(*TITLE_STOPWORDS))
+    kept = F.filter(F.split(fuse_platform_numbers(bare), " "), lambda t: (t != "") & ~t.isin(*TITLE_STOPWORDS))
     return F.transform(kept, lambda t: F.coalesce(F.element_at(romans, t), t))
 
 
 def compilation_words(tokens: Column) -> Column:
+    """The words by which tokens name a compilation, in their main form; "my collection" is the seller's."""
     names = F.create_map(*[F.lit(x) for kv in COMPILATION_WORDS.items() for x in kv])
-    return F.array_distinct(F.filter(F.transform(tokens, lambda t: F.element_at(names, t)), lambda t: t.isNotNull()))
+
+    def named(t: Column, i: Column) -> Column:
+        word, before = F.try_element_at(names, t), F.get(tokens, i - 1)
+        return F.when((word == "collection") & F.coalesce(before.isin(*SELLERS), F.lit(False)), None).otherwise(word)
+
+    return F.array_distinct(F.filter(F.transform(tokens, named), lambda t: t.isNotNull()))
 
 
 def without_platforms(lowered: Column) -> Column:

@@ -66,7 +66,7 @@ RULES = (
     Rule(("pong",), _gaming_but("pong"), pattern=K.PING_PONG, alone=True),
     Rule(("cartucho", "cartuchos"), K.GAMING),
 )
-SEARCHED = K.searched()
+SEARCHED = K.SEARCHED
 
 
 def nothing() -> Column:
@@ -74,9 +74,21 @@ def nothing() -> Column:
 
 
 def raw_hits(text: Column, terms: Sequence[str]) -> Column:
-    """The terms that a folded text holds, in the dictionary's order."""
-    each = F.filter(F.array(*[F.when(has_any(text, [t]), t) for t in terms]), lambda t: t.isNotNull())
-    return F.when(has_any(text, terms), each).otherwise(nothing())
+    """The terms that a folded text holds, in the dictionary's order.
+
+    One scan takes the longest term from each place where a word begins; the terms are then looked for at the
+    beginnings of the few distinct spellings that it found, not in the text.
+    """
+    longest = sorted(dict.fromkeys(terms), key=lambda t: -len(_plain(t)))
+    scan = rf"(?<!{_EDGE})(?=({'|'.join(f'(?:{term_body(t)})' for t in longest)})(?!{_EDGE}))"
+    # A capture in an alternative would move the group's number; bodies have none.
+    found = F.array_join(F.array_distinct(F.regexp_extract_all(text, F.lit(scan), 1)), "\x01")
+
+    def held(spellings: Column) -> Column:
+        each = F.array(*[F.when(spellings.rlike(rf"(?:^|\x01)(?:{term_body(t)})(?!{_EDGE})"), t) for t in terms])
+        return F.when(spellings != "", F.filter(each, lambda t: t.isNotNull())).otherwise(nothing())
+
+    return let(found, held) if terms else nothing()
 
 
 def in_context(text: Column, hits: Column, rules: Sequence[Rule] = RULES) -> Column:

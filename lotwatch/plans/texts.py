@@ -129,7 +129,7 @@ def strf07(t: Tables) -> DataFrame:
 
 @query(
     "strf09_title_tokens",
-    f"""WITH p AS (SELECT p_partkey, string_split(regexp_replace({_NORM.format("p_name || ' of the II ' || p_type || ' playstation ' || p_size")}, '\\b(playstation|xbox|nintendo|ps) (\\d+)\\b', '\\1\\2', 'g'), ' ') AS w FROM part)
+    f"""WITH p AS (SELECT p_partkey, string_split(regexp_replace({_NORM.format("p_name || ' of the II ' || p_type || ' playstation ' || p_size")}, '\\b(playstation|ps) ([1-5])\\b', '\\1\\2', 'g'), ' ') AS w FROM part)
     SELECT p_partkey, array_to_string(list_transform(list_filter(w, lambda x: x <> '' AND NOT list_contains({_sql_list(X.TITLE_STOPWORDS)}, x)), lambda x: CASE x {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in X.ROMAN_NUMERALS.items())} ELSE x END), ' ') AS tokens FROM p""",
 )
 def strf09(t: Tables) -> DataFrame:

@@ -26,7 +26,7 @@ def test_lot_size(spark, title, pieces):
 
 
 def test_order_of_searched_terms():
-    s = K.searched()
+    s = K.SEARCHED
     assert s[s.index("dynacom") + 1] == "terminator" and s[s.index("snes") + 1] == "joystick" and s[s.index("wiimote") + 1] == "mario"
     assert s[s.index("metroid") + 1 :][:3] == ("videojuego", "videojuegos", "cartucho") and s[s.index("cassettes") + 1] == "arcade" and s[-1] == "gamevoi"
 
