@@ -2,7 +2,8 @@
 
 The tables are made from Python's Unicode data at import: what each letter of the basic plane comes to when it is taken
 apart and its marks are dropped. They become one translate() in the JVM, which texts of plain ASCII don't reach.
-Hangul syllables, which come apart into several letters, stay as they are.
+Hangul syllables, which come apart into several letters, stay as they are. Letters beyond the basic plane stay too,
+but for the first 1,100 of the private plane, which fold_compatible() uses as marks.
 """
 
 from __future__ import annotations
@@ -47,12 +48,21 @@ def _translated(text: Column, table: dict[str, str]) -> Column:
     return F.translate(text, "".join(k for k, _ in single) + gone, "".join(v for _, v in single))
 
 
+#: Where some letter of SEVERAL may be: a few ranges, so that ordinary texts are told by a short test.
+_MAYBE = r"[\u00bc-\u00be\u0132-\u0133\u013f-\u0140\u0149\u01c4-\u01cc\u01f1-\u01f3\u0587-\u1fff\u2025-\u20ab\u20ad-\uffff]"
+assert all(re.match(_MAYBE, k) for k in SEVERAL)
+#: Each of SEVERAL is marked by a letter of its own from here on, in the private plane.
+_MARK = 0xF0000
+
+
 def _several(text: Column) -> Column:
     """The text with ligatures, fractions and the like spelt out."""
-    letters = "[" + "".join(re.escape(k) for k in SEVERAL) + "]"
-    known = F.map_from_arrays(F.split(F.lit("\x00".join(SEVERAL)), "\x00"), F.split(F.lit("\x00".join(SEVERAL.values())), "\x00"))
-    parts = F.regexp_extract_all(text, F.lit(f"({letters}|[^{letters[1:]}+)"), 1)
-    return F.when(text.rlike(letters), F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_element_at(known, x), x)), "")).otherwise(text)
+    letters = list(SEVERAL)
+    marked = F.translate(text, "".join(letters), "".join(chr(_MARK + i) for i in range(len(letters))))
+    mark = rf"\x{{{_MARK:X}}}-\x{{{_MARK + len(letters) - 1:X}}}"
+    spelt = F.split(F.lit("\x00".join(SEVERAL.values())), "\x00")
+    parts = F.transform(F.regexp_extract_all(marked, F.lit(f"([{mark}]|[^{mark}]+)"), 1), lambda x: F.when(x.rlike(f"[{mark}]"), F.get(spelt, F.ascii(x) - _MARK)).otherwise(x))
+    return F.when(text.rlike(_MAYBE), F.array_join(parts, "")).otherwise(text)
 
 
 def _is_ascii(text: Column) -> Column:

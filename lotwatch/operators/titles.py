@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwatch.functions.text import compilation_words, title_tokens
-from lotwatch.operators.rules import names_a_sequel
+from lotwatch.operators.rules import SEQUEL_NUMBERS, names_a_sequel
 
 #: Tasks over which the texts of one word are dealt.
 SALTS = 16
@@ -22,15 +22,16 @@ SALTS = 16
 def containments(texts: DataFrame, words: str, sets: DataFrame, needed: str, by: Sequence[str]) -> DataFrame:
     """Pairs of rows of texts and sets, equal in `by`, where all `needed` words are among the text's `words`.
 
-    Rows of texts are distinct; empty sets are contained in nothing. Columns of both, which have other names, and `by` once.
+    Rows of texts and rows of sets are distinct; empty sets are contained in nothing. Columns of both, which have other
+    names, and `by` once.
     """
     wanted = sets.select(*by, F.explode(F.array_distinct(needed)).alias("_word")).distinct()
     each = texts.withColumn("_word", F.explode(F.array_distinct(words))).join(wanted, [*by, "_word"], "left_semi")
     counts = each.groupBy(*by, "_word").agg(F.count(F.lit(1)).alias("_n"))
-    own = sets.select(*by, needed).distinct().withColumn("_word", F.explode(F.array_distinct(needed))).join(counts, [*by, "_word"], "left")
+    own = sets.withColumn("_word", F.explode(F.array_distinct(needed))).join(counts, [*by, "_word"], "left")
     # A word that no text has rules its set out.
-    rarest = own.groupBy(*by, needed).agg(F.min_by("_word", F.struct(F.coalesce("_n", F.lit(0)), "_word")).alias("_word"), F.count_if(F.col("_n").isNull()).alias("_lost"))
-    keyed = sets.join(rarest.filter("_lost = 0").drop("_lost"), [*by, needed]).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rarest = own.groupBy(*sets.columns).agg(F.min_by("_word", F.struct("_n", "_word")).alias("_word"), F.count_if(F.col("_n").isNull()).alias("_lost"))
+    keyed = rarest.filter("_lost = 0").drop("_lost").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = each.withColumn("_salt", F.pmod(F.xxhash64(words), F.lit(SALTS)).cast("int"))
     pairs = dealt.join(keyed, [*by, "_word", "_salt"]).drop("_word", "_salt")
     return pairs.filter(F.size(F.array_except(needed, words)) == 0)
@@ -47,7 +48,8 @@ def parsed_names(targets: DataFrame, by: Sequence[str], target: str, name: str,
     each = known.select(*by, target, position, F.posexplode(every).alias("_alias", "_name"))
     halves = F.split(F.coalesce("_name", F.lit("")), ":", 2)
     cut = each.select(*by, target, F.struct(position, "_alias").alias("_order"), title_tokens(halves[0]).alias("_core"), title_tokens(F.get(halves, 1)).alias("_subtitle"))
-    return cut.filter(F.size("_core") > 0).withColumn("_all", F.array_distinct(F.concat("_core", "_subtitle")))
+    every = F.concat("_core", "_subtitle")
+    return cut.filter(F.size("_core") > 0).withColumn("_all", F.array_distinct(every)).withColumn("_compiled", compilation_words(every))
 
 
 def with_series(names: DataFrame, by: Sequence[str], target: str) -> DataFrame:
@@ -61,11 +63,6 @@ def with_series(names: DataFrame, by: Sequence[str], target: str) -> DataFrame:
     return joined.withColumn("_series", (F.size("_subtitle") > 0) & F.coalesce(others, F.lit(False))).drop("_needed", "_least", "_most")
 
 
-def names_a_compilation(words: Column, own: Column) -> Column:
-    """Does a title name a compilation that the target isn't?"""
-    return F.size(F.array_except(compilation_words(words), compilation_words(own))) > 0
-
-
 def title_targets(titles: DataFrame, targets: DataFrame, by: Sequence[str], title: str, target: str, name: str, aliases: str, position: str) -> DataFrame:
     """The target that each distinct title names: by, title, target, shared (words) and core (words of its main part).
 
@@ -76,15 +73,18 @@ def title_targets(titles: DataFrame, targets: DataFrame, by: Sequence[str], titl
     """
     names = with_series(parsed_names(targets, by, target, name, aliases, position), by, target)
     texts = titles.filter(F.col(title).isNotNull()).select(*by, title).distinct().withColumn("_words", title_tokens(F.col(title)))
-    by_core = containments(texts, "_words", names, "_core", by)
-    by_core = by_core.filter(~F.col("_series") | F.arrays_overlap("_subtitle", "_words"))
-    by_subtitle = containments(texts, "_words", names.filter(F.size("_subtitle") > 0), "_subtitle", by)
-    by_subtitle = by_subtitle.filter(F.arrays_overlap("_core", "_words"))
-    found = by_core.unionByName(by_subtitle)
-    fits = ~F.coalesce(names_a_sequel(F.col("_words"), F.col("_core"), F.col("_subtitle")), F.lit(False)) & ~names_a_compilation(F.col("_words"), F.concat("_core", "_subtitle"))
+    words = F.col("_words")
+    texts = texts.withColumn("_numbered", F.arrays_overlap(words, F.array(*map(F.lit, SEQUEL_NUMBERS)))).withColumn("_compiles", compilation_words(words))
+    either = F.explode(F.array(F.struct(F.lit(True).alias("_whole"), F.col("_core").alias("_needed")), F.struct(F.lit(False).alias("_whole"), F.col("_subtitle").alias("_needed"))))
+    sets = names.select("*", either.alias("_way")).select(*names.columns, "_way.*").filter(F.size("_needed") > 0)
+    by_core, by_subtitle = ~F.col("_series") | F.arrays_overlap("_subtitle", "_words"), F.arrays_overlap("_core", "_words")
+    found = containments(texts, "_words", sets, "_needed", by).filter(F.when(F.col("_whole"), by_core).otherwise(by_subtitle))
+    # A compilation that the target isn't, or a number behind each mention that makes it a sequel.
+    compiled = F.size(F.array_except("_compiles", "_compiled")) > 0
+    sequel = F.col("_numbered") & F.coalesce(names_a_sequel(words, F.col("_core"), F.col("_subtitle")), F.lit(False))
     shared = F.size(F.array_intersect("_all", "_words"))
     best = F.min_by(F.struct(target, shared.alias("shared"), F.size("_core").alias("core")), F.struct(-shared, -F.size("_core"), "_order"))
-    return found.filter(fits).groupBy(*by, title).agg(best.alias("_best")).select(*by, title, "_best.*")
+    return found.filter(~compiled).filter(~sequel).groupBy(*by, title).agg(best.alias("_best")).select(*by, title, "_best.*")
 
 
 def attributed(listings: DataFrame, targets: DataFrame, by: Sequence[str], title: str, target: str, name: str, aliases: str, position: str) -> DataFrame:
