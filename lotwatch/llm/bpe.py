@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries inside each partition.
 
-Spark deals out the documents. In a task, texts are split by the vocabulary's pattern; the distinct pieces not yet
-known go to DuckDB as token-position rows, one per byte. A recursive query joins each word's adjacent pairs to the
-merge table and contracts its leftmost pair of minimum rank, until no pair of it is in the table. A piece that is a
-token itself is that token. Decoding joins a batch's ids to the vocabulary and concatenates the bytes by an ordered
-aggregation per document.
+Spark deals out the documents. In a task, texts are split by the vocabulary's pattern, with tiktoken's Unicode tables;
+the distinct pieces not yet known go to DuckDB as token-position rows, one per byte. A recursive query joins each word's
+adjacent pairs to the merge table and contracts its leftmost pair of minimum rank, until no pair of it is in the table.
+A piece that is a token itself is that token. Decoding joins a batch's ids to the vocabulary and concatenates the bytes
+by an ordered aggregation per document.
 
 Pieces of over LONG bytes (a run of one character, a line without spaces) would take a round per merge and keep every
 round's rows. They are contracted in blocks of LONG bytes, all blocks at once. Where two blocks meet, the tokens around
@@ -25,7 +25,9 @@ through; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,12 +55,53 @@ WITH RECURSIVE steps(w, pos, tok, live) AS (
 SELECT w, string_agg(tok, ' ' ORDER BY pos) AS ids FROM steps WHERE NOT live GROUP BY w
 """
 
-#: The aggregation takes its rows in the order of the query below it.
 DECODE_SQL = """
-SELECT doc, sha256(unhex(string_agg(hex, ''))) AS digest FROM (SELECT doc, pos, hex FROM ids JOIN vocabulary USING (id) ORDER BY doc, pos) GROUP BY doc
+SELECT doc, sha256(unhex(string_agg(hex, '' ORDER BY pos))) AS digest FROM ids JOIN vocabulary USING (id) GROUP BY doc
 """
 
 
+#: Character classes that a pattern may use.
+CLASSES = (r"\p{L}", r"\p{N}", r"\s")
+
+
+def ranges(codes) -> str:
+    """Ascending code points as the inside of a character class."""
+    import numpy as np
+
+    codes = np.asarray(codes)
+    if not len(codes):
+        return ""
+    breaks = np.flatnonzero(np.diff(codes) > 1)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(codes[np.concatenate([[0], breaks + 1])].tolist(), codes[np.concatenate([breaks, [len(codes) - 1]])].tolist()))
+
+
+@functools.cache
+def exact_pattern(pattern: str) -> tuple[str, str]:
+    """The inside of a class of the code points that tiktoken and regex class differently, and the pattern as tiktoken reads it.
+
+    Their Unicode tables are of different versions. What tiktoken has in a class is what it finds in a text of all code
+    points, of which bytes are the tokens here.
+    """
+    import regex
+    import tiktoken
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    theirs, odd = {}, set()
+    for c in CLASSES:
+        found = tiktoken.Encoding("class", pat_str=c, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={}).encode_ordinary(every)
+        theirs[c] = sorted(map(ord, bytes(found).decode()))
+        odd |= set(theirs[c]) ^ set(map(ord, regex.findall(c, every)))
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        token = next((c for c in CLASSES if pattern.startswith(c, at)), pattern[at : at + 2] if pattern[at] == "\\" else pattern[at])
+        own = ranges(theirs[token]) if token in theirs else token
+        other = f"[^{ranges(theirs[token.lower()])}]" if token == r"\S" else own
+        out.append(f"[{own}]" if token in theirs and not inside else other)
+        inside = token == "[" or (inside and token != "]")
+        at += len(token)
+    return ranges(sorted(odd)), "".join(out)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -67,13 +110,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """The merge table and the vocabulary in a DuckDB of this worker."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, odd: str = "", exact: str = "") -> None:
+        """odd and exact: those of exact_pattern(); texts with an odd character are split by the exact pattern."""
         import duckdb
         import numpy as np
         import pyarrow as pa
         import regex
 
-        self.pieces = regex.compile(pattern).findall
+        self.fast = regex.compile(pattern).findall
+        self.exact = re.compile(exact).findall if odd else self.fast
+        self.odd = re.compile(f"[{odd}]").search if odd else lambda text: None
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.ranks = ranks = read_ranks(path)
@@ -92,6 +138,9 @@ class Codec:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
         del merges, vocabulary
 
+    def pieces(self, text: str) -> list[str]:
+        return self.exact(text) if not text.isascii() and self.odd(text) else self.fast(text)
+
     def _contract(self, words: list[bytes]) -> list[str]:
         """The ids of each word, in decimal, by the recursive query."""
         import numpy as np
@@ -194,10 +243,10 @@ class Codec:
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, odd: str, exact: str) -> Codec:
     """This worker's codec of a vocabulary, made once."""
     if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
+        _codecs[path, pattern] = Codec(path, pattern, odd, exact)
     return _codecs[path, pattern]
 
 
@@ -215,13 +264,14 @@ def by_size(texts: list[str], most: int) -> Iterator[slice]:
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int)."""
+    odd, exact = exact_pattern(pattern)
 
     @tidied
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        c = codec(path, pattern)
+        c = codec(path, pattern, odd, exact)
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
             for part in by_size(texts, BATCH_CHARS):

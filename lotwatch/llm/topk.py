@@ -14,7 +14,8 @@ The k best of each block are merged per query.
 Edge cases: vectors that are null or hold null or non-finite components take no part, nor do null ids; vectors
 shorter than the longest count as 0 beyond their end; the query's own id is no candidate for it, a row that repeats
 another candidate's id is one more candidate; a repeated query row is answered once; fewer candidates than k give
-fewer rows; an empty table gives an empty result; extra columns are ignored. A score beyond a 64-bit integer fails.
+fewer rows; an empty table gives an empty result; extra columns are ignored. A component of 2^62 or more once
+scaled, and a score beyond a 64-bit integer, fail.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ def quantised(vectors: DataFrame, embedding: Column) -> DataFrame:
     """vec_id and v, the floors as longs, of the vectors that take part."""
     x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), embedding.cast("array<double>").alias("x")).filter("vec_id IS NOT NULL AND x IS NOT NULL")
     sound = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    return x.filter(sound).select("vec_id", F.transform("x", lambda c: F.floor(c * F.lit(float(SCALE)))).alias("v"))
+    whole = lambda c: F.when(F.abs(c * SCALE) < 2.0**62, F.floor(c * SCALE)).otherwise(F.raise_error(F.lit("a component is too large to be an integer of 62 bits")))
+    return x.filter(sound).select("vec_id", F.transform("x", whole).alias("v"))
 
 
 def matrix(lists, dims: int):
@@ -82,7 +84,7 @@ def search_pair(q, q_ids, segments, c_ids, k: int):
     left = (whole.astype(np.float64) ** 2).sum(1)
     q_norm = np.sqrt((q.astype(np.float64) ** 2).sum(1))
     # Single precision is exact while all sums stay below 2^24.
-    exact32 = np.abs(q).sum(1).max(initial=0) * np.abs(whole).max(initial=0) < 1 << 24
+    exact32 = float(np.abs(q).astype(np.float64).sum(1).max(initial=0)) * float(np.abs(whole).max(initial=0)) < 1 << 24
     kind = np.float32 if exact32 else np.float64
     slack = 1e-6 if exact32 else 1e-9
     partial = np.zeros((len(q), n), kind)

@@ -3,7 +3,7 @@
 An ARC record is a header line, whose fields depend on the version that the file's first record declares, and as
 many bytes as the line's length says. The converter makes of each a WARC record: identifier (a name-based UUID of
 archive and offset, so a rerun over the same archives gives the same), WARC-Date from the 14-digit date, type
-(filedesc: warcinfo, dns: resource, else response) and SHA-1 digests. Of records with equal payloads of at least
+(an archive's version block: warcinfo; a dns: record without HTTP headers: resource; else response) and SHA-1 digests. Of records with equal payloads of at least
 `least` bytes, that with the largest page id stays a response and the others become revisits without payload.
 
 Python parses and frames records; Spark groups the digests (copies combined before the shuffle), joins the decisions
@@ -30,9 +30,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import fresh_path, table
+from lotwatch.llm.common import fresh_path, materialize, table
 
 ARCHIVE_BYTES, LEAST = 8_000_000, 1000
+#: Tasks over which the records of one digest are dealt.
+SALTS = 16
 #: Fields of a header line by version, as the archives name them.
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -113,8 +115,8 @@ def parse_arc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes, bool]]:
             continue
         end = data.find(b"\n", at)
         line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r")
-        if line.startswith("filedesc:"):
-            # The version block's own line has the fields that its second body line names.
+        if at == 0 and line.startswith("filedesc:") and " text/plain " in line:
+            # The version block opens an archive; its own line has the fields that its second body line names.
             start = data[end + 1 : end + 400].split(b"\n", 2)
             version = int(start[0].split()[0])
             if version not in FIELDS:
@@ -152,7 +154,7 @@ def read_arcs(spark: SparkSession, path: str, with_payload: bool = True) -> Data
             for name, content in zip(batch["path"].to_pylist(), batch["content"]):
                 rows, size = [], 0
                 for offset, h, block, cut in parse_arc(inflate(content.as_py())):
-                    if h["URL"].startswith("filedesc:"):
+                    if offset == 0 and h["URL"].startswith("filedesc:") and h["Content-type"] == "text/plain":
                         continue
                     head, payload = split_http(block)
                     rows.append((name, offset, h["URL"], h["Archive-date"], h["Content-type"], page_id_of(head), head, payload if with_payload else None, len(payload), hashlib.sha1(payload).hexdigest(), cut))
@@ -188,14 +190,16 @@ def warc_record(kind: str, headers: list[tuple[str, object]], block: bytes) -> b
 
 def convert(records: DataFrame, light: DataFrame, path: str, least: int = LEAST, size: int = ARCHIVE_BYTES) -> None:
     """Write ARC records (and their copies without payload, for the grouping) as WARC archives below `path`."""
+    light = materialize(light.select("archive", "offset", "url", "date", "page_id", "payload_bytes", "payload_digest"), "arc-records").filter((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull())
     keepers = (
-        light.filter((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull())
-        .groupBy("payload_digest")
+        light.groupBy("payload_digest")
         .agg(F.max(F.struct("page_id", "archive", "offset", "url", "date")).alias("keep"), F.count(F.lit(1)).alias("copies"))
         .filter("copies > 1")
-        .drop("copies")
+        .select("payload_digest", "keep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
-    decided = records.join(keepers, "payload_digest", "left")
+    # Only rows without payload meet by digest, a common one over SALTS tasks; a payload then finds its own decision.
+    copies = light.withColumn("salt", F.pmod(F.xxhash64("archive", "offset"), F.lit(SALTS)).cast("int")).join(keepers, ["payload_digest", "salt"])
+    decided = records.join(copies.select("archive", "offset", "keep"), ["archive", "offset"], "left")
 
     def run(batches):
         import pyarrow as pa
@@ -208,7 +212,8 @@ def convert(records: DataFrame, light: DataFrame, path: str, least: int = LEAST,
                 keep = r["keep"]
                 revisit = keep is not None and r["page_id"] is not None and (r["archive"], r["offset"]) != (keep["archive"], keep["offset"])
                 block = r["head"] if revisit else r["head"] + r["payload"]
-                web = r["content_type"] if r["url"].startswith("dns:") else "application/http; msgtype=response"
+                dns = r["url"].startswith("dns:") and not r["head"]
+                web = r["content_type"] if dns else "application/http; msgtype=response"
                 headers = [
                     ("WARC-Record-ID", record_id(r["archive"], r["offset"])), ("WARC-Date", iso_date(r["date"])), ("WARC-Target-URI", r["url"]), ("Content-Type", web),
                     ("WARC-Payload-Digest", base32_digest(r["payload_digest"])), ("WARC-Block-Digest", base32_digest(hashlib.sha1(block).hexdigest())), ("X-Payload-Length", r["payload_bytes"]),
@@ -216,7 +221,7 @@ def convert(records: DataFrame, light: DataFrame, path: str, least: int = LEAST,
                 ]
                 if revisit:
                     headers += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(keep["archive"], keep["offset"])), ("WARC-Refers-To-Target-URI", keep["url"]), ("WARC-Refers-To-Date", iso_date(keep["date"])), ("X-Refers-To-Page-Id", keep["page_id"])]
-                kind = "revisit" if revisit else "resource" if r["url"].startswith("dns:") else "response"
+                kind = "revisit" if revisit else "resource" if dns else "response"
                 parts.append(warc_record(kind, headers, block))
                 total += len(parts[-1])
                 if total >= size:

@@ -38,6 +38,24 @@ def test_warc_hard_rows(spark):
         assert got[page_id]["payload_bytes"] == len((html or "").encode())
 
 
+def test_warc_of_odd_addresses_and_empty_tables(spark, tmp_path):
+    """Pages whose addresses look like an archive's own records are pages."""
+    big = "<p>" + "x" * 1200
+    rows = [(1, "dns:host", big), (2, "dns:host", big), (3, "filedesc:x", "short"), (4, "filedesc://y.arc", big), (5, "dns:", None), (6, "filedesc:z text/plain", "t")]
+    schema = "page_id long, url string, html string, archive string, keep int, payload_digest string"
+    spark.createDataFrame([(*r, "a", 1, "d") for r in rows], schema).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.query(spark, str(tmp_path)).collect()}
+    assert got == {1: ("revisit", 4), 2: ("revisit", 4), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None)}
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert warc.query(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_arc_records_of_both_versions_and_cut_ones():
+    two = b"filedesc://x 0.0.0.0 20260101000000 text/plain 200 - - 0 x 10\n2 0 x\nURL\n" + b"\nhttp://a 1.2.3.4 19990101 text/html 200 c l 5 x 5\nhello" + b"\nfiledesc://b 1.2.3.4 1999 text/plain 200 c l 5 x 99\ncut off"
+    found = list(warc.parse_arc(two))
+    assert [(h["URL"], b, cut) for _, h, b, cut in found] == [("filedesc://x", b"2 0 x\nURL\n", False), ("http://a", b"hello", False), ("filedesc://b", b"cut off", True)]
+
+
 def test_warc_fails_on_an_unknown_version():
     with pytest.raises(ValueError):
         list(warc.parse_arc(b"filedesc://x 0.0.0.0 20260101000000 text/plain 6\n9 0 x\n"))
@@ -56,6 +74,15 @@ def test_topk_hard_vectors(spark):
     assert set(got) == {0, 20, 40}
 
 
+def test_topk_of_large_components_is_right_or_fails(spark):
+    rows = [(k, [float(2**40 + k), -3.0 * k]) for k in range(1, 30)]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("embedding"))
+    with pytest.raises(Exception):  # a score of 2^92
+        topk.top_k(v.filter("vec_id = 20"), v, 29, 1, 2, k=3).collect()
+    with pytest.raises(Exception, match="too large"):
+        topk.quantised(spark.createDataFrame([(1, [1e300]), (2, [0.02])], "vec_id long, embedding array<double>"), F.col("embedding")).collect()
+
+
 def check_mix(docs):
     got = mixing.mix(docs).collect()
     sizes = {r["doc_id"]: len(WORD.findall(r["text"] or "")) for r in docs.collect()}
@@ -100,6 +127,24 @@ def test_bpe_is_tiktoken(spark, sf_dir):
     assert bpe.encode_documents(empty_documents(spark), path, public_tokenizers.PATTERN).collect() == []
 
 
+def test_bpe_reads_every_letter_as_tiktoken():
+    """All code points that the two Unicode tables class differently, and one in 29 of the others, in contractions and spaces."""
+    import tiktoken
+
+    path, pattern = public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN
+    odd, exact = bpe.exact_pattern(pattern)
+    c = bpe.Codec(path, pattern, odd, exact)
+    whole = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=c.ranks, special_tokens={})
+    every = [chr(k) for k in (*range(1, 0xD800), *range(0xE000, 0x110000))]
+    letters = [x for k, x in enumerate(every) if k % 29 == 0 or c.odd(x)]
+    assert len(letters) > 38_000
+    texts = [f"a{x}'s {x}{x}  {x}1{x}" for x in letters]
+    for k in range(0, len(texts), 5000):
+        part = texts[k : k + 5000]
+        got = c.encode(part)
+        assert [t for t, ids in zip(part, got) if ids != " ".join(map(str, whole.encode_ordinary(t)))] == []
+
+
 @pytest.mark.parametrize("block", [8, 64])
 def test_bpe_of_long_pieces_is_tiktoken(monkeypatch, block):
     """Blocks and seams give the ids of the whole piece; 100,000 letters without a space take seconds."""
