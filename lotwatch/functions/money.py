@@ -100,14 +100,6 @@ def cost_breakdown(price: Column, shipping: Column, kind: Column, completeness:
     )
 
 
-def completion_cost(missing: Column) -> Column:
-    """What the missing pieces cost; a piece whose parent is missing too isn't charged again."""
-    parent = F.create_map(*[F.lit(x) for kv in COMPLETION_PARENT.items() for x in kv])
-    own = F.filter(F.array_distinct(missing), lambda p: ~F.coalesce(F.array_contains(missing, F.element_at(parent, p)), F.lit(False)))
-    prices = F.create_map(*[F.lit(x) for kv in COMPLETION_COSTS.items() for x in kv])
-    return F.round(F.aggregate(own, F.lit(0.0), lambda a, p: a + F.coalesce(F.element_at(prices, p), F.lit(0.0))), 2)
-
-
 def decision_band(ratio: Column) -> Column:
     """The band of a price over its benchmark; null without one."""
     out = F.lit(DEAREST)
@@ -127,16 +119,6 @@ def confidence(hit: Column, total: Column, unverified: Column, blocked: Column)
     return F.when(blocked, 0.0).otherwise(F.round(F.least(F.greatest(base, F.lit(0.05)), F.lit(1.0)), 2))
 
 
-def meets_target(price: Column, functional_cost: Column, target: Column) -> Column:
-    """True, false or, where price or target is missing, null; the cost that makes a piece usable counts."""
-    return F.when(target.isNull() | (target <= 0) | price.isNull(), None).otherwise(F.coalesce(functional_cost, price) <= target)
-
-
-def query_ceiling(general: Column, loose: Column, boxed: Column, completeness: Column) -> Column:
-    """The least of the ceilings that apply; null for none."""
-    return F.least(general, F.when(completeness.isin("boxed", "cib", "sealed"), boxed).otherwise(loose))
-
-
 def money_en(x: Column) -> Column:
     return F.format_number(x, 2)
 
@@ -155,3 +137,24 @@ def auction_charges(price: Column, premium_percent: Column, tax_percent: Column,
 def lot_ceiling(pieces: Column, ceiling: Column, filler: Column) -> Column:
     """The pieces' ceilings together, half of it for a lot of filler."""
     return cents(pieces * ceiling * F.when(filler, 0.5).otherwise(1.0))
+
+
+def meets_target(price: Column, functional_cost: Column, target: Column, cost_known: Column) -> Column:
+    """Does a piece, made ready, cost at most its target? Null without target or price.
+
+    Where the shipping isn't known the cost is only a floor: above the target it is false, below it isn't known.
+    """
+    cost = F.coalesce(functional_cost, price)
+    known = F.coalesce(cost_known, F.lit(False)) & functional_cost.isNotNull()
+    judged = F.when(known, cost <= target).when(cost > target, False)
+    return F.when((target > 0) & price.isNotNull(), judged)
+
+
+def query_ceiling(general: Column, loose: Column, boxed: Column, completeness: Column) -> Column:
+    """The price up to which a query's listings count: the title's ceiling, never above the search's own.
+
+    A title may have a higher one for boxed copies; without it the loose one holds for all, without a loose one neither
+    does. Where completeness isn't declared (null), as when a source is asked, the higher of the two holds.
+    """
+    own = F.when(boxed.isNull(), loose).when(completeness.isNull(), F.greatest(loose, boxed)).otherwise(F.when(completeness.isin("cib", "boxed", "sealed"), boxed).otherwise(loose))
+    return F.when(loose.isNull(), general).otherwise(F.least(own, general))

@@ -78,14 +78,3 @@ def top_picks(df: DataFrame, title: str, position: str, n: int) -> DataFrame:
     """n rows, one of each title first, then others, each in the order of position."""
     again = F.row_number().over(Window.partitionBy(title).orderBy(position)) > 1
     return df.withColumn("_again", again).orderBy("_again", position).limit(n).drop("_again")
-
-
-def is_exceptional(meets_target: Column, ratio: Column, followed: Column, drop_ratio: Column) -> Column:
-    """At its target, at 55 % of its benchmark, or followed and a fifth cheaper."""
-    return F.coalesce(meets_target, F.lit(False)) | F.coalesce(ratio <= 0.55, F.lit(False)) | (F.coalesce(followed, F.lit(False)) & F.coalesce(drop_ratio >= 0.20, F.lit(False)))
-
-
-def deserves_notice(price: Column, target: Column, noticed_price: Column, noticed: Column) -> Column:
-    """Never noticed, target crossed since, or a material drop since the last notice."""
-    crossed = target.isNotNull() & (price <= target) & (noticed_price > target)
-    return ~noticed | F.coalesce(crossed, F.lit(False)) | F.coalesce((noticed_price - price) / noticed_price >= MATERIAL_DROP, F.lit(False))

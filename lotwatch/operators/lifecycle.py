@@ -40,13 +40,6 @@ def lease_status(status: Column, requested: Column, heartbeat: Column, now: Colu
     return F.when((status == "pending") & quiet(requested, pending_minutes), "failed").when((status == "running") & quiet(F.coalesce(heartbeat, requested), running_minutes), "failed").otherwise(status)
 
 
-def verification_state(verified: Column, verified_at: Column, price_changed_at: Column, now: Column, hours: int = 24) -> Column:
-    """verified, expired, or unverified; a later change of price ends a verification."""
-    live = F.unix_timestamp(now) - F.unix_timestamp(verified_at) < 3600 * hours
-    changed = F.coalesce(price_changed_at > verified_at, F.lit(False))
-    return F.when(~F.coalesce(verified, F.lit(False)) | verified_at.isNull(), "unverified").when(live & ~changed, "verified").otherwise("expired")
-
-
 def snapshot_status(generated: Column, now: Column, hours: int = 36, ahead_minutes: int = 5) -> Column:
     """current, stale, or unavailable where there is no time or one in the future."""
     age = F.unix_timestamp(now) - F.unix_timestamp(generated)
@@ -67,3 +60,22 @@ def backoff_seconds(attempts: Column, steps: Sequence[int] = (60, 300, 900, 3600
 def outbox_id(kind: Column, run: Column, ids: Column) -> Column:
     """One id for a kind, a run and a set of items, in whatever order they come."""
     return F.sha1(F.concat_ws("\x00", F.concat(F.array(kind, run), F.array_sort(ids))).cast("binary"))
+
+
+def verification_state(availability: Column, flagged: Column, source_checks: Column, verified_at: Column, price_changed_at: Column, now: Column, hours: int = 24) -> Column:
+    """Struct of state and reason: ended, verified, expired (stale or price-changed), available by the source, else pending.
+
+    A verification by the owner lasts so many hours and ends when the price changes after it.
+    """
+    changed = F.coalesce(price_changed_at > verified_at, F.lit(False))
+    live = F.unix_timestamp(now) - F.unix_timestamp(verified_at) < 3600 * hours
+    by_source = F.coalesce(source_checks & (availability == "available") & ~F.coalesce(flagged, F.lit(False)), F.lit(False))
+    ended = F.coalesce(availability == "ended", F.lit(False))
+    state = F.when(ended, "ended").when(verified_at.isNotNull() & live & ~changed, "verified").when(verified_at.isNotNull(), "expired").when(by_source, "available").otherwise("pending")
+    return F.struct(state.alias("state"), F.when(state == "expired", F.when(changed, "price-changed").otherwise("stale")).otherwise("").alias("reason"))
+
+
+def detail_usable(fetched_at: Column, cached_price: Column, price: Column, now: Column, hours: int = 24) -> Column:
+    """May a cached page be used: read within so many hours, at the price that the listing has now?"""
+    young = F.unix_timestamp(now) - F.unix_timestamp(fetched_at) < 3600 * hours
+    return F.coalesce(young, F.lit(False)) & cached_price.eqNullSafe(price)

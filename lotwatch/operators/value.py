@@ -12,8 +12,6 @@ from lotwatch.functions.money import cents
 # Preference of evidence (less is better), age at which it is stale, samples that a median needs.
 SOURCE_RANK = {"ebay-sold": 0, "pricecharting": 1, "retail": 2, "manual": 3, "peer-listings": 4, "editorial": 5, "lot-ceiling": 6}
 STALE_DAYS, PEERS, LOW_SAMPLES = 180, 4, 5
-POSITIVE_BANDS = ("ganga", "buena", "razonable")
-REVIEW, NO_REFERENCE = "revisar", "sin-referencia"
 
 
 def peer_median(df: DataFrame, keys: Sequence[str], price: Column, least: int = PEERS) -> DataFrame:
@@ -47,29 +45,3 @@ def pick_benchmark(references: DataFrame, keys: Sequence[str], today: Column, ti
     stale = F.coalesce(F.datediff(today, F.col("observed_at")) > STALE_DAYS, F.lit(True))
     w = Window.partitionBy(*keys).orderBy(F.col("independent").desc(), stale, F.coalesce(F.element_at(ranks, F.col("source")), F.lit(99)), F.col("confidence").desc(), tie)
     return references.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-
-
-def benchmark_reliable(source: Column, stale: Column, samples: Column) -> Column:
-    return source.isin("ebay-sold", "pricecharting", "retail", "manual") & ~stale | ((source == "peer-listings") & (samples >= PEERS))
-
-
-def effective_band(band: Column, blockers: Column, available: Column, contents_confirmed: Column) -> Column:
-    """The band at reading: positive ones need the blockers gone; confirming contents and availability lifts theirs."""
-    left = F.when(available, F.array_except(blockers, F.array(F.lit("availability")))).otherwise(blockers)
-    left = F.when(contents_confirmed, F.array_except(left, F.array(F.lit("contents"), F.lit("lot-size")))).otherwise(left)
-    return F.when(band.isin(*POSITIVE_BANDS) & (F.size(left) > 0), REVIEW).otherwise(band)
-
-
-def alert_reasons(band: Column, reliable: Column, ratio: Column, blockers: Column) -> Column:
-    """Why an alert isn't clear; empty if it is. Anything unknown counts against it."""
-    each = F.array(
-        F.when(~F.coalesce(band.isin(*POSITIVE_BANDS), F.lit(False)), "band"), F.when(~F.coalesce(reliable, F.lit(False)), "reference"),
-        F.when(ratio.isNull() | (ratio > 0.90), "ratio"), F.when(F.coalesce(F.size(blockers), F.lit(1)) > 0, "blockers"),
-    )
-    return F.filter(each, lambda x: x.isNotNull())
-
-
-def total_score(points: Sequence[Column], penalties: Sequence[Column]) -> Column:
-    """Points less penalties, from 0 to 100; missing ones count 0."""
-    add = lambda xs: sum((F.coalesce(x, F.lit(0.0)) for x in xs), F.lit(0.0))
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), add(points) - add(penalties))), 0).cast("int")

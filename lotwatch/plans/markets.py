@@ -81,16 +81,6 @@ def math13(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", c.alias("confidence"))
 
 
-@query("math14_target", f"WITH {LISTING} SELECT listing_id, CASE WHEN size % 5 = 0 THEN NULL ELSE coalesce(CASE WHEN flag = 'R' THEN price + 100 END, price) <= 900.0 * size END AS meets FROM l")
-def math14(t: Tables) -> DataFrame:
-    price = F.col("price")
-    return listings(t).select("listing_id", V.meets_target(price, F.when(F.col("flag") == "R", price + 100), F.when(F.col("size") % 5 != 0, 900.0 * F.col("size"))).alias("meets"))
-
-
-@query("math15_query_ceiling", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN least(p_retailprice, 20.0 * p_size) ELSE least(p_retailprice, 30.0 * p_size) END AS ceiling FROM part")
-def math15(t: Tables) -> DataFrame:
-    shape = F.when(F.col("p_size") % 2 == 0, "boxed").otherwise("loose")
-    return t.part.select("p_partkey", V.query_ceiling(F.col("p_retailprice"), 30.0 * F.col("p_size"), 20.0 * F.col("p_size"), shape).alias("ceiling"))
 
 
 @query("math19_money_text", "SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS en, replace(replace(replace(format('{:,.2f}', o_totalprice), ',', '_'), '.', ','), '_', '.') AS es FROM orders")
@@ -273,12 +263,6 @@ def agg17(t: Tables) -> DataFrame:
     return g.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("groups"), F.count_if("ok").alias("complete"), F.count_if(~F.col("ok")).alias("partial"), F.sum("n").alias("lots"), F.bool_and("ok").alias("authoritative"))
 
 
-@query("agg20_run_status", "SELECT o_orderdate::DATE::VARCHAR AS day, CASE WHEN bool_and(o_orderstatus = 'P') THEN 'failed' WHEN bool_or(o_orderstatus = 'P') THEN 'degraded' ELSE 'ok' END AS status FROM orders GROUP BY o_orderdate::DATE")
-def agg20(t: Tables) -> DataFrame:
-    bad = F.col("o_orderstatus") == "P"
-    day = F.to_date("o_orderdate").cast("string").alias("day")
-    return t.orders.groupBy(day).agg(F.when(F.bool_and(bad), "failed").when(F.bool_or(bad), "degraded").otherwise("ok").alias("status"))
-
 
 @query("agg38_by_closing_day", "SELECT strftime((l_shipdate - INTERVAL 3 HOUR)::DATE, '%Y-%m-%d') AS day, count(*) AS lots, max(l_extendedprice) AS dearest FROM lineitem WHERE l_shipdate >= timestamp '1993-01-01' AND l_shipdate < timestamp '2004-01-01' GROUP BY 1")
 def agg38(t: Tables) -> DataFrame:
@@ -395,19 +379,6 @@ def flt08(t: Tables) -> DataFrame:
     return listings(t).filter(keep).select("listing_id")
 
 
-@query("str09_notices", "WITH p AS (SELECT event_id, user_id, value, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events) SELECT event_id FROM p WHERE before IS NULL OR (value <= 20 AND before > 20) OR (before <> 0 AND (before - value) / before >= 0.08)")
-def str09(t: Tables) -> DataFrame:
-    before = F.lag("value").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    x = t.events.withColumn("before", before)
-    return x.filter(feed.deserves_notice(F.col("value"), F.lit(20.0), F.nullif(F.col("before"), F.lit(0.0)), F.col("before").isNotNull())).select("event_id")
-
-
-@query("val06_effective_band", f"WITH {LISTING}, b AS (SELECT *, {_BAND.format('(' + _RATIO + ')')} AS band FROM l) SELECT listing_id, CASE WHEN band IN ('ganga', 'buena', 'razonable') AND ((flag = 'R' AND status <> 'F') OR (flag = 'N' AND size % 2 = 0)) THEN 'revisar' ELSE band END AS band FROM b")
-def val06(t: Tables) -> DataFrame:
-    x = listings(t)
-    blockers = F.when(F.col("flag") == "R", F.array(F.lit("availability"))).when(F.col("flag") == "N", F.array(F.lit("contents"))).otherwise(F.array().cast("array<string>"))
-    band = V.decision_band(F.col("price") / (20 * F.col("size") + 1000))
-    return x.select("listing_id", value.effective_band(band, blockers, F.col("status") == "F", F.col("size") % 2 != 0).alias("band"))
 
 
 _VERDICT = f"""WITH {LISTING}, x AS (SELECT *, flag = 'R' AS asis, size % 2 = 0 AS boxed FROM l), y AS (SELECT *, list_filter([

@@ -240,16 +240,6 @@ def str06(t: Tables) -> DataFrame:
     return t.events.join(F.broadcast(last)).select("event_id", lifecycle.lease_status(status, ts, F.lit(None).cast("timestamp"), F.col("last")).alias("status"))
 
 
-@query("str10_verification", f"SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'unverified' WHEN epoch(TIMESTAMP '{NOW}') - epoch(o_orderdate) < 86400 AND NOT (o_orderpriority < '3') THEN 'verified' ELSE 'expired' END AS state FROM orders")
-def str10(t: Tables) -> DataFrame:
-    at = F.col("o_orderdate").cast("timestamp")
-    changed = F.when(F.col("o_orderpriority") < "3", at + F.expr("INTERVAL 1 HOUR"))
-    return t.orders.select("o_orderkey", lifecycle.verification_state(F.col("o_orderstatus") != "P", at, changed, now()).alias("state"))
-
-
-@query("str11_detail_fresh", f"SELECT o_orderkey, epoch(TIMESTAMP '{NOW}') - epoch(o_orderdate) < 24 * 3600 * 30 AS fresh FROM orders")
-def str11(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", D.fresh(F.col("o_orderdate").cast("timestamp"), now(), 24 * 30).alias("fresh"))
 
 
 @query("str12_snapshot_status", "SELECT o_orderkey, CASE WHEN epoch(TIMESTAMP '1996-01-01') - epoch(o_orderdate) < -300 THEN 'unavailable' WHEN epoch(TIMESTAMP '1996-01-01') - epoch(o_orderdate) > 36 * 3600 THEN 'stale' ELSE 'current' END AS status FROM orders")
@@ -439,11 +429,6 @@ def flt07(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", feed.snooze_active(decision, F.col("o_orderdate").cast("timestamp"), F.lit("1996-01-01").cast("timestamp")).alias("snoozed"))
 
 
-@query("flt18_usable_references", "SELECT p_partkey FROM part WHERE p_type <> 'ECONOMY' OR p_size > 25")
-def flt18(t: Tables) -> DataFrame:
-    """Curated references count only for their own kind of piece."""
-    return t.part.filter((F.col("p_type") != "ECONOMY") | (F.col("p_size") > 25)).select("p_partkey")
-
 
 @query("math04_safe_amount", "SELECT s_suppkey, CASE WHEN s_acctbal >= 0 THEN round(s_acctbal, 2) END AS amount, NULL::DOUBLE AS from_text FROM supplier")
 def math04(t: Tables) -> DataFrame:
@@ -455,35 +440,9 @@ def math08(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", V.weight_estimate(F.lit("console"), F.when(F.col("p_size") > 25, "cib").otherwise("unknown")).alias("kg"))
 
 
-@query("math11_completion_cost", "SELECT p_partkey, (CASE WHEN p_size > 25 THEN 15.0 + 20.0 WHEN p_size > 10 THEN 20.0 ELSE 0.0 END)::DOUBLE AS cost FROM part")
-def math11(t: Tables) -> DataFrame:
-    """A missing part whose parent is missing too isn't charged again."""
-    missing = F.when(F.col("p_size") > 25, F.array(F.lit("cables"), F.lit("power-supply"), F.lit("controller"))).when(F.col("p_size") > 10, F.array(F.lit("power-supply"))).otherwise(F.array().cast("array<string>"))
-    return t.part.select("p_partkey", V.completion_cost(missing).alias("cost"))
-
-
-@query("val03_total_score", "SELECT l_orderkey, l_linenumber, round(greatest(0, least(100, l_quantity + 100 * l_discount - CASE WHEN l_returnflag = 'R' THEN 20 ELSE 0 END)))::INTEGER AS score FROM lineitem")
-def val03(t: Tables) -> DataFrame:
-    points = [F.col("l_quantity"), 100 * F.col("l_discount"), F.lit(None).cast("double")]
-    return t.lineitem.select("l_orderkey", "l_linenumber", value.total_score(points, [F.when(F.col("l_returnflag") == "R", 20.0)]).alias("score"))
-
-
-@query("val07_reliability", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN l_linestatus = 'O' ELSE l_linenumber >= 4 END AS reliable FROM lineitem")
-def val07(t: Tables) -> DataFrame:
-    source = F.when(F.col("l_returnflag") == "N", "ebay-sold").otherwise("peer-listings")
-    return t.lineitem.select("l_orderkey", "l_linenumber", value.benchmark_reliable(source, F.col("l_linestatus") != "O", F.col("l_linenumber")).alias("reliable"))
-
 
-@query("val08_alert_reasons", "SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_linenumber > 3 THEN 'band' END, CASE WHEN l_returnflag = 'R' THEN 'reference' END, CASE WHEN l_quantity / 40 > 0.9 THEN 'ratio' END, CASE WHEN l_linestatus = 'O' THEN 'blockers' END) AS reasons FROM lineitem")
-def val08(t: Tables) -> DataFrame:
-    blockers = F.when(F.col("l_linestatus") == "O", F.array(F.lit("contents"))).otherwise(F.array().cast("array<string>"))
-    why = value.alert_reasons(F.when(F.col("l_linenumber") > 3, "caro").otherwise("buena"), F.col("l_returnflag") != "R", F.col("l_quantity") / 40, blockers)
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.array_join(why, ",").alias("reasons"))
 
 
-@query("val09_exceptional", "SELECT l_orderkey, l_linenumber, l_quantity < 5 OR l_quantity / 40 <= 0.55 OR (l_returnflag = 'R' AND l_discount >= 0.20) AS exceptional FROM lineitem")
-def val09(t: Tables) -> DataFrame:
-    return t.lineitem.select("l_orderkey", "l_linenumber", feed.is_exceptional(F.col("l_quantity") < 5, F.col("l_quantity") / 40, F.col("l_returnflag") == "R", F.col("l_discount")).alias("exceptional"))
 
 
 @query("strf34_distinct_terms", "SELECT p_partkey, p_name || ',' || p_brand AS terms FROM part")

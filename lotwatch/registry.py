@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwatch.plans import markets, pages, rules, runs, sources, texts, titles, views  # noqa: F401
+from lotwatch.plans import markets, pages, rules, runs, sources, texts, titles, valuation, views  # noqa: F401
 from lotwatch.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
