@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lotwatch.llm.common import pipeline_stage, table, tidied
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-BATCH_CHARS, CACHE, LONG, QUERY_BYTES = 3_000_000, 150_000, 64, 500_000
+BATCH_CHARS, CACHE, LONG, QUERY_BYTES = 3_000_000, 300_000, 64, 500_000
 
 #: Positions stay below 2^31, ranks below 2^31: one long orders pairs by rank, then from the left.
 CONTRACT_SQL = """
@@ -76,16 +76,16 @@ def ranges(codes) -> str:
 
 
 @functools.cache
-def exact_pattern(pattern: str) -> tuple[str, str]:
+def exact_pattern(pattern: str, first: int = 0x110000) -> tuple[str, str]:
     """The inside of a class of the code points that tiktoken and regex class differently, and the pattern as tiktoken reads it.
 
     Their Unicode tables are of different versions. What tiktoken has in a class is what it finds in a text of all code
-    points, of which bytes are the tokens here.
+    points, of which bytes are the tokens here. The pattern holds for texts of the `first` code points.
     """
     import regex
     import tiktoken
 
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    every = "".join(chr(k) for k in range(first) if not 0xD800 <= k < 0xE000)
     theirs, odd = {}, set()
     for c in CLASSES:
         found = tiktoken.Encoding("class", pat_str=c, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={}).encode_ordinary(every)
@@ -110,8 +110,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """The merge table and the vocabulary in a DuckDB of this worker."""
 
-    def __init__(self, path: str, pattern: str, odd: str = "", exact: str = "") -> None:
-        """odd and exact: those of exact_pattern(); texts with an odd character are split by the exact pattern."""
+    def __init__(self, path: str, pattern: str, odd: str = "", exact: str = "", near: str = "") -> None:
+        """odd and exact: those of exact_pattern(); near: the pattern for texts of the first 256 characters.
+
+        Such texts take the near pattern, which has few characters to tell apart and is the quickest; texts with an odd
+        character the exact one; all others the pattern itself.
+        """
         import duckdb
         import numpy as np
         import pyarrow as pa
@@ -120,7 +124,7 @@ class Codec:
         self.fast = regex.compile(pattern).findall
         self.exact = re.compile(exact).findall if odd else self.fast
         self.odd = re.compile(f"[{odd}]").search if odd else lambda text: None
-        self.far = not odd or not re.search(f"[{odd}]", "".join(map(chr, range(256))))
+        self.near = re.compile(near).findall if near else None
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.ranks = ranks = read_ranks(path)
@@ -140,15 +144,13 @@ class Codec:
         del merges, vocabulary
 
     def pieces(self, text: str) -> list[str]:
-        return self.fast(text) if self.is_near(text) or not self.odd(text) else self.exact(text)
-
-    def is_near(self, text: str) -> bool:
-        """Are all characters among the first 256, and no odd one there? Told by the quickest means that Python has."""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return False
-        return self.far
+        if self.near:
+            try:
+                text.encode("latin-1")  # by far the quickest test that all characters are among the first 256
+            except UnicodeEncodeError:
+                return self.exact(text) if self.odd(text) else self.fast(text)
+            return self.near(text)
+        return self.exact(text) if self.odd(text) else self.fast(text)
 
     def _contract(self, words: list[bytes]) -> list[str]:
         """The ids of each word, in decimal, by the recursive query."""
@@ -252,10 +254,10 @@ class Codec:
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
-def codec(path: str, pattern: str, odd: str, exact: str) -> Codec:
+def codec(path: str, pattern: str, odd: str, exact: str, near: str) -> Codec:
     """This worker's codec of a vocabulary, made once."""
     if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern, odd, exact)
+        _codecs[path, pattern] = Codec(path, pattern, odd, exact, near)
     return _codecs[path, pattern]
 
 
@@ -274,13 +276,14 @@ def by_size(texts: list[str], most: int) -> Iterator[slice]:
 def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int)."""
     odd, exact = exact_pattern(pattern)
+    near = exact_pattern(pattern, 256)[1]
 
     @tidied
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        c = codec(path, pattern, odd, exact)
+        c = codec(path, pattern, odd, exact, near)
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
             for part in by_size(texts, BATCH_CHARS):

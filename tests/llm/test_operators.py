@@ -133,12 +133,14 @@ def test_bpe_reads_every_letter_as_tiktoken():
 
     path, pattern = public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN
     odd, exact = bpe.exact_pattern(pattern)
-    c = bpe.Codec(path, pattern, odd, exact)
+    near = bpe.exact_pattern(pattern, 256)[1]
+    c = bpe.Codec(path, pattern, odd, exact, near)
     whole = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=c.ranks, special_tokens={})
     every = [chr(k) for k in (*range(1, 0xD800), *range(0xE000, 0x110000))]
     letters = [x for k, x in enumerate(every) if k % 29 == 0 or c.odd(x)]
     assert len(letters) > 38_000
-    texts = [f"a{x}'s {x}{x}  {x}1{x}" for x in letters]
+    low = [chr(k) for k in range(1, 256)]
+    texts = [f"a{x}'s {x}{x}  {x}1{x}" for x in letters] + [f"{x}{y} {y}{x}\n{x} \u2019" for x in low for y in low[::7]] + [f"{x}{y} {y}{x}{x}  {y}" for x in low for y in low]
     for k in range(0, len(texts), 5000):
         part = texts[k : k + 5000]
         got = c.encode(part)
