@@ -1,0 +1 @@
+"""Structured Streaming: state that follows arrivals instead of being computed from the whole history."""
