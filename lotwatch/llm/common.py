@@ -39,6 +39,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Bytes of an Arrow batch that goes to Python: batches of rows with texts or sets stay small, however long these are.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, most: int = 8_000_000) -> None:
+    """Let no Arrow batch of this session hold more than so many bytes, or one row; a smaller bound that is set stays."""
+    if int(spark.conf.get(BATCH_BYTES).rstrip("bB")) > most:
+        spark.conf.set(BATCH_BYTES, str(most))
+
+
 def pipeline_stage(f):
     """A stage (spark, docs, sf_dir) whose predecessor's tables go first: its rows are written by now, as the pipeline has it.
 
@@ -48,6 +58,7 @@ def pipeline_stage(f):
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         global _in_stage
+        bounded_batches(spark)
         read = docs.inputFiles() if _stage_paths else []
         for path in [p for p in _stage_paths if not any(f"{p.rpartition('/')[2]}/" in x for x in read)]:
             delete_path(spark, path)

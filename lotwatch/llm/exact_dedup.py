@@ -6,9 +6,10 @@ later still meets its digest. State per digest: the largest id, its locator, the
 of distinct texts, in small fixed-size rows, never the texts themselves. Copies are combined before the shuffle,
 so that one text with a third of all rows is a few rows per task.
 
-Hits (digests seen more than once) are checked on full bytes: their rows' texts are grouped by digest and text,
-combined map-side to one row per task and text. A digest with one text is confirmed. A digest with several (a
-collision) has its documents grouped by the text itself.
+Hits (digests seen more than once) are checked on full bytes: their rows' texts, and no others', are grouped by digest
+and text, combined map-side to one row per task and text. A digest with one text is confirmed. A digest with several (a
+collision) has its documents grouped by the text itself. Up to FEW_HITS hits are broadcast, so that texts that were met
+once never move; more are joined in a shuffle that deals each digest's rows over SALTS tasks.
 
 Edge cases: a null text is the empty text; texts are equal when identical after lower-casing A-Z; a null id is
 below all others; repeated rows count as copies and all of them but none other carry their own id as keep_id;
@@ -34,6 +35,10 @@ STATE_CONF = {
 }
 
 
+#: Digests that were hit are broadcast up to this many, which are counted first: about 150 bytes each.
+FEW_HITS, SALTS = 200_000, 16
+
+
 def normal_text() -> Column:
     return ascii_lower(F.coalesce(F.col("text"), F.lit("")))
 
@@ -78,15 +83,26 @@ def dedup(docs: DataFrame, digest=lambda text: F.sha2(text, 256), row: str | Non
     located = docs.select("doc_id", digest(text).alias("digest"), F.sha2(text, 256).alias("text_sha256"), locator)
     arrivals = materialize(located, "arrivals")
     state = keyed_state(arrivals.select("digest", "doc_id", "locator"), fresh_path(spark, "dedup-state"))
-    state = materialize(state, "dedup-keys")
-
-    hits = state.filter("group_size > 1").select("digest")
-    suspects = docs.select("doc_id", digest(text).alias("digest"), text.alias("content")).join(hits, "digest", "left_semi")
-    contents = materialize(suspects.groupBy("digest", "content").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "collisions")
-    sure = arrivals.join(contents, "digest", "left_anti").join(state, "digest")
-    out = sure.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", arrivals["locator"], state["locator"].alias("keep_locator"))
+    # Only digests that were hit need their state again; all other rows stand for themselves.
+    hits = materialize(state.filter("group_size > 1").select("digest", F.struct("keep_id", F.col("locator").alias("keep_locator"), "group_size").alias("hit")), "dedup-hits")
+    few = hits.count() <= FEW_HITS
+
+    def met(rows: DataFrame, how: str) -> DataFrame:
+        """Rows joined with the hits: these broadcast if they are few, else a hot digest's rows dealt over SALTS tasks."""
+        if few:
+            return rows.join(F.broadcast(hits), "digest", how)
+        salted = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], how).drop("salt")
+
+    suspects = met(docs.select("doc_id", digest(text).alias("digest"), text.alias("content")), "left_semi")
+    contents = suspects.groupBy("digest", "content").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    contents = materialize(contents.select("digest", F.lit(True).alias("collided")), "collisions")
+    found = met(arrivals, "left")
+    own = F.struct(F.col("doc_id").alias("keep_id"), F.col("locator").alias("keep_locator"), F.lit(1).cast("long").alias("group_size"))
+    out = found.withColumn("hit", F.coalesce("hit", own)).select("digest", "doc_id", "hit.keep_id", "hit.group_size", F.col("doc_id").eqNullSafe(F.col("hit.keep_id")).alias("kept"), "text_sha256", "locator", "hit.keep_locator")
     if contents.isEmpty():
-        return out
+        return out.drop("digest")
+    out = out.join(contents, "digest", "left_anti").drop("digest")
     split = docs.select("doc_id", digest(text).alias("digest"), text.alias("content"), (F.col(row) if row else F.lit(None).cast("long")).alias("locator")).join(contents, "digest", "left_semi")
     groups = split.groupBy("content").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     rest = split.join(groups, "content").select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("keep.doc_id")).alias("kept"), F.sha2("content", 256).alias("text_sha256"), "locator", F.col("keep.locator").alias("keep_locator"))

@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import drop_table, materialize, pipeline_stage, release, slices, table, tidied, with_row
+from lotwatch.llm.common import bounded_batches, drop_table, materialize, pipeline_stage, release, slices, table, tidied, with_row
 
 WORDS, PERCENT = 5, 80
 HEAVY, TILE = 64, 512
@@ -484,6 +484,7 @@ def _log(x: float) -> float:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, heavy: int = HEAVY, tile: int = TILE, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     often = bloom_of(tokens_of(prefixes(docs, Bloom(None, 0), percent), heavy))
     release(spark)
     sketch = materialize(prefixes(docs, often, percent, with_bits=True), "sketch")
