@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from lotwatch.functions.text import fold_spaces
 
 
 def reconcile(previous: DataFrame, current: DataFrame, receipts: DataFrame, keys: Sequence[str], group: str) -> DataFrame:
@@ -104,17 +103,6 @@ def newest_kept(df: DataFrame, n: int, newest: Column, key: str, protected: Data
     return df.join(keep, key, "left_semi")
 
 
-@F.pandas_udf(StringType())
-def folded(texts: pd.Series) -> pd.Series:
-    """Lower case without any combining marks (NFKD), white space collapsed, null as the empty text."""
-
-    def one(text: str | None) -> str:
-        plain = unicodedata.normalize("NFKD", text or "")
-        return " ".join("".join(c for c in plain if not unicodedata.combining(c)).lower().split())
-
-    return texts.map(one)
-
-
 def grams(text: Column, n: int) -> Column:
     """The substrings of n characters; a shorter text itself."""
     return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
@@ -124,15 +112,14 @@ def phrase_hits(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     """(_source, _want, _at): the least position of a text of the source that contains the phrase, both folded.
 
     A text that contains a phrase has each three letters in a row of it (or the whole of a shorter phrase): candidates
-    are the texts that have those of the phrase that fewest texts of the source have.
+    are the texts that have those of the phrase that fewest texts of the source have. Of a text's pieces only those that
+    some phrase of its source has are dealt out.
     """
-    sizes = F.array(F.lit(""))
-    for n in (1, 2, 3):
-        sizes = F.concat(sizes, grams(F.col("_text"), n))
-    dealt = texts.withColumn("_gram", F.explode(F.array_distinct(sizes)))
+    sizes = F.concat(F.array(F.lit("")), *[grams(F.col("_text"), n) for n in (1, 2, 3)])
+    pieces = wanted.withColumn("_gram", F.explode(F.array_distinct(grams(F.col("_want"), 3))))
+    dealt = texts.withColumn("_gram", F.explode(F.array_distinct(sizes))).join(pieces.select("_source", "_gram").distinct(), ["_source", "_gram"], "left_semi")
     counts = dealt.groupBy("_source", "_gram").agg(F.count(F.lit(1)).alias("_n"))
-    own = wanted.withColumn("_gram", F.explode(F.array_distinct(grams(F.col("_want"), 3)))).join(counts, ["_source", "_gram"], "left")
-    rarest = own.groupBy("_source", "_want").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_gram")).alias("_least"))
+    rarest = pieces.join(counts, ["_source", "_gram"], "left").groupBy("_source", "_want").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_gram")).alias("_least"))
     keyed = rarest.select("_source", "_want", F.col("_least._gram").alias("_gram"))
     return keyed.join(dealt, ["_source", "_gram"]).filter(F.contains("_text", "_want")).groupBy("_source", "_want").agg(F.min("_at").alias("_at"))
 
@@ -147,8 +134,8 @@ def watch_hits(watched: DataFrame, rows: DataFrame, watch_key: str, source: str,
     item = watched.select(*[F.col(c).alias(n) for c, n in ((watch_key, "_item"), (source, "_source"), (lot, "_lot"), (url, "_url"), (phrase, "_phrase"))])
     row = rows.select(*[F.col(c).alias(n) for c, n in ((source, "_source"), (lot, "_lot"), (url, "_url"), (description, "_text"), (position, "_at"))])
     texts = row.groupBy("_source", "_text").agg(F.min("_at").alias("_at"))
-    texts = texts.select("_source", folded("_text").alias("_text"), "_at").groupBy("_source", "_text").agg(F.min("_at").alias("_at"))
-    phrases = item.filter(F.col("_phrase").rlike(r"(?U)[^\s\x1c-\x1f]")).select("_source", "_phrase").distinct().withColumn("_want", folded("_phrase"))
+    texts = texts.select("_source", fold_spaces(F.col("_text")).alias("_text"), "_at").groupBy("_source", "_text").agg(F.min("_at").alias("_at"))
+    phrases = item.filter(F.col("_phrase").rlike(r"(?U)[^\s\x1c-\x1f]")).select("_source", "_phrase").distinct().withColumn("_want", fold_spaces(F.col("_phrase")))
     by_phrase = phrases.join(phrase_hits(phrases.select("_source", "_want").distinct(), texts), ["_source", "_want"])
     hits = None
     for k, (key, how) in enumerate([("_lot", "lot"), ("_url", "url"), ("_phrase", "phrase")]):

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwatch.functions.folding import let, normalize
+
 
 def first_wins(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:
     """One row per key, the first in this order; the order must end in something unique to be repeatable."""
@@ -38,3 +40,19 @@ def two_tier(left: DataFrame, right: DataFrame, by_id: Sequence[str], by_name: S
     hit = F.coalesce("_by_id", "_by_name")
     out = out.withColumn(name, F.when(F.col("_by_id").isNotNull(), "id").when(F.col("_by_name").isNotNull(), "name"))
     return out.withColumns({c: hit[c] for c in take}).drop("_by_id", "_by_name")
+
+
+def urgency_rank(label: Column) -> Column:
+    """0 for what closes at once, 1 today, 2 soon, 3 for the rest."""
+    return let(normalize(label), lambda t: F.when(F.contains(t, F.lit("inminente")), 0).when(F.contains(t, F.lit("hoy")), 1).when(F.contains(t, F.lit("pronto")), 2).otherwise(3))
+
+
+def spanish(text: Column) -> Column:
+    """Text that sorts and compares as a Spanish reader does: n before ñ before o, accents and case only where letters are equal."""
+    return F.collate(text, "es")
+
+
+def match_order(following: Column, watched: Column, urgency: Column, closing: Column, score: Column, title: Column, unique: Column) -> list[Column]:
+    """The order of matches: followed, watched, by urgency, closing first (undated last), score, title; `unique` makes it total."""
+    yes = lambda c: F.coalesce(c, F.lit(False)).desc()
+    return [yes(following), yes(watched), urgency_rank(urgency), closing.asc_nulls_last(), F.coalesce(score, F.lit(0)).desc(), spanish(F.coalesce(title, F.lit(""))), unique]

@@ -173,16 +173,6 @@ def join17(t: Tables) -> DataFrame:
     return t.part.join(covered, "p_partkey", "left_anti").select("p_partkey", "p_brand")
 
 
-@query(
-    "join10_watch_hits",
-    """WITH w AS (SELECT event_id AS item, user_id, event_type AS word, value FROM events WHERE event_id % 50 = 0), e AS (SELECT event_id AS pos, user_id, event_type, value FROM events),
-    h AS (SELECT item, pos, 'lot' AS how, 0 AS k FROM w JOIN e USING (user_id, value) UNION ALL SELECT item, pos, 'phrase', 2 FROM w JOIN e ON w.user_id = e.user_id AND lower(w.word) = lower(e.event_type))
-    SELECT item, pos, how FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY pos, k) AS rn FROM h) WHERE rn = 1""",
-)
-def join10(t: Tables) -> DataFrame:
-    return _watch_hits(t, t.events.filter("event_id % 50 = 0"))
-
-
 @query(
     "join10_watch_hits_all",
     """WITH w AS (SELECT event_id AS item, user_id, event_type AS word, value FROM events), e AS (SELECT event_id AS pos, user_id, event_type, value FROM events),
@@ -190,12 +180,8 @@ def join10(t: Tables) -> DataFrame:
     SELECT item, pos, how FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY pos, k) AS rn FROM h) WHERE rn = 1""",
 )
 def join10_all(t: Tables) -> DataFrame:
-    """Every event is a watched item, where join10_watch_hits and its SQL watch one in fifty."""
-    return _watch_hits(t, t.events)
-
-
-def _watch_hits(t: Tables, watched: DataFrame) -> DataFrame:
-    items = watched.select(F.col("event_id").alias("item"), "user_id", F.col("event_type").alias("phrase"), F.col("value").alias("lot"), F.lit(None).cast("string").alias("url"))
+    """Every event is a watched item, and a row that may match others."""
+    items = t.events.select(F.col("event_id").alias("item"), "user_id", F.col("event_type").alias("phrase"), F.col("value").alias("lot"), F.lit(None).cast("string").alias("url"))
     seen = t.events.select(F.col("event_id").alias("pos"), "user_id", F.col("event_type").alias("description"), F.col("value").alias("lot"), F.lit("-").alias("url"))
     return reconcile.watch_hits(items, seen, "item", "user_id", "lot", "url", "phrase", "description", "pos")
 

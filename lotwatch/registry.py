@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwatch.plans import collected, kinds, markets, pages, payloads, rules, runs, sources, streams, texts, titles, valuation, views  # noqa: F401
+from lotwatch.plans import collected, franchises, kinds, markets, pages, payloads, pricing, readers, rules, runs, sources, streams, texts, titles, valuation, views  # noqa: F401
 from lotwatch.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
