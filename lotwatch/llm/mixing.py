@@ -21,15 +21,16 @@ from pyspark.sql import functions as F
 
 from lotwatch.llm.common import materialize, pipeline_stage, table, with_row, word_count
 
-#: Weights of the sources in code point order, repeating.
+#: Weights of the sources in code point order, repeating; the least weight of a document.
 CYCLE = (3.0, 1.0, 2.0)
+LEAST_WEIGHT = 0.25
 
 
 def quality_weight(text: Column, size: Column) -> Column:
     """A document's weight, in [0.25, 1]: 1 for a mean word length of 3 to 10 characters, less the further off."""
     mean = F.char_length(text) / F.greatest(size, F.lit(1))
     off = F.when(mean < 4, 4 - mean).when(mean > 11, (mean - 11) / 4).otherwise(0.0)
-    return F.coalesce(F.greatest(F.lit(0.25), 1 - off / 4), F.lit(0.25))
+    return F.coalesce(F.greatest(F.lit(LEAST_WEIGHT), 1 - off / 4), F.lit(LEAST_WEIGHT))
 
 
 def targets(sources: DataFrame, share: float, most: float, cycle: tuple[float, ...]) -> DataFrame:
@@ -70,8 +71,9 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple[flo
     number = [F.col(row).alias("row")] if row else []
     rows = docs.select("doc_id", *number, F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("name"), size.alias("size"), quality_weight(F.col("text"), size).alias("weight"))
     rows = rows.withColumn("key", -F.log(u) / F.col("weight"))
-    # exp(-key) runs over (0, 1): a fixed monotone map of keys to ranges.
-    rows = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int"))
+    # A fixed monotone map of keys to ranges. With the least weight no range gets more than 1 / LEAST_WEIGHT even shares,
+    # whatever the weights; with a larger one light documents would crowd the last range.
+    rows = rows.withColumn("bucket", F.floor((1 - F.exp(-LEAST_WEIGHT * F.col("key"))) * buckets).cast("int"))
     rows = materialize(rows.drop("weight"), "mix")
     ranges = rows.groupBy("no_source", "name", "bucket").agg(F.sum("size").alias("range_size"))
     per_source = targets(ranges.groupBy("no_source", "name").agg(F.sum("range_size").alias("source_size")), share, most, cycle)

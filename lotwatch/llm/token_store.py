@@ -8,7 +8,7 @@ Files hold about FILE_IDS ids (one document at least), so memory is bounded by o
 Spark's text sink, which commits or discards whole tasks; the newline it appends lies behind the declared sizes.
 
 Edge cases: null and empty texts are the end id alone; null ids come first; rows of equal ids follow each other in
-order of their texts; an empty table gives no files and an empty result; extra columns are ignored.
+order of a hash of their texts; an empty table gives no files and an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -213,7 +213,9 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_I
         if ids:
             yield pa.RecordBatch.from_pydict({"file": pa.array([pack_file(range_no, file_no, doc_ids, ids, t.width)], pa.binary())})
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows without an id, or of one id, may be many: a hash of the text deals them over several ranges.
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_place")).repartitionByRange("doc_id", "_place")
+    ordered = dealt.sortWithinPartitions("doc_id", "_place", "text").select("doc_id", "text")
     files = ordered.mapInArrow(run, "file binary").select(F.col("file").cast("string").alias("value"))
     files.write.option("maxRecordsPerFile", 1).text(path)
 

@@ -84,3 +84,14 @@ def test_mixing_stage(spark, sf_dir):
         left[r["doc_id"], r["size"], r["source"]] += r["copies"]
     assert got.columns == docs.columns
     assert Counter((r["doc_id"], size(r), r["source"]) for r in got.collect()) == left
+
+
+def test_no_range_of_keys_is_crowded(spark):
+    """Light and heavy documents of one source: the fullest of the ranges holds a few even shares, not a fifth of all."""
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "'s' AS source", "CASE WHEN id % 3 = 0 THEN repeat('long', 40) ELSE 'some words here' END AS text")
+    size = mixing.word_count(F.col("text"))
+    w = mixing.quality_weight(F.col("text"), size)
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(7), F.col("doc_id")), 11).cast("double") + 0.5) / F.lit(float(2**53))
+    bucket = F.floor((1 - F.exp(-mixing.LEAST_WEIGHT * (-F.log(u) / w))) * 64)
+    fullest = docs.groupBy(bucket).count().agg(F.max("count")).first()[0]
+    assert fullest <= 1.2 * 40_000 / 64 / mixing.LEAST_WEIGHT
