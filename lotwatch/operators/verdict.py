@@ -16,7 +16,7 @@ CASE_ONLY = ("case only", "box only", "manual only", "empty case", "no disc", "n
 NEGATED_COPY = r"\b(?:not|no|non|never|zero)\s+(?:a\s+|an\s+)?(?:repro(?:duction)?s?|fakes?|bootlegs?|counterfeits?|clones?|copy|copies)\b"
 
 
-def _item(kind: str, text: Column | str, when: Column, signals: int = 0, hit: Column | None = None) -> Column:
+def item(kind: str, text: Column | str, when: Column, signals: int = 0, hit: Column | None = None) -> Column:
     """A rule's finding, or null where it doesn't apply."""
     text = F.lit(text) if isinstance(text, str) else text
     return F.when(when, F.struct(F.lit(kind).alias("kind"), text.alias("text"), F.lit(signals).alias("signals"), (F.lit(0) if hit is None else hit.cast("int")).alias("hit")))
@@ -38,16 +38,30 @@ def text_signals(title: Column, criteria: dict[str, Column]) -> Column:
     return let(base, read)
 
 
+def _given(signals: Column, price: Column, shipping: Column, criteria: dict[str, Column]) -> Column:
+    """Signals, numbers and criteria as one struct."""
+    get = lambda name, kind: criteria.get(name, F.lit(None)).cast(kind).alias(name)
+    numbers = [get(k, "double") for k in ("max_item", "max_total", "min_lot", "lot")]
+    return F.struct(signals.alias("d"), price.alias("price"), shipping.alias("shipping"), *numbers, get("completeness", "string"), get("region", "string"), get("tested", "boolean"), get("allow_copies", "boolean"))
+
+
+def findings(signals: Column, price: Column, shipping: Column, criteria: dict[str, Column]) -> Column:
+    """What judge() sums: an array of kind, text, signals and hit, in the order of the rules."""
+    return let(_given(signals, price, shipping, criteria), _findings)
+
+
+def summed(found: Column) -> Column:
+    """The verdict on an array of findings, from whichever rules."""
+    return let(found, _summed)
+
+
 def judge(signals: Column, price: Column, shipping: Column, criteria: dict[str, Column]) -> Column:
     """Struct of matched, confidence, reasons, blockers and unverified, from text_signals() and the numbers.
 
     criteria may further hold: max_item, max_total, min_lot, lot (numbers), completeness, region (text), tested and
     allow_copies (booleans). Missing or null criteria don't judge.
     """
-    get = lambda name, kind: criteria.get(name, F.lit(None)).cast(kind).alias(name)
-    numbers = [get(k, "double") for k in ("max_item", "max_total", "min_lot", "lot")]
-    base = F.struct(signals.alias("d"), price.alias("price"), shipping.alias("shipping"), *numbers, get("completeness", "string"), get("region", "string"), get("tested", "boolean"), get("allow_copies", "boolean"))
-    return let(let(base, _findings), _summed)
+    return summed(findings(signals, price, shipping, criteria))
 
 
 def evaluate(title: Column, price: Column, shipping: Column, criteria: dict[str, Column]) -> Column:
@@ -65,32 +79,32 @@ def _findings(b: Column) -> Column:
     tested, copies = F.coalesce(b["tested"], F.lit(False)), F.coalesce(b["allow_copies"], F.lit(False))
     is_copy, untested, works = d["copy"], d["untested"], d["works"]
     findings = F.array(
-        _item("block", F.concat(F.lit("excluded: "), F.array_join(banned, ", ")), F.size(banned) > 0),
-        _item("block", F.concat(F.lit("missing: "), F.array_join(missing, ", ")), F.size(missing) > 0, 1),
-        _item("reason", "all terms", (F.size(include) > 0) & (F.size(missing) == 0), 1, F.lit(True)),
-        _item("block", "none of the terms", (F.size(any_) > 0) & ~some, 1),
-        _item("reason", "one of the terms", (F.size(any_) > 0) & some, 1, F.lit(True)),
-        _item("reason", "preferred term", (F.size(prefer) > 0) & liked, 1, F.lit(True)),
-        _item("note", "no preferred term", (F.size(prefer) > 0) & ~liked, 1),
-        _item("block", "too few pieces", lot < min_lot, 1),
-        _item("unverified", "pieces not declared", min_lot.isNotNull() & lot.isNull(), 1),
-        _item("reason", "enough pieces", lot >= min_lot, 1, F.lit(True)),
-        _item("block", "price above the limit", price > max_item, 1),
-        _item("reason", "price within the limit", price <= max_item, 1, F.lit(True)),
-        _item("unverified", "shipping unknown", max_total.isNotNull() & shipping.isNull() & (price <= max_total)),
-        _item("block", "total above the limit", F.when(shipping.isNull(), price > max_total).otherwise(total > max_total), 1),
-        _item("reason", "total within the limit", shipping.isNotNull() & (total <= max_total), 1, F.lit(True)),
-        _item("block", "not tested", tested & untested, 1),
-        _item("reason", "tested", tested & works & ~untested, 1, F.lit(True)),
-        _item("unverified", "working order not declared", tested & ~works & ~untested, 1),
-        _item("block", "other completeness", want.isNotNull() & (declared != "") & (declared != want), 1),
-        _item("reason", "completeness", want.isNotNull() & (declared == want), 1, F.lit(True)),
-        _item("unverified", "completeness not declared", want.isNotNull() & (declared == ""), 1),
-        _item("block", "case without content", d["case"]),
-        _item("block", "declared copy", is_copy & ~copies),
-        _item("block", "other region", region.isNotNull() & (seen != "") & (seen != region), 1),
-        _item("reason", "region", region.isNotNull() & (seen == region), 1, F.lit(True)),
-        _item("unverified", "region not declared", region.isNotNull() & (seen == ""), 1),
+        item("block", F.concat(F.lit("excluded: "), F.array_join(banned, ", ")), F.size(banned) > 0),
+        item("block", F.concat(F.lit("missing: "), F.array_join(missing, ", ")), F.size(missing) > 0, 1),
+        item("reason", "all terms", (F.size(include) > 0) & (F.size(missing) == 0), 1, F.lit(True)),
+        item("block", "none of the terms", (F.size(any_) > 0) & ~some, 1),
+        item("reason", "one of the terms", (F.size(any_) > 0) & some, 1, F.lit(True)),
+        item("reason", "preferred term", (F.size(prefer) > 0) & liked, 1, F.lit(True)),
+        item("note", "no preferred term", (F.size(prefer) > 0) & ~liked, 1),
+        item("block", "too few pieces", lot < min_lot, 1),
+        item("unverified", "pieces not declared", min_lot.isNotNull() & lot.isNull(), 1),
+        item("reason", "enough pieces", lot >= min_lot, 1, F.lit(True)),
+        item("block", "price above the limit", price > max_item, 1),
+        item("reason", "price within the limit", price <= max_item, 1, F.lit(True)),
+        item("unverified", "shipping unknown", max_total.isNotNull() & shipping.isNull() & (price <= max_total)),
+        item("block", "total above the limit", F.when(shipping.isNull(), price > max_total).otherwise(total > max_total), 1),
+        item("reason", "total within the limit", shipping.isNotNull() & (total <= max_total), 1, F.lit(True)),
+        item("block", "not tested", tested & untested, 1),
+        item("reason", "tested", tested & works & ~untested, 1, F.lit(True)),
+        item("unverified", "working order not declared", tested & ~works & ~untested, 1),
+        item("block", "other completeness", want.isNotNull() & (declared != "") & (declared != want), 1),
+        item("reason", "completeness", want.isNotNull() & (declared == want), 1, F.lit(True)),
+        item("unverified", "completeness not declared", want.isNotNull() & (declared == ""), 1),
+        item("block", "case without content", d["case"]),
+        item("block", "declared copy", is_copy & ~copies),
+        item("block", "other region", region.isNotNull() & (seen != "") & (seen != region), 1),
+        item("reason", "region", region.isNotNull() & (seen == region), 1, F.lit(True)),
+        item("unverified", "region not declared", region.isNotNull() & (seen == ""), 1),
     )
     return F.filter(findings, lambda x: x.isNotNull())
 
