@@ -21,7 +21,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import fresh_path, materialize, slices, table, tidied
+from lotwatch.llm.common import bounded_batches, fresh_path, materialize, slices, table, tidied
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 FILE_IDS, CACHE, TEXT_BYTES = 4_000_000, 350_000, 1_000_000
@@ -138,12 +138,23 @@ class TokenFile:
         return [None] * self.nulls + (self.docs.select(np.arange(self.docs.n)) + self.least).tolist()
 
 
+#: By this a token ends a word.
+WORD_END = "</w>"
 #: Letters and signs of which lower-casing, composition and the tokenizer's pattern are known letter by letter.
 LETTERS, SIGNS = "a-zß-öø-ÿ", "¡¿–—‘’“”…"
 _beyond = re.compile(f"[^\t-\r -~À-ÖØ-öø-ÿ{SIGNS}]|<\\|")
+_near = bytes(k for k in range(256) if not _beyond.search(chr(k)))
 _pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\s{LETTERS}0-9]+")
 
 
+def is_plain(text: str) -> bool:
+    """Does the text hold nothing but those letters and signs? Most texts are told by their bytes, without a search."""
+    try:
+        return not text.encode("latin-1").translate(None, _near) and "<|" not in text
+    except UnicodeEncodeError:
+        return not _beyond.search(text)
+
+
 class WordTokenizer:
     """The tokenizer with a cache of pieces of texts, over which its ids simply follow each other.
 
@@ -155,30 +166,46 @@ class WordTokenizer:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]
+        self.ends_word = np.isin(np.arange(self.tokenizer.get_vocab_size()), ends)
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
+    def _learn(self, words: list[str], units: list[str]) -> None:
+        """Put pieces into the cache: words, matches of the pattern, are encoded as one text, whose ids a word's last token parts; units one by one."""
+        import numpy as np
+
+        if words:
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, f"<u{self.width}")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                coded, at = ids.tobytes(), [0, *(ends * self.width).tolist()]
+                self.known.update((w, coded[a:b]) for w, a, b in zip(words, at, at[1:]))
+            else:  # some word has other than one last token: each for itself
+                units = units + words
+        for unit, coded in zip(units, self.tokenizer.encode_batch_fast(units, add_special_tokens=False)):
+            self.known[unit] = np.array(coded.ids, f"<u{self.width}").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian integers of `width` bytes."""
-        from array import array
-
-        cut = [x.replace("\n", " ").split(" ") if _beyond.search(x) else _pieces.findall(x.lower()) for x in texts]
+        plain = [is_plain(x) for x in texts]
+        cut = [_pieces.findall(x.lower()) if p else x.replace("\n", " ").split(" ") for x, p in zip(texts, plain)]
         if len(self.known) > CACHE:
             self.known, self.older = {"": b""}, self.known
         known, older = self.known, self.older
         new = []
-        for unit in set().union(*cut):
-            if unit not in known:
-                if unit in older:
-                    known[unit] = older[unit]
-                else:
-                    new.append(unit)
-        for unit, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[unit] = array("H" if self.width == 2 else "I", coded.ids).tobytes()
+        for wanted in (True, False):
+            found = set().union(*(x for x, p in zip(cut, plain) if p == wanted)).difference(known)
+            for unit in [u for u in found if u in older]:
+                known[unit] = older[unit]
+                found.remove(unit)
+            new.append(found)
+        self._learn(list(new[0]), list(new[1] - new[0]))
         return [b"".join(map(known.__getitem__, x)) for x in cut]
 
 
@@ -213,6 +240,7 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_I
         if ids:
             yield pa.RecordBatch.from_pydict({"file": pa.array([pack_file(range_no, file_no, doc_ids, ids, t.width)], pa.binary())})
 
+    bounded_batches(docs.sparkSession)
     # Rows without an id, or of one id, may be many: a hash of the text deals them over several ranges.
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_place")).repartitionByRange("doc_id", "_place")
     ordered = dealt.sortWithinPartitions("doc_id", "_place", "text").select("doc_id", "text")
