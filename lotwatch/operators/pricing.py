@@ -33,7 +33,7 @@ def peer_references(matched: DataFrame, observed_at: str) -> DataFrame:
     asks = cents(F.col("price") + _extra(F.col("missing")))
     own = matched.filter(~F.col("lot") & (F.col("completeness") != "") & (F.col("price") > 0) & ((F.col("expected") == "") | (F.col("kind") == F.col("expected"))))
     medians = own.groupBy("search", "title", "completeness").agg(cents(F.median(asks)).alias("value"), F.count(asks).alias("_n")).filter(F.col("_n") >= PEERS)
-    peers = F.struct(F.col("value"), F.lit(PEER_SOURCE).alias("source"), F.lit(observed_at).alias("observed_at"), F.lit(True).alias("independent"), F.lit(False).alias("stale"), F.lit("").alias("region"), F.lit(0.4).alias("confidence")).cast(REFERENCE)
+    peers = F.struct(F.col("value"), F.lit(PEER_SOURCE).alias("source"), F.lit(observed_at).alias("observed_at"), F.lit(True).alias("independent"), F.lit(False).alias("stale"), F.lit("").alias("region"), F.lit(0.5).alias("confidence")).cast(REFERENCE)
     return medians.select("search", "title", "completeness", peers.alias("_peers"))
 
 

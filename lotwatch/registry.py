@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwatch.plans import collected, evidence, franchises, intents, kinds, markets, pages, payloads, pricing, readers, registry_runs, rules, runs, sources, streams, texts, titles, valuation, views  # noqa: F401
+from lotwatch.plans import collected, evidence, franchises, intents, kinds, markets, pages, payloads, pricing, readers, references, registry_runs, rules, runs, sources, streams, texts, titles, valuation, views  # noqa: F401
 from lotwatch.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
