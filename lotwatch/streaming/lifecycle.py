@@ -12,6 +12,7 @@ comes back in between depends on how far apart the sightings lie.
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -80,10 +81,11 @@ def lifecycle_changes(sightings: DataFrame, keys: Sequence[str], at: str, gone_h
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where the cluster's tasks and the driver see the same files."""
+    """A new folder in spark.checkpoint.dir, where the cluster's tasks and the driver see the same files; a local one where that is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="lotwatch-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
