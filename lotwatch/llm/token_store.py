@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lotwatch.llm.common import bounded_batches, fresh_path, materialize, slices, table, tidied
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
-FILE_IDS, CACHE, TEXT_BYTES = 4_000_000, 350_000, 1_000_000
+FILE_IDS, CACHE, TEXT_BYTES = 4_000_000, 500_000, 1_000_000
 MAGIC = b"EFT1"
 #: magic, bytes per id, range, file of the range, documents, null ids among them, least id, ids, bytes of both codes
 HEADER = struct.Struct("<4sBqqqqqqqq")
@@ -181,7 +181,7 @@ class WordTokenizer:
         import numpy as np
 
         if words:
-            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, f"<u{self.width}")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, f"<u{self.width}")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(words) and ends[-1] == len(ids):
                 coded, at = ids.tobytes(), [0, *(ends * self.width).tolist()]
