@@ -31,7 +31,7 @@ _SQL = f"""WITH {LISTING}, m AS (SELECT listing_id AS i, search, title, CASE WHE
   h AS (SELECT * EXCLUDE (ratio), round(price + coalesce(shipping, 0) + taxes + extra + 1e-9, 2) / value AS ratio FROM g),
   n AS (SELECT *, {_BAND} AS price_band, list_filter([CASE WHEN i % 4 > 0 AND NOT read THEN 'details' END, CASE WHEN read AND i % 5 = 1 THEN 'returns' END, CASE WHEN read AND i % 3 = 1 THEN 'photos' END, CASE WHEN kind = 'console' AND ratio > 0 AND ratio < 0.3 THEN 'identity' END, CASE WHEN lot AND pieces IS NULL THEN 'lot-quantity' END,
       CASE WHEN source = 'peer-listings' OR (way = 'curated' AND (NOT bind OR bstale)) THEN 'benchmark' END, CASE WHEN shipping IS NULL THEN 'shipping' END, CASE WHEN NOT (read AND i % 7 > 2) THEN 'availability' END], lambda z: z IS NOT NULL) AS blocks FROM h)
-  SELECT i AS listing_id, source, value, round(ratio, 6) AS ratio, coalesce(price_band, 'sin-referencia') AS price_band, read, CASE WHEN lot AND pieces IS NULL THEN 'sin-referencia' WHEN price_band IN ('ganga', 'buena') AND list_has_any(blocks, ['returns', 'photos']) THEN 'razonable'
+  SELECT i AS listing_id, source, value, round(ratio + 1e-9, 6) AS ratio, coalesce(price_band, 'sin-referencia') AS price_band, read, CASE WHEN lot AND pieces IS NULL THEN 'sin-referencia' WHEN price_band IN ('ganga', 'buena') AND list_has_any(blocks, ['returns', 'photos']) THEN 'razonable'
     WHEN price_band = 'ganga' AND len(blocks) > 0 THEN 'buena' ELSE coalesce(price_band, 'sin-referencia') END AS band, array_to_string(list_sort(blocks), ',') AS blockers FROM n"""
 
 
@@ -56,4 +56,4 @@ def val02(t: Tables) -> DataFrame:
     pages = listings(t).filter(i % 6 > 0).select(i.alias("listing")).distinct().select("listing", F.col("listing").alias("listing_id")).select("listing", evidence.alias("evidence"))
     v = pricing.valued(x, references, pages, NOW)
     blockers = F.array_join(F.array_sort(F.transform("v.blockers", lambda b: b["key"])), ",")
-    return v.select(F.col("listing").alias("listing_id"), F.col("b.source").alias("source"), F.col("b.value").alias("value"), F.round("p.ratio", 6).alias("ratio"), F.col("v.price_band").alias("price_band"), "read", F.col("v.band").alias("band"), blockers.alias("blockers"))
+    return v.select(F.col("listing").alias("listing_id"), F.col("b.source").alias("source"), F.col("b.value").alias("value"), F.round(F.col("p.ratio") + 1e-9, 6).alias("ratio"), F.col("v.price_band").alias("price_band"), "read", F.col("v.band").alias("band"), blockers.alias("blockers"))
