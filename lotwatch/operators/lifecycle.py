@@ -35,8 +35,8 @@ def update_lifecycle(state: DataFrame, seen: DataFrame, authoritative: DataFrame
 
 
 def lease_status(status: Column, requested: Column, heartbeat: Column, now: Column, pending_minutes: int = 10, running_minutes: int = 30) -> Column:
-    """pending or running become failed when nothing was heard for too long."""
-    quiet = lambda at, m: F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(at) > 60 * m, F.lit(False))
+    """pending or running become failed when nothing was heard for too long, to the microsecond."""
+    quiet = lambda at, m: F.coalesce(F.unix_micros(now) - F.unix_micros(at) > 60_000_000 * m, F.lit(False))
     return F.when((status == "pending") & quiet(requested, pending_minutes), "failed").when((status == "running") & quiet(F.coalesce(heartbeat, requested), running_minutes), "failed").otherwise(status)
 
 

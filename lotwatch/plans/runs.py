@@ -236,7 +236,6 @@ def str03(t: Tables) -> DataFrame:
 def str06(t: Tables) -> DataFrame:
     ts, last = F.col("ts").cast("timestamp"), t.events.agg(F.max("ts").cast("timestamp").alias("last"))
     status = F.when(F.col("value") < 100, "pending").when(F.col("value") < 200, "running").otherwise("done")
-    # Whole seconds on both sides: the ages are far from the bounds but for the last hour.
     return t.events.join(F.broadcast(last)).select("event_id", lifecycle.lease_status(status, ts, F.lit(None).cast("timestamp"), F.col("last")).alias("status"))
 
 
