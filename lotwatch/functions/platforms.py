@@ -1,4 +1,4 @@
-"""Which platforms a text names, by one scan that consumes what it reads."""
+"""Which platforms a text names, where each name consumes what it reads."""
 
 from __future__ import annotations
 
@@ -66,8 +66,8 @@ class Phrases:
     """Phrases that stand for keys, ready to be read off a normalized text.
 
     A phrase of more words, then of more letters, then the earlier one goes first and takes its words away from the
-    others. One leftmost scan does the same: its alternatives are in that order, and a phrase whose tail begins a
-    preferred one is not read where the rest of that follows.
+    others. Phrases of several words are marked one after the other, as what one takes may free words that another one
+    would have taken; single words overlap nothing, and one scan reads them with the marks.
     """
 
     def __init__(self, keys: dict[str, Sequence[str]]) -> None:
@@ -76,19 +76,18 @@ class Phrases:
         self.key_of: dict[str, str] = {}
         for p, k in self.ranked:
             self.key_of.setdefault(p, k)
-        self.pattern = rf"(?<![a-z0-9])(?:{'|'.join(self._guarded(p) for p in self.key_of)})(?![a-z0-9])"
-
-    def _guarded(self, phrase: str) -> str:
-        order, words = list(self.key_of), phrase.split()
-        rests = set()
-        for other in order[: order.index(phrase)]:
-            theirs = other.split()
-            rests |= {" ".join(theirs[n:]) for n in range(1, min(len(words), len(theirs))) if words[-n:] == theirs[:n]}
-        return phrase + (rf"(?! (?:{'|'.join(sorted(rests, key=len, reverse=True))})(?![a-z0-9]))" if rests else "")
+        self.marks = {f"#{i}#": p for i, p in enumerate(self.key_of) if " " in p}
+        singles = [p for p in self.key_of if " " not in p]
+        self.pattern = rf"(?<![a-z0-9])({'|'.join([r'#[0-9]+#', *singles])})(?![a-z0-9])"
 
     def found(self, text: Column) -> Column:
         """The phrases in a normalized text, in order of appearance."""
-        return F.regexp_extract_all(text, F.lit(f"({self.pattern})"), 1)
+        # With two spaces between words, neighbours share none.
+        marked = F.concat(F.lit(" "), F.replace(text, F.lit(" "), F.lit("  ")), F.lit(" "))
+        for mark, p in self.marks.items():
+            marked = F.replace(marked, F.lit(f" {p.replace(' ', '  ')} "), F.lit(f" {mark} "))
+        names = F.create_map(*[F.lit(x) for kv in (self.marks | {p: p for p in self.key_of}).items() for x in kv])
+        return F.transform(F.regexp_extract_all(marked, F.lit(self.pattern), 1), lambda p: F.element_at(names, p))
 
     def keys(self, text: Column) -> Column:
         """The distinct keys that a normalized text names, in order of appearance."""

@@ -76,7 +76,8 @@ _KEYS = f"WITH k AS (SELECT doc_id, {_sql_keys(_NORM)} AS k FROM documents), f A
 def strf13(t: Tables) -> DataFrame:
     """Platforms that a text names, in order, and how often it names any."""
     known = P.Phrases(STAND_INS)
-    found = t.documents.select("doc_id", X.normalize(F.col("text")).alias("n"))
+    # A text that isn't there names nothing, not even no platform.
+    found = t.documents.select("doc_id", F.when(F.col("text").isNotNull(), X.normalize(F.col("text"))).alias("n"))
     return found.select("doc_id", F.array_join(known.keys(F.col("n")), ",").alias("platforms"), F.size(known.found(F.col("n"))).cast("long").alias("mentions"))
 
 
