@@ -87,6 +87,8 @@ def reconciled(base: DataFrame, current: DataFrame, legacy: DataFrame, by: Seque
     the entry's number. Gives by, id, name, image, owned, quantity, notes, found_by (id, name, alias, legacy, or null),
     origin (catalog, manual, legacy) and place, which is unique in a group.
     """
+    # Compressed files look small enough to be sent to all, and many times their size would go through the driver.
+    merged_with = lambda df: df.hint("merge")
     fields = ["id", "name", "image", "owned", "quantity", "notes", "source"]
     kept = current.withColumn("_name", normalize(F.col("name"))).withColumn("_source", F.coalesce("source", F.lit("catalog")))
     by_id = _last(kept.filter("id IS NOT NULL AND id <> ''"), [*by, "id"], "place", fields, "_by_id")
@@ -94,13 +96,13 @@ def reconciled(base: DataFrame, current: DataFrame, legacy: DataFrame, by: Seque
     listed = base.select(*by, "id", "name", "image", "place").withColumn("_name", normalize(F.col("name")))
     keyed = lambda df: df.withColumn("_alias", F.explode(alias_keys(F.col("id"), F.col("name"), aliases)))
     firsts = keyed(kept.filter("_source <> 'manual'")).groupBy(*by, "_alias").agg(F.min_by(F.struct("place", *fields), "place").alias("_kept"))
-    by_alias = keyed(listed.select(*by, F.col("place").alias("_place"), "id", "name")).join(firsts, [*by, "_alias"]).groupBy(*by, "_place").agg(F.min_by("_kept", "_kept.place").alias("_by_alias")).withColumnRenamed("_place", "place")
-    x = listed.join(by_id, [*by, "id"], "left").join(by_name, [*by, "_name"], "left").join(by_alias, [*by, "place"], "left")
+    by_alias = keyed(listed.select(*by, F.col("place").alias("_place"), "id", "name")).join(merged_with(firsts), [*by, "_alias"]).groupBy(*by, "_place").agg(F.min_by("_kept", "_kept.place").alias("_by_alias")).withColumnRenamed("_place", "place")
+    x = listed.join(merged_with(by_id), [*by, "id"], "left").join(merged_with(by_name), [*by, "_name"], "left").join(merged_with(by_alias), [*by, "place"], "left")
     k = F.coalesce("_by_id", "_by_name", F.when(F.col("_by_alias").isNotNull(), F.struct(*[F.col(f"_by_alias.{f}").alias(f) for f in fields])))
     x = x.withColumn("_k", k).withColumn("found_by", F.when(F.col("_by_id").isNotNull(), "id").when(F.col("_by_name").isNotNull(), "name").when(F.col("_by_alias").isNotNull(), "alias"))
     old = legacy.select(*by, "entry", F.col("place").alias("_entry_place"))
-    taken = legacy_matches(x.filter("_k IS NULL").select(*by, "id", "name", "place"), old, by, "id", "name", "place", "entry", "_entry_place").join(old, [*by, "_entry_place"])
-    x = x.join(taken.select(*by, "id", "entry", F.lit(True).alias("_taken")), [*by, "id"], "left")
+    taken = legacy_matches(x.filter("_k IS NULL").select(*by, "id", "name", "place"), old, by, "id", "name", "place", "entry", "_entry_place").join(merged_with(old), [*by, "_entry_place"])
+    x = x.join(merged_with(taken.select(*by, "id", "entry", F.lit(True).alias("_taken"))), [*by, "id"], "left")
     manual = F.col("_k.source") == "manual"
     own_image, kept_image = F.nullif(F.col("image"), F.lit("")), F.nullif(F.col("_k.image"), F.lit(""))
     merged = x.select(
@@ -110,9 +112,9 @@ def reconciled(base: DataFrame, current: DataFrame, legacy: DataFrame, by: Seque
         F.coalesce("found_by", F.when(F.col("_taken"), "legacy")).alias("found_by"), F.lit("catalog").alias("origin"), F.col("place").cast("long").alias("place"), F.lit(0).alias("_part"),
     )
     # Hand-made ones, but for those that are listed by id or name.
-    mine = kept.filter("_source = 'manual'").join(listed.select(*by, "id").distinct(), [*by, "id"], "left_anti").join(listed.filter("_name <> ''").select(*by, "_name").distinct(), [*by, "_name"], "left_anti")
+    mine = kept.filter("_source = 'manual'").join(merged_with(listed.select(*by, "id").distinct()), [*by, "id"], "left_anti").join(merged_with(listed.filter("_name <> ''").select(*by, "_name").distinct()), [*by, "_name"], "left_anti")
     extras = mine.select(*by, "id", "name", F.coalesce("image", F.lit("")).alias("image"), F.coalesce("owned", F.lit(False)).alias("owned"), F.coalesce("quantity", F.lit(0)).alias("quantity"), F.coalesce("notes", F.lit("")).alias("notes"), F.lit(None).cast("string").alias("found_by"), F.lit("manual").alias("origin"), F.col("place").cast("long").alias("place"), F.lit(1).alias("_part"))
-    left = old.join(taken.select(*by, "_entry_place"), [*by, "_entry_place"], "left_anti")
+    left = old.join(merged_with(taken.select(*by, "_entry_place")), [*by, "_entry_place"], "left_anti")
     nth = F.row_number().over(Window.partitionBy(*by).orderBy("_entry_place"))
     slug = F.replace(normalize(F.col("entry")), F.lit(" "), F.lit("-"))
     adopted = left.withColumn("_nth", nth).select(

@@ -26,14 +26,14 @@ def containments(texts: DataFrame, words: str, sets: DataFrame, needed: str, by:
     names, and `by` once.
     """
     wanted = sets.select(*by, F.explode(F.array_distinct(needed)).alias("_word")).distinct()
-    each = texts.withColumn("_word", F.explode(F.array_distinct(words))).join(wanted, [*by, "_word"], "left_semi")
+    each = texts.withColumn("_word", F.explode(F.array_distinct(words))).join(wanted.hint("merge"), [*by, "_word"], "left_semi")
     counts = each.groupBy(*by, "_word").agg(F.count(F.lit(1)).alias("_n"))
-    own = sets.withColumn("_word", F.explode(F.array_distinct(needed))).join(counts, [*by, "_word"], "left")
+    own = sets.withColumn("_word", F.explode(F.array_distinct(needed))).join(counts.hint("merge"), [*by, "_word"], "left")
     # A word that no text has rules its set out.
     rarest = own.groupBy(*sets.columns).agg(F.min_by("_word", F.struct("_n", "_word")).alias("_word"), F.count_if(F.col("_n").isNull()).alias("_lost"))
     keyed = rarest.filter("_lost = 0").drop("_lost").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = each.withColumn("_salt", F.pmod(F.xxhash64(words), F.lit(SALTS)).cast("int"))
-    pairs = dealt.join(keyed, [*by, "_word", "_salt"]).drop("_word", "_salt")
+    pairs = dealt.join(keyed.hint("merge"), [*by, "_word", "_salt"]).drop("_word", "_salt")
     return pairs.filter(F.size(F.array_except(needed, words)) == 0)
 
 

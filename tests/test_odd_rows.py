@@ -41,3 +41,8 @@ def test_platforms_that_overlap_in_chains(spark, tmp_path):
     chains = f"SELECT array_to_string(list_transform(range(0, 2 + i % 7), lambda j: {words}[1 + (hash(i * 31 + j) % 5)::INTEGER]), ' ') AS text FROM range(2000) r(i)"
     table(tmp_path, "documents", f"SELECT row_number() OVER () AS doc_id, text FROM ({chains} UNION ALL VALUES ('the and the and of'), ('The and the and the'), ('of the and of the'), (''), (NULL))")
     holds(spark, tmp_path, "strf13_platforms_in_text")
+
+
+def test_accessories_send_no_table_through_the_driver(spark, sf_dir):
+    plan = registry.QUERIES["join31_accessories"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
