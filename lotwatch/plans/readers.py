@@ -25,13 +25,13 @@ def src02(t: Tables) -> DataFrame:
 
 @query("src05_json_documents", "SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance FROM supplier WHERE s_suppkey % 4 > 0")
 def src05(t: Tables) -> DataFrame:
-    """A document per supplier, every fourth cut short or of another shape, which gives no row."""
+    """A document per supplier, in files of many, every fourth cut short or of another shape, which gives no row."""
     s = F.col("s_suppkey")
     whole = F.to_json(F.struct(s.alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")))
     texts = t.supplier.select(F.when(s % 8 == 0, F.substring(whole, 1, 15)).when(s % 4 == 0, "[1]").otherwise(whole).alias("value"))
     path = shared_folder(t.spark, "json")
-    texts.repartition(8).write.option("maxRecordsPerFile", 1).text(path)
-    return documents.scan_json(t.spark, f"{path}/*.txt", "id long, name string, balance double")
+    texts.write.option("lineSep", documents.RECORD).text(path)
+    return documents.scan_json(t.spark, f"{path}/*.txt", "id long, name string, balance double", sequence=True)
 
 
 @query(

@@ -27,11 +27,15 @@ def has_column(spark: SparkSession, path: str, column: str) -> bool:
     return exists(spark, path) and column in spark.read.option("header", True).csv(path).columns
 
 
-def scan_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A document per file; one that can't be read, or is of another shape, is no row."""
+#: Between the documents of a JSON text sequence (RFC 7464); no JSON text holds it.
+RECORD = "\x1e"
+
+
+def scan_json(spark: SparkSession, path: str, schema: str, sequence: bool = False) -> DataFrame:
+    """A document per file, or files of many with RECORD between them; one that can't be read, or is of another shape, is no row."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    text = spark.read.option("wholetext", True).text(path)
+    text = (spark.read.option("lineSep", RECORD) if sequence else spark.read.option("wholetext", True)).text(path)
     return text.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("d")).filter(F.trim("value").startswith("{") & (F.size(F.json_object_keys("value")) > 0)).select("d.*")
 
 
