@@ -37,6 +37,8 @@ from lotwatch.llm.common import pipeline_stage, table, tidied
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BATCH_CHARS, CACHE, LONG, QUERY_BYTES = 3_000_000, 300_000, 64, 500_000
+#: In the pipeline, where executors still hold what the stages before took, texts come in smaller parts.
+STAGE_CHARS = 1_000_000
 
 #: Positions stay below 2^31, ranks below 2^31: one long orders pairs by rank, then from the left.
 CONTRACT_SQL = """
@@ -273,8 +275,8 @@ def by_size(texts: list[str], most: int) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int)."""
+def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, most: int = BATCH_CHARS) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int); `most` characters at a time."""
     odd, exact = exact_pattern(pattern)
     near = exact_pattern(pattern, 256)[1]
 
@@ -286,7 +288,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
         c = codec(path, pattern, odd, exact, near)
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
-            for part in by_size(texts, BATCH_CHARS):
+            for part in by_size(texts, most):
                 coded = c.encode(texts[part])
                 ids = [np.fromstring(x, dtype=np.int32, sep=" ") if x else np.empty(0, np.int32) for x in coded]
                 columns = {
@@ -315,4 +317,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The corpus as token ids: doc_id, n_tokens, the digests and ids."""
     import public_tokenizers
 
-    return encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True)
+    return encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True, most=STAGE_CHARS)

@@ -63,3 +63,18 @@ def test_documents_of_suppliers_take_few_files(spark, tmp_path):
 def test_a_verdict_is_asked_for_once_and_last(spark, sf_dir):
     plan = registry.QUERIES["val09_exceptional"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("la identidad de la pieza no está clara") == 1
+
+
+def test_the_pipeline_encodes_in_smaller_parts_with_the_same_ids(spark, monkeypatch):
+    from lotwatch.llm import bpe
+
+    parts = []
+    monkeypatch.setattr(bpe, "encode_documents", lambda *args, most=bpe.BATCH_CHARS, **more: parts.append(most))
+    docs = spark.createDataFrame([(i, "word and " * (i * 7) + "x" * i) for i in range(40)], "doc_id long, text string").coalesce(1)
+    bpe.stage(spark, docs, "")
+    assert parts and parts[0] < bpe.BATCH_CHARS
+    monkeypatch.undo()
+    import public_tokenizers
+
+    coded = [sorted(map(tuple, bpe.encode_documents(docs, public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN, most=n).collect())) for n in (100, bpe.BATCH_CHARS)]
+    assert coded[0] == coded[1]
