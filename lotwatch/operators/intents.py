@@ -49,7 +49,12 @@ def match_intents(matches: DataFrame, wished: DataFrame) -> DataFrame:
 
 
 def search_intents(searches: DataFrame, targets: DataFrame, wished: DataFrame, strict: bool = False) -> DataFrame:
-    """search and its intent: the best of its titles, or with `strict` a wish only if all its titles are.
+    """search and its intent: the best of its titles, or with `strict` a wish only if all its titles are; see both_intents()."""
+    return both_intents(searches, targets, wished).select("search", F.col("strict" if strict else "intent").alias("intent"))
+
+
+def both_intents(searches: DataFrame, targets: DataFrame, wished: DataFrame) -> DataFrame:
+    """search, its intent by the best of its titles, and `strict`, a wish only if all its titles are, from one pass over them.
 
     searches: search, search_type, entity_type, console, entity; targets: search, target_console, target_game.
     """
@@ -57,10 +62,10 @@ def search_intents(searches: DataFrame, targets: DataFrame, wished: DataFrame, s
     own = match_intents(none, wished).select("search", "intent")
     titled = searches.join(targets.filter(F.coalesce("target_game", F.lit("")) != ""), "search")
     hit = F.col("intent") == "wishlist"
-    hits = match_intents(titled, wished).groupBy("search").agg((F.bool_and(hit) if strict else F.bool_or(hit)).alias("_hit"))
+    hits = match_intents(titled, wished).groupBy("search").agg(F.bool_or(hit).alias("_any"), F.bool_and(hit).alias("_all"))
     x = own.join(hits, "search", "left")
-    by_titles = F.col("intent").isin("recommendation", "manual") & F.col("_hit").isNotNull()
-    return x.select("search", F.when(by_titles, F.when(F.col("_hit"), "wishlist").otherwise("recommendation")).otherwise(F.col("intent")).alias("intent"))
+    by_titles = lambda c: F.when(F.col("intent").isin("recommendation", "manual") & F.col(c).isNotNull(), F.when(F.col(c), "wishlist").otherwise("recommendation")).otherwise(F.col("intent"))
+    return x.select("search", by_titles("_any").alias("intent"), by_titles("_all").alias("strict"))
 
 
 def targeted(searches: DataFrame, targets: DataFrame) -> DataFrame:

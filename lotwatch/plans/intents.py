@@ -65,5 +65,4 @@ def val10(t: Tables) -> DataFrame:
     FROM s LEFT JOIN w ON w.console = s.console AND w.game = s.entity), h AS (SELECT search, bool_or(w.game IS NOT NULL) AS any_hit, bool_and(w.game IS NOT NULL) AS all_hit FROM t LEFT JOIN w ON w.console = target_console AND w.game = target_game GROUP BY search)
   SELECT search, CASE WHEN own IN ('recommendation', 'manual') AND any_hit IS NOT NULL THEN CASE WHEN any_hit THEN 'wishlist' ELSE 'recommendation' END ELSE own END AS intent, CASE WHEN own IN ('recommendation', 'manual') AND any_hit IS NOT NULL THEN CASE WHEN all_hit THEN 'wishlist' ELSE 'recommendation' END ELSE own END AS strict FROM o LEFT JOIN h USING (search)""")
 def val10_searches(t: Tables) -> DataFrame:
-    best = intents.search_intents(_searches(t), _targets(t), _wished(t))
-    return best.join(intents.search_intents(_searches(t), _targets(t), _wished(t), strict=True).withColumnRenamed("intent", "strict"), "search")
+    return intents.both_intents(_searches(t), _targets(t), _wished(t))

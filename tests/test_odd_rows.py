@@ -78,3 +78,8 @@ def test_the_pipeline_encodes_in_smaller_parts_with_the_same_ids(spark, monkeypa
 
     coded = [sorted(map(tuple, bpe.encode_documents(docs, public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN, most=n).collect())) for n in (100, bpe.BATCH_CHARS)]
     assert coded[0] == coded[1]
+
+
+def test_search_intents_read_the_lines_once(spark, sf_dir):
+    plan = registry.QUERIES["val10_search_intents"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_suppkey") and sum("Relation" in line and "l_suppkey" in line for line in plan.splitlines()) == 1
