@@ -20,7 +20,8 @@ up to HUBS of the classes of highest degree under other roots in its tiles, thos
 and join the roots that link. What can still connect are classes of a tile under different roots. These are compared in
 size-banded tiles (tile, size band; each class also visits the next band up, as sets with Jaccard >= t lie in one
 band or two neighbours), in blocks of at most TILE rows: each class has a bitmap of its hashed shingles, and
-|x| - bits of x missing in y bounds the overlap from above. Pairs that pass, under different roots, are verified by
+|x| - bits of x missing in y bounds the overlap from above. Pairs that pass, under different roots, are made once, in the
+least of the tiles that they share, and verified by
 intersecting the sorted arrays. No link between different components is missed, and a group of thousands of near
 copies costs a few verifications per member.
 
@@ -384,7 +385,8 @@ def tiles_of(entries: DataFrame) -> DataFrame:
 def tile_pairs(entries: DataFrame, bits: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
     """Pairs (a, b) of classes under different roots whose bitmaps allow a link, from size-banded tiles.
 
-    entries: (tile, cls, n, root); bits: (cls, bits). Tiles of the same classes in a band are compared once.
+    entries: (tile, cls, n, root); bits: (cls, bits). Tiles of the same classes in a band are compared once, and a pair is
+    made once, in the least tile that it shares in its band: each class brings its tiles before the one at hand.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-_log(percent / 100)) + F.lit(1e-9)).cast("int")
     rows = entries.withColumn("band", band).withColumn("place", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("place"))
@@ -393,10 +395,12 @@ def tile_pairs(entries: DataFrame, bits: DataFrame, percent: int = PERCENT, tile
     tiles = tiles.filter("home = 0 AND m > 1 AND r0 <> r1").groupBy("band", "m", "seal", "seal2").agg(F.min("tile").alias("tile"))
     tiles = materialize(tiles.select("tile", "band", F.ceil(F.col("m") / tile).cast("int").alias("blocks")), "tiles")
     rows = rows.join(tiles, ["tile", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    own = rows.groupBy("cls", "band").agg(F.array_sort(F.collect_list("tile")).alias("own"))
+    rows = rows.join(own, ["cls", "band"]).withColumn("earlier", F.slice("own", F.lit(1), F.array_position("own", F.col("tile")).cast("int") - 1))
     # Block i meets each block j; the pair (i, j) is one group, named by the smaller and the larger.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rows = rows.join(bits, "cls").select("tile", "band", "i", "j", "place", "block", "cls", "n", "root", "bits")
+    rows = rows.join(bits, "cls").select("tile", "band", "i", "j", "place", "block", "cls", "n", "root", "bits", "earlier")
     dealt = rows.repartition("tile", "band", "i", "j").sortWithinPartitions("tile", "band", "i", "j", "place", "n", "cls")
 
     def compare(group):
@@ -419,7 +423,8 @@ def tile_pairs(entries: DataFrame, bits: DataFrame, percent: int = PERCENT, tile
                 continue
             most = np.minimum(n[x] - np.bitwise_count(b[x] & ~b[y]).sum(1, dtype=np.int64), n[y] - np.bitwise_count(b[y] & ~b[x]).sum(1, dtype=np.int64))
             y = y[100 * most >= percent * (n[x] + n[y] - most)]
-            out += [(min(cls[x], c), max(cls[x], c)) for c in cls[y]]
+            before = group["earlier"][x]
+            out += [(min(cls[x], cls[k]), max(cls[x], cls[k])) for k in y if not len(np.intersect1d(before, group["earlier"][k], assume_unique=True))]
         return out
 
     @tidied
@@ -427,7 +432,7 @@ def tile_pairs(entries: DataFrame, bits: DataFrame, percent: int = PERCENT, tile
         import numpy as np
         import pyarrow as pa
 
-        names = ("cls", "n", "root", "place", "block", "bits", "i", "j")
+        names = ("cls", "n", "root", "place", "block", "bits", "i", "j", "earlier")
         key, group = None, {c: [] for c in names}
 
         def flush():
@@ -435,7 +440,8 @@ def tile_pairs(entries: DataFrame, bits: DataFrame, percent: int = PERCENT, tile
             return pa.RecordBatch.from_pydict({"a": pa.array([int(p[0]) for p in pairs], pa.int64()), "b": pa.array([int(p[1]) for p in pairs], pa.int64())})
 
         for batch in batches:
-            columns = {c: batch[c].to_pylist() for c in names}
+            columns = {c: batch[c].to_pylist() for c in names[:-1]}
+            columns["earlier"] = np.split(batch["earlier"].flatten().to_numpy().copy(), np.cumsum(np.diff(batch["earlier"].offsets.to_numpy()))[:-1])
             keys = np.column_stack([batch[c].to_numpy() for c in ("tile", "band", "i", "j")])
             starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]]) if len(keys) else [0]
             for s, e in zip(starts[:-1], starts[1:]):
@@ -449,7 +455,7 @@ def tile_pairs(entries: DataFrame, bits: DataFrame, percent: int = PERCENT, tile
         if len(group["cls"]) > 1 and (found := flush()).num_rows:
             yield found
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def size_allows(n: Column, m: Column, percent: int = PERCENT) -> Column:

@@ -70,3 +70,29 @@ def test_stage_keeps_one_of_each_group(spark, sf_dir):
     kept = ngram_join.stage(spark, docs, sf_dir)
     want = {d for d, (n, c) in brute(docs.collect()).items() if d == c}
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == want
+
+
+def test_pairs_of_many_tiles_are_made_once(spark):
+    """Near copies share many tiles, each with other classes; a pair is made in one of them, not in each and then thrown out."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for d in range(40):
+        words = list(base)
+        for at in rng.choice(200, 2, replace=False):
+            words[at] = f"x{d}-{at}"
+        rows.append((d, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketch = ngram_join.prefixes(docs, ngram_join.Bloom(None, 0), with_bits=True).cache()
+    shared = ngram_join.bloom_of(ngram_join.tokens_of(sketch, 1))
+    entries = ngram_join.tiles_of(ngram_join.shared_entries(sketch, shared).distinct()).withColumn("root", F.col("cls"))
+    for tile in (512, 7):
+        pairs = ngram_join.tile_pairs(entries, sketch.select("cls", "bits"), tile=tile)
+        made = [tuple(r) for r in pairs.collect()]
+        assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString().partition("MapInArrow")[0]
+        assert len(made) == len(set(made)) > 500
+        cls = {r["cls"]: set(shingle_set(rows[r["doc_id"]][1])) for r in sketch.collect()}
+        want = {(a, b) for a, b in combinations(sorted(cls), 2) if 100 * len(cls[a] & cls[b]) >= 80 * len(cls[a] | cls[b])}
+        assert want <= set(made)
