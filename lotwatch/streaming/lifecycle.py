@@ -1,7 +1,8 @@
 """The lifecycle of opportunities as a stream of sightings: first and last seen, on how many days, and when one is gone.
 
-State by key lives in RocksDB and is checkpointed, so a restart goes on where it stopped. A key that isn't seen for
-GONE_HOURS of event time is gone: each sighting sets a timer that the next one replaces, and the watermark sets it off.
+Each micro-batch is grouped by key and merged with the state table that the one before it left, all keys at once and
+without Python; a batch that is run again reads that same table, so a restart goes on where it stopped. A key that isn't
+seen for GONE_HOURS of event time is gone, when the watermark, `delay` behind the latest sighting, has passed that time.
 Sightings may be late by up to `delay`; later ones are left out by the watermark. Days are counted once however often and
 in whatever order a day's sightings come: of the days that may still be added to, state keeps which were seen.
 
@@ -11,73 +12,58 @@ comes back in between depends on how far apart the sightings lie.
 
 from __future__ import annotations
 
-import datetime as dt
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 GONE_HOURS, DELAY_DAYS = 48, 2
-STATE_PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-STATE = "first_seen timestamp, last_seen timestamp, seen_days bigint, active boolean, timer bigint, days array<date>"
-CHANGE = "event string, first_seen timestamp, last_seen timestamp, seen_days bigint, active boolean"
-
-
-class Lifecycle(StatefulProcessor):
-    """Changes of one key: new, seen, back after it was gone, or gone."""
-
-    def __init__(self, keys: Sequence[str], at: str, gone_hours: int, delay_days: int) -> None:
-        self.keys, self.at, self.delay = list(keys), at, dt.timedelta(days=delay_days)
-        self.gone_ms = gone_hours * 3_600_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("lifecycle", STATE)
-
-    def _change(self, key, event, first, last, days, active) -> pd.DataFrame:
-        return pd.DataFrame([[*key, event, first, last, days, active]], columns=[*self.keys, "event", "first_seen", "last_seen", "seen_days", "active"])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first, last, count, active, timer, recent = self.state.get() if self.state.exists() else (None, None, 0, False, 0, [])
-        known, seen = set(recent), first is not None
-        for frame in rows:
-            times = frame[self.at].dropna()
-            if times.empty:
-                continue
-            low, high = times.min().to_pydatetime(), times.max().to_pydatetime()
-            first, last = min(first or low, low), max(last or high, high)
-            new = {x.date() for x in times} - known
-            known, count = known | new, count + len(new)
-        if first is None:
-            return
-        due = int(pd.Timestamp(last).tz_localize("UTC").timestamp() * 1000) + self.gone_ms
-        if due != timer:
-            if timer:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(due)
-        kept = sorted(d for d in known if d >= (last - self.delay).date() - dt.timedelta(days=1))
-        self.state.update((first, last, count, True, due, kept))
-        yield self._change(key, "seen" if active else "back" if seen else "new", first, last, count, True)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        first, last, count, _, _, recent = self.state.get()
-        self.state.update((first, last, count, False, 0, list(recent)))
-        yield self._change(key, "gone", first, last, count, False)
-
-    def close(self) -> None:
-        pass
-
-
-def lifecycle_changes(sightings: DataFrame, keys: Sequence[str], at: str, gone_hours: int = GONE_HOURS, delay_days: int = DELAY_DAYS) -> DataFrame:
-    """A stream of changes from a stream of sightings: keys, event, first_seen, last_seen, seen_days and active. Rows without a time are left out."""
-    kinds = {f.name: f.dataType.simpleString() for f in sightings.schema}
-    timed = sightings.select(*keys, at).filter(F.col(at).isNotNull()).withWatermark(at, f"{delay_days} days")
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", {CHANGE}"
-    return timed.groupBy(*keys).transformWithStateInPandas(Lifecycle(keys, at, gone_hours, delay_days), schema, "Update", "EventTime")
+HOUR_MS, DAY_MS = 3_600_000, 86_400_000
+
+
+@dataclass(frozen=True)
+class Changes:
+    """A stream of sightings (keys and a time) and the rules for what changes with them."""
+
+    sightings: DataFrame
+    keys: Sequence[str]
+    at: str
+    gone_hours: int
+    delay_days: int
+
+    def merged(self, state: DataFrame | None, batch: DataFrame) -> DataFrame:
+        """The state after a micro-batch: keys, first_seen, last_seen, seen_days, active, days, with the batch's own event (null if it has none) and gone."""
+        keys, at, latest = list(self.keys), F.col(self.at), None
+        if state is not None:
+            latest = state.agg(F.unix_millis(F.max("last_seen"))).first()[0]
+        if latest is not None:
+            batch = batch.filter(F.unix_micros(at) > (latest - self.delay_days * DAY_MS) * 1000)
+        own = batch.groupBy(*keys).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.collect_set(F.unix_date(F.to_date(at))).alias("new_days"))
+        if state is not None:
+            own = own.unionByName(state.select(*keys, "first_seen", "last_seen", "seen_days", "active", "days"), allowMissingColumns=True)
+        else:
+            own = own.withColumns({"seen_days": F.lit(None).cast("bigint"), "active": F.lit(None).cast("boolean"), "days": F.lit(None).cast("array<int>")})
+        # A key has at most one row of the state and one of the batch: max() takes what either has.
+        x = own.groupBy(*keys).agg(F.min("first_seen").alias("first_seen"), *[F.max(c).alias(c) for c in ("last_seen", "new_days", "seen_days", "active", "days")])
+        newest = max((m for m in (latest, batch.agg(F.unix_millis(F.max(at))).first()[0]) if m is not None), default=0)
+        none = F.array().cast("array<int>")
+        old, new = F.coalesce("days", none), F.coalesce("new_days", none)
+        event = F.when(F.col("new_days").isNotNull(), F.when(F.col("seen_days").isNull(), "new").when(F.col("active"), "seen").otherwise("back"))
+        over = F.unix_millis("last_seen") + self.gone_hours * HOUR_MS <= newest - self.delay_days * DAY_MS
+        gone = (F.col("new_days").isNotNull() | F.col("active")) & over
+        every = F.array_union(old, new)
+        return x.select(
+            *keys, "first_seen", "last_seen", (F.coalesce("seen_days", F.lit(0)) + F.size(F.array_except(new, old))).cast("bigint").alias("seen_days"), (F.col("new_days").isNotNull() | F.col("active")).alias("active"),
+            every.alias("days"), F.array_max(every).alias("_last"), event.alias("event"), gone.alias("gone"),
+        ).withColumns({"active": F.col("active") & ~F.col("gone"), "days": F.filter("days", lambda d: d >= F.col("_last") - self.delay_days - 1)}).drop("_last")
+
+
+def lifecycle_changes(sightings: DataFrame, keys: Sequence[str], at: str, gone_hours: int = GONE_HOURS, delay_days: int = DELAY_DAYS) -> Changes:
+    """Changes by a stream of sightings: keys, event, first_seen, last_seen, seen_days and active. Rows without a time are left out."""
+    return Changes(sightings.select(*keys, at).filter(F.col(at).isNotNull()), keys, at, gone_hours, delay_days)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -89,21 +75,28 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Write the changes of all that has arrived below `out`, a folder for each micro-batch, and stop."""
-    spark = stream.sparkSession
-    key, provider = STATE_PROVIDER
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, provider)
-
-    def write(changes: DataFrame, batch: int) -> None:
-        changes.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch}")
-
-    try:
-        query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
-        query.awaitTermination()
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+def run_available(changes: Changes, out: str, checkpoint: str) -> None:
+    """Write the changes of all that has arrived below `out`, a folder for each micro-batch, and stop.
+
+    The state after each batch is a table beside the checkpoint; that of the last two is kept.
+    """
+    spark, keys = changes.sightings.sparkSession, list(changes.keys)
+    table = lambda batch: f"{checkpoint}-table/{batch}"
+
+    def write(sightings: DataFrame, batch: int) -> None:
+        state = sightings.sparkSession.read.parquet(table(batch - 1)) if batch else None
+        merged = changes.merged(state, sightings)
+        merged.write.mode("overwrite").parquet(table(batch))
+        after = sightings.sparkSession.read.schema(merged.schema).parquet(table(batch))
+        change = lambda event, active: after.select(*keys, event.alias("event"), "first_seen", "last_seen", "seen_days", F.lit(active).alias("active"))
+        each = change(F.col("event"), True).filter("event IS NOT NULL").unionByName(change(F.when(F.col("gone"), "gone"), False).filter("event IS NOT NULL"))
+        each.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        if batch > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(table(batch - 2))
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    query = changes.sightings.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
 
 
 def last_changes(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:

@@ -64,3 +64,15 @@ def test_nulls_and_no_sightings(spark):
     df = spark.createDataFrame([(None, START), ("a", None), (None, START + dt.timedelta(days=1))], "key string, at timestamp")
     assert [tuple(r)[0:1] + tuple(r)[3:] for r in lifecycle.replayed(df, ["key"], "at", 1).collect()] == [(None, 2, True)]
     assert lifecycle.replayed(df.filter(F.lit(False)), ["key"], "at").collect() == []
+
+
+def test_state_is_merged_for_all_keys_at_once(spark):
+    """A micro-batch meets the state in plain aggregations; a sighting behind the watermark is left out, and one batch can end a key."""
+    at = lambda *days: spark.createDataFrame([(k, START + dt.timedelta(days=d)) for k, d in days], "key string, at timestamp")
+    changes = lifecycle.lifecycle_changes(at(), ["key"], "at")
+    first = changes.merged(None, at(("a", 0), ("b", 9), ("b", 9.5))).localCheckpoint()
+    assert {r["key"]: (r["event"], r["gone"], r["active"], r["seen_days"]) for r in first.collect()} == {"a": ("new", True, False, 1), "b": ("new", False, True, 1)}
+    second = changes.merged(first, at(("a", 9), ("b", 3), ("c", 8)))
+    assert {r["key"]: (r["event"], r["active"], r["seen_days"]) for r in second.collect()} == {"a": ("back", True, 2), "b": (None, True, 1), "c": ("new", True, 1)}
+    plan = second._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
