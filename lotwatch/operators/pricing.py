@@ -128,7 +128,7 @@ def valued(matched: DataFrame, references: DataFrame, details: DataFrame, observ
         objective_id=F.col("objective_id"), objective_status=F.col("objective_status"), incomplete=p["completion"].isNotNull(), benchmark=F.col("b").cast("struct<value: double, source: string, observed_at: string, independent: boolean, stale: boolean, comparable: boolean>").dropFields("value"),
         shipping_known=p["shipping_known"], availability_verified=e["available"],
     )
-    judged = final.withColumn("v", valuation.gates(a))
+    judged = final.withColumn("_a", a).withColumn("v", valuation.gates(F.col("_a"))).drop("_a")
     s = valuation.score(
         p["ratio"], F.col("b"), F.col("confidence"), F.col("tested"), F.col("untested"), e["defects"], F.lit(None).cast("string"), F.col("completeness") != "", F.col("seller_known"), e["returns_accepted"], F.lit(None).cast("boolean"), F.col("price"), F.col("shipping"), F.col("unverified"), F.col("v.penalty"),
     )

@@ -98,7 +98,7 @@ _CLEAR = f"""(len(list_filter(blocks, lambda x: NOT (x = 'benchmark' AND fell)))
 def val08(t: Tables) -> DataFrame:
     a = F.col("a")
     why = valuation.alert_clearance(F.col("v"), F.lit(None), a["benchmark"], a["evidence_read"], a["shipping_known"], F.col("listing_id") % 16 == 5)
-    return _judged(t).select("listing_id", (F.size(why) == 0).alias("clear"), F.size(why).alias("reasons"))
+    return _judged(t).select("listing_id", F.size(why).alias("reasons")).select("listing_id", (F.col("reasons") == 0).alias("clear"), "reasons")
 
 
 @query(
