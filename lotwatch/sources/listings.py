@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwatch.functions.money import amount
@@ -130,12 +130,13 @@ def feed_lots(feed: DataFrame, xml: str) -> DataFrame:
     schema = "channel struct<item: array<struct<title: string, link: string, fecha: string, description: string, cantLotes: string, lotes: struct<lote: array<struct<title: string, link: string, description: string, foto: string>>>>>>"
     sound = ~F.lower(F.substring(xml, 1, 4096)).rlike("<!doctype|<!entity")
     items = feed.filter(sound).select(F.posexplode(F.from_xml(F.col(xml), schema)["channel"]["item"]).alias("at", "g"))
-    groups = first_wins(items.select("at", "g", F.col("g.link").alias("group_id")), ["group_id"], "at")
+    groups = first_wins(items.select("at", "g", F.col("g.link").alias("group_id")).filter("group_id IS NOT NULL"), ["group_id"], "at")
     lots = groups.select("group_id", F.col("g.title").alias("group_label"), F.col("g.cantLotes").try_cast("int").alias("declared"), F.size("g.lotes.lote").alias("parsed"), F.posexplode("g.lotes.lote").alias("place", "l"))
     number, picture = F.regexp_extract("l.link", r"(\d+)/?$", 1), F.regexp_extract("l.foto", r"(\d+)\D*$", 1)
     lots = lots.select("group_id", "group_label", "declared", "parsed", "place", F.col("l.title").alias("title"), F.col("l.link").alias("lot_url"), F.when(number != "", number).otherwise((F.col("place") + 1).cast("string")).alias("lot_number"), picture.alias("picture"))
     lots = first_wins(lots, ["group_id", "lot_number", "picture"], "place")
-    again = lots.join(first_wins(lots, ["group_id", "lot_number"], "place").select("group_id", "lot_number", F.col("place").alias("_first")), ["group_id", "lot_number"])
+    # A group's lots are together by now, in this order: neither their first places nor a join deals them out again.
+    again = lots.withColumn("_first", F.min("place").over(Window.partitionBy("group_id", "lot_number")))
     lot_id = F.concat_ws(":", "group_id", "lot_number")
     kept = again.filter((F.col("place") == F.col("_first")) | (F.col("picture") != ""))
     return kept.withColumn("lot_id", F.when(F.col("place") == F.col("_first"), lot_id).otherwise(F.concat(lot_id, F.lit(":item-"), "picture"))).drop("_first", "picture")

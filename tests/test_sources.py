@@ -70,3 +70,9 @@ def test_catalog_games(spark):
     text = '{"byConsole":{"n64":{"juegosCatalogo":[{"id":"g1","title":"One"},{"id":"g2","title":"Two"}]},"ps2":{}}}'
     catalog = spark.createDataFrame([(text,)], "t string").select(F.from_json("t", "byConsole map<string, struct<juegosCatalogo: array<struct<id: string, title: string>>>>").alias("c")).select("c.*")
     assert [tuple(r) for r in documents.catalog_games(catalog).orderBy("game").collect()] == [("n64", "g1", "One", 0), ("n64", "g2", "Two", 1)]
+
+
+def test_feed_deals_a_group_once(spark):
+    """Numbers that a group uses again are told where its lots are, without a join of the lots with themselves."""
+    plan = listings.feed_lots(spark.createDataFrame([("<rss/>",)], "x string"), "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
