@@ -103,3 +103,16 @@ def test_order_of_matches(spark):
     df = spark.createDataFrame(given, schema).repartition(3)
     order = rows.match_order(F.col("following"), F.col("watch"), F.col("urgency"), F.col("closing").cast("timestamp"), F.col("score"), F.col("title"), F.col("n"))
     assert [r["n"] for r in df.orderBy(*order).collect()] == [2, 1, 4, 3, 8, 6, 5, 7, 0, 9, 10]
+
+
+def test_a_search_of_all_listings_is_dealt_out(spark):
+    """The cheapest are those of one ranking of the whole search, but no group of the ranking holds more than a part of it."""
+    from lotwatch.operators import pricing
+
+    df = spark.range(4000).select(F.lit("one").alias("search"), F.col("id").alias("listing"), (F.col("id") % 3 > 0).alias("cheap"), (F.col("id") * 7919 % 501 / 100).alias("ratio"))
+    got = pricing.cheapest_of_each(df, "cheap", "ratio", 12)
+    want = sorted((k * 7919 % 501 / 100, k) for k in range(4000) if k % 3)[:12]
+    assert sorted((r["ratio"], r["listing"]) for r in got.filter("_asked").collect()) == want
+    assert got.count() == 4000
+    keys = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+    assert len(keys) == 2 and all("_part" in line for line in keys)
