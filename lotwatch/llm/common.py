@@ -43,7 +43,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def bounded_batches(spark: SparkSession, most: int = 8_000_000) -> None:
+def bounded_batches(spark: SparkSession, most: int = 2_000_000) -> None:
     """Let no Arrow batch of this session hold more than so many bytes, or one row; a smaller bound that is set stays."""
     if int(spark.conf.get(BATCH_BYTES).rstrip("bB")) > most:
         spark.conf.set(BATCH_BYTES, str(most))

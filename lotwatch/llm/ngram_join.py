@@ -43,7 +43,7 @@ HEAVY, TILE = 64, 512
 #: Rounds that join roots before tiles are compared in full, and hubs of a tile (and tries of a class) in each.
 ROUNDS, HUBS = 2, 2
 #: Bytes of text that are hashed at a time.
-TEXT_BYTES = 1_000_000
+TEXT_BYTES = 250_000
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 BITMAP_LEAST, BITMAP_MOST = 64, 1 << 17
 _MULTIPLIER, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB

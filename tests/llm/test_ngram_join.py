@@ -96,3 +96,14 @@ def test_pairs_of_many_tiles_are_made_once(spark):
         cls = {r["cls"]: set(shingle_set(rows[r["doc_id"]][1])) for r in sketch.collect()}
         want = {(a, b) for a, b in combinations(sorted(cls), 2) if 100 * len(cls[a] & cls[b]) >= 80 * len(cls[a] | cls[b])}
         assert want <= set(made)
+
+
+def test_workers_hold_little_at_a_time(spark):
+    """An executor's Python workers get batches of 2 MB at most, and hash a quarter of a million bytes at a time."""
+    from lotwatch.llm import common
+
+    before = spark.conf.get(common.BATCH_BYTES)
+    spark.conf.set(common.BATCH_BYTES, "8000000")
+    common.bounded_batches(spark)
+    assert int(spark.conf.get(common.BATCH_BYTES)) <= 2_000_000 and ngram_join.TEXT_BYTES <= 250_000
+    spark.conf.set(common.BATCH_BYTES, before)
