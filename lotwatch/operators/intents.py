@@ -48,6 +48,31 @@ def match_intents(matches: DataFrame, wished: DataFrame) -> DataFrame:
     return x.withColumn("intent", _intent(F.coalesce("search_type", F.lit("")), F.coalesce("entity_type", F.lit("")), titled | F.coalesce(of_game, F.lit(False)), true(F.col("_wished")))).drop("_console", "_game", "_wished")
 
 
+def title_wishes(titles: DataFrame, wished: DataFrame) -> DataFrame:
+    """titles (a row each, with target_game) with `wished_on`: the consoles on which that game is wished for, null if on none."""
+    on = wished.groupBy(F.col("game").alias("target_game")).agg(F.collect_set("console").alias("wished_on"))
+    return titles.join(on.hint("merge"), "target_game", "left")
+
+
+def searched_match_intents(matches: DataFrame, searches: DataFrame, wished: DataFrame) -> DataFrame:
+    """The intents of match_intents() for matches that are many: they meet their searches once, and no wishes.
+
+    matches: search, target_console, target_game and its wished_on, see title_wishes(), and other columns, which are returned;
+    searches: search, search_type, entity_type, console, entity. No table is broadcast, as compressed files look small enough for it.
+    """
+    titled, named = F.coalesce(F.col("target_game"), F.lit("")) != "", F.nullif(F.col("target_console"), F.lit(""))
+    # What is wished on the title's own console is known by now; only a title without one waits for that of the search.
+    hit = F.when(titled & named.isNotNull(), true(F.array_contains("wished_on", named)))
+    open_on = F.when(titled & named.isNull(), F.coalesce("wished_on", F.array().cast("array<string>")))
+    rest = [c for c in matches.columns if c not in ("target_console", "target_game", "wished_on")]
+    none = searches.withColumn("target_console", F.lit("")).withColumn("target_game", F.lit(""))
+    own = match_intents(none, wished.hint("merge")).select("search", F.coalesce("console", F.lit("")).alias("_console"), F.col("intent").alias("_own"))
+    x = matches.select(*rest, hit.alias("_hit"), open_on.alias("_on")).join(own.hint("merge"), "search")
+    by_title = F.col("_own").isin("wishlist", "recommendation", "manual") & (F.col("_hit").isNotNull() | F.col("_on").isNotNull())
+    wish = F.coalesce("_hit", F.array_contains("_on", F.col("_console")))
+    return x.select(*rest, F.when(by_title, F.when(wish, "wishlist").otherwise("recommendation")).otherwise(F.col("_own")).alias("intent"))
+
+
 def search_intents(searches: DataFrame, targets: DataFrame, wished: DataFrame, strict: bool = False) -> DataFrame:
     """search and its intent: the best of its titles, or with `strict` a wish only if all its titles are; see both_intents()."""
     return both_intents(searches, targets, wished).select("search", F.col("strict" if strict else "intent").alias("intent"))

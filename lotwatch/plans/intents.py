@@ -56,9 +56,10 @@ def set13(t: Tables) -> DataFrame:
 def val10(t: Tables) -> DataFrame:
     """Lines as matches of their supplier's search, some of them found by a title."""
     n = F.col("l_linenumber")
-    matches = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(_searches(t), F.col("search") == F.col("l_suppkey"))
-    matches = matches.withColumn("target_console", F.when(n % 2 == 0, F.col("p_brand"))).withColumn("target_game", F.when(n % 3 > 0, _game()))
-    return intents.match_intents(matches, _wished(t)).select("l_orderkey", "l_linenumber", "search", "l_partkey", "intent")
+    titles = intents.title_wishes(t.part.select("p_partkey", F.col("p_brand").alias("target_console"), _game().alias("target_game")), _wished(t))
+    lines = t.lineitem.join(titles.hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
+    matches = lines.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("search"), "l_partkey", F.when(n % 2 == 0, F.col("target_console")).alias("target_console"), F.when(n % 3 > 0, F.col("target_game")).alias("target_game"), "wished_on")
+    return intents.searched_match_intents(matches, _searches(t), _wished(t))
 
 
 @query("val10_search_intents", f"""WITH {_S}, {_W}, {_T}, o AS (SELECT s.*, CASE WHEN search_type = 'lot' THEN 'lot' WHEN search_type = 'discovery' THEN 'discovery' WHEN entity_type = 'console' OR search_type = 'console' THEN 'console' WHEN entity_type = 'game' THEN CASE WHEN w.game IS NOT NULL THEN 'wishlist' ELSE 'recommendation' END ELSE 'manual' END AS own

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from lotwatch.operators import intents, valuation
 
 SEARCH = "search int, search_type string, entity_type string, console string, entity string"
@@ -32,6 +33,30 @@ def test_intents_of_matches(spark):
     assert got == [(1, "smw", "lot"), (5, "dkc", "recommendation"), (6, "", "recommendation"), (6, "smw", "wishlist"), (7, "", "manual"), (7, "smb", "wishlist")]
 
 
+def test_intents_of_matches_that_meet_their_searches_once(spark):
+    s, _, w = frames(spark)
+    w = w.unionByName(spark.createDataFrame([("", "loose"), ("gb", "smw"), ("snes", "gb")], w.schema))
+    rows = spark.createDataFrame([(k, c, g) for k in range(1, 11) for c in (None, "", "snes", "nes", "gb") for g in (None, "", "smw", "smb", "dkc", "loose")], TARGET)
+    titles = intents.title_wishes(rows.select("target_game").distinct(), w)
+    rows = rows.withColumn("id", F.concat_ws("/", "search", F.coalesce("target_console", F.lit("-")), F.coalesce("target_game", F.lit("-"))))
+    titles = titles.withColumnRenamed("target_game", "title")
+    matches = rows.join(titles, F.col("target_game").eqNullSafe(F.col("title")), "left").drop("title")
+    got, want = intents.searched_match_intents(matches, s, w), intents.match_intents(s.join(rows, "search"), w)
+    rows_of = lambda df: sorted((r["id"], r["intent"]) for r in df.collect())
+    assert rows_of(got) == rows_of(want)
+    assert len(rows_of(got)) == 300 and {"wishlist", "recommendation", "manual"} <= {i for _, i in rows_of(got)}
+
+
+def test_lines_are_dealt_out_by_title_and_by_search_only(spark, sf_dir):
+    plan = queries()["val10_match_intents"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    below = lambda i: plan[i + 1 : next((k for k in range(i + 1, len(plan)) if depth[k] <= depth[i]), len(plan))]
+    dealt = [x for i, x in enumerate(plan) if "Exchange" in x and any("lineitem.parquet" in y for y in below(i))]
+    assert len(dealt) == 2 and not any("Broadcast" in x for x in dealt)
+    # Only the names of wished franchises are broadcast, no table that grows with the input.
+    assert all("[franchise#" in x for x in plan if "BroadcastHashJoin" in x)
+
+
 def test_what_is_targeted_already(spark):
     s, t, _ = frames(spark)
     got = {tuple(r) for r in intents.targeted(s, t).collect()}
