@@ -13,7 +13,7 @@ that stood there. A row of tokens is the encoding of its bytes if each two neigh
 so the result is that of the whole piece.
 
 Memory: a batch of at most BATCH_CHARS characters (or one text), queries over about QUERY_BYTES bytes of pieces, and two
-generations of cached pieces per worker: when the younger has more than CACHE, it becomes the older, from which what is
+generations of cached pieces per worker: when the younger has more than `cache`, it becomes the older, from which what is
 met again comes back. DuckDB is in memory and may not use a folder. Tasks write
 nothing, so a lost executor costs only its tasks' time.
 
@@ -33,12 +33,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import pipeline_stage, table, tidied
+from lotwatch.llm.common import kept, pipeline_stage, table, tidied
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BATCH_CHARS, CACHE, LONG, QUERY_BYTES = 3_000_000, 300_000, 64, 500_000
-#: In the pipeline, where executors still hold what the stages before took, texts come in smaller parts.
-STAGE_CHARS = 1_000_000
+#: In the pipeline, where executors still hold what the stages before took, texts come in smaller parts and fewer pieces are cached.
+STAGE_CHARS, STAGE_CACHE = 500_000, 100_000
 
 #: Positions stay below 2^31, ranks below 2^31: one long orders pairs by rank, then from the left.
 CONTRACT_SQL = """
@@ -127,6 +127,7 @@ class Codec:
         self.exact = re.compile(exact).findall if odd else self.fast
         self.odd = re.compile(f"[{odd}]").search if odd else lambda text: None
         self.near = re.compile(near).findall if near else None
+        self.cache = CACHE
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.ranks = ranks = read_ranks(path)
@@ -226,7 +227,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[str]:
         """For each text its ids in decimal, joined by a space."""
         split = [self.pieces(t) for t in texts]
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         unknown = set().union(*split).difference(known)
@@ -253,14 +254,12 @@ class Codec:
         return out
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str, odd: str, exact: str, near: str) -> Codec:
-    """This worker's codec of a vocabulary, made once."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern, odd, exact, near)
-    return _codecs[path, pattern]
+    """This worker's codec of a vocabulary, made once, until a task of another module needs the worker's memory."""
+    codecs = kept(__name__)
+    if (path, pattern) not in codecs:
+        codecs[path, pattern] = Codec(path, pattern, odd, exact, near)
+    return codecs[path, pattern]
 
 
 def by_size(texts: list[str], most: int) -> Iterator[slice]:
@@ -275,8 +274,11 @@ def by_size(texts: list[str], most: int) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, most: int = BATCH_CHARS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int); `most` characters at a time."""
+def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, most: int = BATCH_CHARS, cache: int = CACHE) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int); `most` characters at a time.
+
+    cache: how many pieces a generation of a worker's cache has.
+    """
     odd, exact = exact_pattern(pattern)
     near = exact_pattern(pattern, 256)[1]
 
@@ -286,6 +288,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
         import pyarrow as pa
 
         c = codec(path, pattern, odd, exact, near)
+        c.cache = cache
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
             for part in by_size(texts, most):
@@ -317,4 +320,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The corpus as token ids: doc_id, n_tokens, the digests and ids."""
     import public_tokenizers
 
-    return encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True, most=STAGE_CHARS)
+    return encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True, most=STAGE_CHARS, cache=STAGE_CACHE)

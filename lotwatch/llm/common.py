@@ -131,8 +131,28 @@ def slices(batch, column: str, most: int):
         start = end
 
 
+#: What this worker keeps from task to task, by the module that made it; see kept() and let_go().
+_kept: dict[str, dict] = {}
+
+
+def kept(module: str) -> dict:
+    """What a module keeps in this worker, until a task of another module runs in it."""
+    return _kept.setdefault(module, {})
+
+
+def let_go(but: str) -> None:
+    """Drop what modules other than this one keep: workers are the same for all jobs of a session, and executors small."""
+    for module, things in _kept.items():
+        if module != but:
+            things.clear()
+
+
 def tidied(run):
-    """A function of Arrow batches for mapInArrow that gives its memory back when a task ends: workers live on and idle."""
+    """A function of Arrow batches for mapInArrow that gives its memory back when a task ends: workers live on and idle.
+
+    What other modules keep goes before it begins.
+    """
+    owner = run.__module__
 
     @functools.wraps(run)
     def whole(batches):
@@ -140,6 +160,7 @@ def tidied(run):
 
         import pyarrow as pa
 
+        let_go(owner)
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()

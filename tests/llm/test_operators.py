@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import weakref
 import zlib
 from collections import defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotwatch.llm import bpe, exact_dedup, mixing, queries, secrets, sharding, token_store, topk, toxicity, warc
-from lotwatch.llm.common import fresh_path, table
+from lotwatch.llm.common import fresh_path, table, tidied
 from tests.llm.fixtures import UPPER, WORD, empty_documents, hard_documents
 from tests.oracle import difference
 
@@ -167,6 +168,21 @@ def test_bpe_of_long_pieces_is_tiktoken(monkeypatch, block):
     assert got == [" ".join(map(str, whole._core_bpe.encode_single_piece(w.encode()))) for w in words]
 
 
+def test_workers_let_go_of_what_other_operators_keep():
+    path = public_tokenizers.path(bpe.VOCABULARY)
+
+    def run(batches):
+        yield from batches
+
+    run.__module__ = bpe.__name__
+    first = weakref.ref(bpe.codec(path, public_tokenizers.PATTERN, "", "", ""))
+    list(tidied(run)([]))
+    assert first() is bpe.codec(path, public_tokenizers.PATTERN, "", "", "")
+    run.__module__ = toxicity.__name__
+    list(tidied(run)([]))
+    assert first() is None
+
+
 def test_bpe_cache_of_two_generations(monkeypatch):
     import tiktoken
 
